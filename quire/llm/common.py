@@ -89,12 +89,13 @@ def running_total(df: DataFrame, keys: list[str], order: str, ties: list[str], v
     local = F.coalesce(F.sum(value).over(before), F.lit(0))
     if not digits:
         return df.withColumn(out, local)
+    offset = f"__offset{digits}"
     df = df.withColumn("__prefix", F.substring(order, 1, digits))
     sums = df.groupBy(*keys, "__prefix").agg(F.sum(value).alias("__sum"))
-    offsets = running_total(sums.withColumnRenamed("__prefix", "__order"), keys, "__order", [], "__sum", "__before", max(0, digits - 3))
-    offsets = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__order").alias("__p"), "__before")
+    offsets = running_total(sums.withColumnRenamed("__prefix", "__order"), keys, "__order", [], "__sum", offset, max(0, digits - 3))
+    offsets = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__order").alias("__p"), offset)
     same = F.col("__prefix") == F.col("__p")
     for i, k in enumerate(keys):
         same = F.col(k).eqNullSafe(F.col(f"__k{i}")) & same
     joined = df.withColumn("__local", local).join(offsets, same, "left")
-    return joined.withColumn(out, F.col("__local") + F.coalesce("__before", F.lit(0))).drop(*[f"__k{i}" for i in range(len(keys))], "__p", "__prefix", "__local", "__before")
+    return joined.withColumn(out, F.col("__local") + F.coalesce(offset, F.lit(0))).drop(*[f"__k{i}" for i in range(len(keys))], "__p", "__prefix", "__local", offset)
