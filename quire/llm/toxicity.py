@@ -1,7 +1,7 @@
 """Operator 1, toxicity by a factorization machine over hashed terms.
 
 A document's terms are the pieces between white space, lower-cased, without the punctuation around them, and the first
-3 to 6 letters of each, which stand for its inflected forms. A feature is the 32-bit hash of a term and a level: the
+4 to 6 letters of each, which stand for its inflected forms. A feature is the 32-bit hash of a term and a level: the
 document has the term at least 1, 2, 3 or 5 times. score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>): the
 factors v learn that two features together say more, or less, than each alone.
 
@@ -31,7 +31,7 @@ from quire.llm.labelled import labelled_sample
 
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 CACHE = 500_000
-STEMS = (3, 4, 5, 6)
+STEMS = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 
 
@@ -102,11 +102,13 @@ class FactorizationMachine:
 
 def _most_telling(docs: list[np.ndarray], y: np.ndarray, max_features: int, min_docs: int) -> np.ndarray:
     """The features found in min_docs documents at least with the largest chi-square of presence and label."""
-    every, label = np.concatenate(docs), np.repeat(y, [len(d) for d in docs])
-    keys, at = np.unique(every, return_inverse=True)
-    n, ones, total, p = np.bincount(at), np.bincount(at, label), len(docs), y.mean()
+    keys, n = np.unique(np.concatenate(docs), return_counts=True)
+    keys, n = keys[n >= min_docs], n[n >= min_docs]
+    ones, total, p = np.zeros(len(keys)), len(docs), y.mean()
+    for d, label in zip(docs, y, strict=True):
+        if label:
+            ones[np.searchsorted(keys, d[np.isin(d, keys, assume_unique=True)])] += label
     chi = (ones - n * p) ** 2 / np.maximum(n * p * (1 - p) * (1 - n / total), 1e-9)
-    chi[n < min_docs] = -1
     best = np.lexsort((keys, -chi))[:max_features]
     return np.sort(keys[best[chi[best] > 0]])
 
@@ -149,7 +151,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, max_features: i
     return FactorizationMachine(keys, model.w0, (w * shown).astype(np.float32), (v * shown).astype(np.float32))
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = 12_000) -> FactorizationMachine:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = 8_000) -> FactorizationMachine:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             terms = [features(t) for t in b.column(1).to_pylist()]
