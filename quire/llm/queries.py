@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, jaccard, mixing, packing, quality_model, quality_rules, sharding, toxicity
+from quire.llm import chat, embed_dedup, jaccard, mixing, packing, quality_model, quality_rules, sharding, toxicity
 from quire.llm.common import materialize, split_remainder, table
 
 #: A conversation that tries to leave its template.
@@ -47,6 +47,10 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_tile_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_rules": op4_host_rules,
     "op5_chat_format": op5_chat_format,
     "op6_uniform_shards": op6_uniform_shards,
+    "op8_tile_dedup": op8_tile_dedup,
     "op9_pack": op9_pack,
     "op10_shingle_join": op10_shingle_join,
 }
@@ -119,6 +124,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op8_tile_dedup": r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT r AS x, r AS y FROM v UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x),
+m AS (SELECT x, min(vec_id) AS component_id FROM c JOIN v ON v.r = c.y GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = v.r)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN m ON m.x = v.r""",
     "op10_shingle_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g
