@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, embed_dedup, jaccard, mixing, packing, quality_model, quality_rules, sharding, toxicity
+from quire.llm import chat, embed_dedup, jaccard, language_model, mixing, packing, quality_model, quality_rules, sharding, toxicity
 from quire.llm.common import materialize, split_remainder, table
 
 #: A conversation that tries to leave its template.
@@ -47,6 +47,11 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"), split_remainder(7) != 2)
+    return out.select("doc_id", (split_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_tile_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_rules": op4_host_rules,
     "op5_chat_format": op5_chat_format,
     "op6_uniform_shards": op6_uniform_shards,
+    "op7_recurrent_lm": op7_recurrent_lm,
     "op8_tile_dedup": op8_tile_dedup,
     "op9_pack": op9_pack,
     "op10_shingle_join": op10_shingle_join,

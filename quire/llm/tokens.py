@@ -41,10 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _block(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts that lie one after another in data, and how many words come before each bound."""
+def _block(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of the texts that lie one after another in data, hashes of the words' last two bytes, and how many
+    words come before each bound."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(len(bounds), np.int64)
     word = ~_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True  # a text begins: no word runs on from the one before
@@ -54,11 +55,13 @@ def _block(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(_VALUE[data] * _power(_INVERSE, len(data))[: len(data)], out=sums[1:])
     hashes = (sums[e] - sums[s]) * _power(_BASE, len(data))[s]
-    return mix(hashes + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)), np.searchsorted(s, bounds)
+    ending = mix(_VALUE[data[e - 1]] * _U(3) + np.where(e - s > 1, _VALUE[data[e - 2]], _U(1)))
+    return mix(hashes + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)), ending, np.searchsorted(s, bounds)
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For blocks of rows of a string column without nulls: first row, word hashes, and the rows' bounds among them."""
+def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of rows of a string column without nulls: first row, word hashes, hashes of the words' endings, and
+    the rows' bounds among them."""
     large = pa.types.is_large_string(column.type)
     n = len(column)
     if not n:
@@ -69,8 +72,7 @@ def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
-        hashes, bounds = _block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
-        yield row, hashes, bounds
+        yield row, *_block(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row])
         row = last
 
 
@@ -78,7 +80,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes (int64) of its `size`-word shingles: its whole word sequence, if that is
     shorter; none without words."""
     factor = [_U(pow(_BASE, 2 * k + 1, 1 << 64)) for k in range(size)]
-    for _, h, bounds in words(column):
+    for _, h, _, bounds in words(column):
         run = np.zeros(max(0, len(h) - size + 1), _U)
         for k in range(size):
             run += mix(h[k : len(h) - size + 1 + k] * factor[k])
