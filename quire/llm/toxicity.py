@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.common import text_of
 from quire.llm.labelled import labelled_sample
@@ -167,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = 8
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
     """docs with a last column `__score`."""
     names = docs.columns
-    schema = docs.schema.add("__score", "double")
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
