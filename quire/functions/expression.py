@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ REFUSED = {"open", "clos", "fprf", "puts", "gets", "scan", "csh", "cshs", "execs
 
 
 def _erf(x: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def erf(s: pd.Series) -> pd.Series:
         return s.map(math.erf, na_action="ignore")
@@ -62,8 +61,6 @@ def _erf(x: Column) -> Column:
 
 
 def _lgamma(x: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def lgamma(s: pd.Series) -> pd.Series:
         return s.map(math.lgamma, na_action="ignore")

@@ -210,5 +210,6 @@ def density_2d(df: DataFrame, x: str, y: str, bandwidth: tuple[float, float], gr
 
 def local_density(p: Paged, column: str, distance: float) -> Paged:
     """LocalDensity: rows of the page within distance of the row's value, itself included, by a range window."""
-    w = Window.partitionBy(*p.page).orderBy(_x(column)).rangeBetween(-distance, distance)
-    return p.with_rows(p.rows.withColumn("LocalDensity", F.count(F.lit(1)).over(w)))
+    page = ", ".join(f"`{c}`" for c in p.page)
+    near = f"RANGE BETWEEN {float(distance)!r}D PRECEDING AND {float(distance)!r}D FOLLOWING"
+    return p.with_rows(p.rows.withColumn("LocalDensity", F.expr(f"count(1) OVER ({'PARTITION BY ' + page if page else ''} ORDER BY CAST(`{column}` AS DOUBLE) {near})")))

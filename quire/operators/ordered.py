@@ -51,8 +51,10 @@ def running_slope(p: Paged, y: str, x: str, points: int) -> DataFrame:
 def running_by_value(p: Paged, column: str, by: str, width: float, statistics: list[str]) -> DataFrame:
     """Statistics of the rows whose `by` lies within width above the row's own; EMPTY_VALUE never occurs, as the row
     itself counts."""
-    w = Window.partitionBy(*p.page).orderBy(_x(by)).rangeBetween(0, width)
-    return p.rows.select(*p.page, *p.order, *[RUNNING[s](_x(column)).over(w).alias(column + s) for s in statistics])
+    sql = {"Mean": "avg", "Min": "min", "Max": "max", "Sum": "sum", "StDev": "stddev_samp"}
+    page = ", ".join(f"`{c}`" for c in p.page)
+    over = f"OVER ({'PARTITION BY ' + page if page else ''} ORDER BY CAST(`{by}` AS DOUBLE) RANGE BETWEEN CURRENT ROW AND {float(width)!r}D FOLLOWING)"
+    return p.rows.select(*p.page, *p.order, *[F.expr(f"{sql[s]}(CAST(`{column}` AS DOUBLE)) {over}").alias(column + s) for s in statistics])
 
 
 def smooth(p: Paged, column: str, points: int, passes: int = 1) -> Paged:

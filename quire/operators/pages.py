@@ -134,10 +134,8 @@ def regroup(p: Paged, name: str = "NewPage") -> Paged:
     """Row i of every page becomes page i; the old page columns order its rows. Pages must be of one length."""
     q = p.numbered(name).counted()
     most = F.max("__rows").over(Window.partitionBy(name))
-    count = F.count(F.lit(1)).over(Window.partitionBy(name))
-    ok = F.when(F.col("__rows") == most, F.col(name)).otherwise(F.raise_error(F.lit("pages differ in length")).cast("int"))
-    rows = q.rows.withColumn("__ok", ok).filter(count > 0).drop("__rows", "__ok")
-    return Paged(rows, (name,), p.page)
+    same = F.when(F.col("__rows") == most, F.col(name)).otherwise(F.raise_error(F.lit("pages differ in length")).cast("int"))
+    return Paged(q.rows.withColumn(name, same).drop("__rows"), (name,), p.page)
 
 
 def collapse(p: Paged) -> DataFrame:

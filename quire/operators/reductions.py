@@ -174,10 +174,11 @@ def _crossing(x: np.ndarray, y: np.ndarray, level: float, at: int, step: int) ->
 def pulse(p: Paged, y: str, x: str) -> DataFrame:
     """baselevel, toplevel, amplitude, risetime, falltime (10 to 90 % of amplitude), fwhm, fwtm (full widths at half
     and tenth of maximum above base), fwha, fwta (of amplitude), center, per page."""
+    page, order = list(p.page), list(p.order)
     names = ["baselevel", "toplevel", "amplitude", "risetime", "falltime", "fwhm", "fwtm", "fwha", "fwta", "center"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(p.order))
+        pdf = pdf.sort_values(order)
         a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
         base, top = top_and_base(b)
         peak, height = int(np.argmax(b)), float(np.max(b))
@@ -185,7 +186,7 @@ def pulse(p: Paged, y: str, x: str) -> DataFrame:
         last = lambda f, h: _crossing(a, b, base + f * h, peak, 1)
         h, amp = height - base, top - base
         out = [base, top, amp, first(0.9, amp) - first(0.1, amp), last(0.1, amp) - last(0.9, amp), last(0.5, h) - first(0.5, h), last(0.1, h) - first(0.1, h), last(0.5, amp) - first(0.5, amp), last(0.1, amp) - first(0.1, amp), (last(0.5, amp) + first(0.5, amp)) / 2]
-        return pd.DataFrame([[*pdf[list(p.page)].iloc[0], *out]], columns=[*p.page, *names])
+        return pd.DataFrame([[*pdf[page].iloc[0], *out]], columns=[*page, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.rows.select(*p.page).schema)
     return p.rows.select(*p.page, *p.order, *[c for c in dict.fromkeys((x, y)) if c not in p.order]).groupBy(*p.page).applyInPandas(one, kinds + ", " + ", ".join(f"{n} double" for n in names))
