@@ -108,8 +108,8 @@ def find_zeros(t):
     return O.zero_crossings(t.event_pages, "value", "t", -50.0)
 
 
-@query("""WITH n AS MATERIALIZED (SELECT c_nationkey, c_acctbal, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer), k AS MATERIALIZED (SELECT * FROM n WHERE i < 30)
-SELECT a.c_nationkey, a.i AS "Row", R(a.c_acctbal - b.c_acctbal) AS "ChangeInc_acctbal" FROM k a JOIN k b ON b.c_nationkey = 3 AND a.i = b.i WHERE a.c_nationkey <> 3""")
+@query("""WITH n AS (SELECT c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
+SELECT a.c_nationkey, a.i - 1 AS "Row", R(a.c_acctbal - b.c_acctbal) AS "ChangeInc_acctbal" FROM n a JOIN n b ON b.c_nationkey = 3 AND a.i = b.i WHERE a.c_nationkey <> 3 AND a.i <= 30""")
 def changes_from_page(t):
     p = paged(t.customer, "c_nationkey", "c_custkey")
     q = p.numbered("r").keep(F.col("r") < 30)
