@@ -17,6 +17,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_scratch: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +41,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that nothing will read again."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/quire-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all that materialize() has written so far. For callers that have written out every result they want."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
+
+
+def small_side(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
+    """df, written and counted: marked for broadcast up to most_rows rows, else left for a shuffled join."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def text_of(col: str = "text") -> Column:

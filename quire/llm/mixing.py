@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, hex_digits, materialize, running_total, text_of
+from quire.llm.common import WORD, hex_digits, materialize, running_total, small_side, text_of
 
 MAX_PASSES = 3
 #: Weights at equally spaced times; the n-th source has schedule n modulo their number.
@@ -106,5 +106,5 @@ def mix(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
     whole = materialize(whole, "mix")  # from here on the row number is data
     sized = materialize(sized_rows(whole.select("__row", "__doc.doc_id", "__doc.source", "__doc.text"), F.col("__row")), "sizes")
     slots = plan(sized, schedules, "whole").select("row", F.explode("copies").alias("c")).select("row", F.col("c.position").alias("__position"), F.col("c.pass").alias("__pass"))
-    placed = whole.join(slots, F.col("__row") == F.col("row"))
+    placed = whole.join(small_side(slots), F.col("__row") == F.col("row"))
     return placed.orderBy("__position", "__row", "__pass").select("__doc.*")

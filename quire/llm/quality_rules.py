@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, let, materialize, text_of, words_of
+from quire.llm.common import SPACES, let, materialize, small_side, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -90,7 +90,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: f
     carry = ["doc_id"] if carry is None else carry
     measured = materialize(measure(docs, [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)] + [F.col(host).cast("string").alias("__host")], text), "rules")
     hosts = host_rates(measured, "__host").select(F.col("__host").alias("__h"), "host_rate", (F.col("host_rate") > max_rate).alias("host_rejected"))
-    return measured.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).select(
+    return measured.join(small_side(hosts, 100_000), F.col("__host").eqNullSafe(F.col("__h"))).select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], *MEASURES, base_failed().alias("base_failed"),
         "host_rate", "host_rejected", (~base_failed() & ~F.col("host_rejected")).alias("kept"),
     )
@@ -101,5 +101,5 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_rat
     row = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(host).cast("string").alias("__host"), F.col(text).alias("__text"))
     measured = materialize(measure(row, [F.col("__doc"), F.col("__host")], "__text"), "rules")
     hosts = host_rates(measured, "__host").filter(F.col("host_rate") <= max_rate).select(F.col("__host").alias("__h"))
-    good = measured.filter(~base_failed()).join(hosts, F.col("__host").eqNullSafe(F.col("__h")), "left_semi")
+    good = measured.filter(~base_failed()).join(small_side(hosts, 100_000), F.col("__host").eqNullSafe(F.col("__h")), "left_semi")
     return good.select("__doc.*")
