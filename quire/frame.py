@@ -52,6 +52,12 @@ class Paged:
         return out
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r as an aggregate; 0 if either side is constant (the built-in one fails there in ANSI mode). a and b
+    must be null in the same rows."""
+    return F.coalesce(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)), F.lit(0.0))
+
+
 def paged(rows: DataFrame, page: Sequence[str] | str = (), order: Sequence[str] | str = (), params: DataFrame | None = None) -> Paged:
     as_tuple = lambda x: (x,) if isinstance(x, str) else tuple(x)
     return Paged(rows, as_tuple(page), as_tuple(order), params)

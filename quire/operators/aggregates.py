@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.frame import Paged
+from quire.frame import Paged, correlation
 
 
 def _x(column: str) -> Column:
@@ -137,7 +137,7 @@ def correlations(p: Paged, columns: Sequence[str], rank: bool = False) -> DataFr
     finite = lambda c: _x(c).isNotNull() & ~F.isnan(_x(c)) & (F.abs(_x(c)) < float("inf"))
     pairs = list(combinations(columns, 2))
     both = lambda a, b, c: F.when(finite(a) & finite(b), _x(c))
-    out = [F.struct(F.lit(a).alias("Correlate1Name"), F.lit(b).alias("Correlate2Name"), F.lit(f"{a}.{b}").alias("CorrelatePair"), F.coalesce(F.corr(both(a, b, a), both(a, b, b)), F.lit(0.0)).alias("CorrelationCoefficient"), F.count(both(a, b, a)).alias("CorrelationPoints")) for a, b in pairs]
+    out = [F.struct(F.lit(a).alias("Correlate1Name"), F.lit(b).alias("Correlate2Name"), F.lit(f"{a}.{b}").alias("CorrelatePair"), correlation(both(a, b, a), both(a, b, b)).alias("CorrelationCoefficient"), F.count(both(a, b, a)).alias("CorrelationPoints")) for a, b in pairs]
     done = rows.groupBy(*p.page).agg(F.array(*out).alias("__c"), F.count(F.lit(1)).alias("__n")).filter("__n >= 3")
     return done.select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
 
@@ -147,7 +147,7 @@ def shift_correlation(p: Paged, column: str, other: str, shifts: Sequence[int])
     o = p.over()
     moved = {s: F.lead(_x(other), s).over(o) if s >= 0 else F.lag(_x(other), -s).over(o) for s in shifts}
     rows = p.rows.select(*p.page, _x(column).alias("__x"), *[v.alias(f"__s{i}") for i, v in enumerate(moved.values())])
-    out = F.array(*[F.struct(F.lit(s).alias("ShiftAmount"), F.coalesce(F.corr(F.when(F.col(f"__s{i}").isNotNull(), F.col("__x")), F.col(f"__s{i}")), F.lit(0.0)).alias(f"{column}ShiftedCor")) for i, s in enumerate(moved)])
+    out = F.array(*[F.struct(F.lit(s).alias("ShiftAmount"), correlation(F.when(F.col(f"__s{i}").isNotNull(), F.col("__x")), F.col(f"__s{i}")).alias(f"{column}ShiftedCor")) for i, s in enumerate(moved)])
     return rows.groupBy(*p.page).agg(out.alias("__c")).select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.frame import EMPTY_VALUE, Paged
+from quire.frame import correlation as pearson
 
 SIMPLE = {
     "average": lambda x: F.avg(x), "sum": lambda x: F.sum(x), "rms": lambda x: F.sqrt(F.avg(x * x)), "minimum": lambda x: F.min(x), "maximum": lambda x: F.max(x),
@@ -125,7 +126,7 @@ def line(p: Paged, y: str, x: str, prefix: str) -> DataFrame:
 def correlation(p: Paged, x: str, y: str, name: str) -> DataFrame:
     a, b = _x(x), _x(y)
     ok = ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
-    return p.with_rows(p.rows.filter(ok)).reduce(F.coalesce(F.corr(a, b), F.lit(0.0)).alias(name))
+    return p.with_rows(p.rows.filter(ok)).reduce(pearson(a, b).alias(name))
 
 
 def integral(p: Paged, y: str, x: str, name: str) -> DataFrame:
