@@ -15,4 +15,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = chosen.select(F.col("doc_id").alias("__id"), "y")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
