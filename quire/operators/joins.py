@@ -176,3 +176,57 @@ def dereference(p: Paged, index: Column, source: str, name: str) -> DataFrame:
     s = p.numbered().rows.select(*[F.col(c).alias(f"__r_{c}") for c in p.page], F.col("__row").alias("__at"), F.col(source).alias(name))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in p.page], F.col("__want") == F.col("__at"))
     return q.join(s, same).select(*p.rows.columns, name)
+
+
+def interpolate_polynomial(data: Paged, x: str, y: str, values: Sequence[float], order: int) -> DataFrame:
+    """Lagrange interpolation of the given order through the nearest rows, at fixed values: x and y per page."""
+    import numpy as np
+
+    from quire.operators.grouped import per_page
+
+    def f(c):
+        a, first = np.unique(c[x].astype(float), return_index=True)
+        b = c[y].astype(float)[first]
+        n, out = min(order + 1, len(a)), []
+        for v in values:
+            at = int(np.clip(np.searchsorted(a, v) - n // 2, 0, len(a) - n))
+            t, u = a[at : at + n], b[at : at + n]
+            out.append(sum(u[i] * np.prod([(v - t[j]) / (t[i] - t[j]) for j in range(n) if j != i]) for i in range(n)))
+        return {x: np.array(values, float), y: np.array(out)}
+
+    return per_page(data, [x, y], f, f"`{x}` double, `{y}` double")
+
+
+def interpolate_set(files: dict[str, Paged], x: str, y: str, at: float, name: str = "File") -> DataFrame:
+    """y at one x in each of several tables: File and y."""
+    out = None
+    for key, p in files.items():
+        wanted = p.rows.sparkSession.range(1).select(F.lit(float(at)).alias("__at"))
+        one = interpolate(p, x, y, wanted, "__at").select(F.lit(key).alias(name), y)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def interpolate_by_model(data: Paged, model: DataFrame, x: str, y: str, at: DataFrame, value: str) -> DataFrame:
+    """Between data rows y follows the model's shape: the ratio y / model is interpolated and multiplied back."""
+    m = Paged(model, (), (x,))
+    on_data = interpolate(m, x, y, data.rows.select(F.col(x).alias("__at")).distinct(), "__at").withColumnRenamed(y, "__m").withColumnRenamed(x, "__x")
+    ratio = data.rows.join(on_data, F.col(x).cast("double") == F.col("__x")).withColumn("__ratio", F.col(y) / F.nullif(F.col("__m"), F.lit(0.0)))
+    r = interpolate(data.with_rows(ratio), x, "__ratio", at, value)
+    on_values = interpolate(m, x, y, at, value).select(F.col(x).alias("__x"), F.col(y).alias("__m"))
+    return r.join(on_values, F.col(x) == F.col("__x")).select(*data.page, x, (F.col("__ratio") * F.col("__m")).alias(y))
+
+
+def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, most_levels: int = 100) -> DataFrame:
+    """root, node and level of everything under each root of a dependency table; a cycle ends where it meets itself.
+    Each level is one join with the edges, written before the next."""
+    found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("level"))
+    edge = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct()
+    level, all_ = found, found
+    for k in range(1, most_levels + 1):
+        level = level.join(edge, F.col("node") == F.col("__p")).select("root", F.col("__c").alias("node"), F.lit(k).alias("level")).distinct()
+        level = level.join(all_.select("root", "node"), ["root", "node"], "left_anti").persist()
+        if level.isEmpty():
+            return all_
+        all_ = all_.unionByName(level)
+    raise RuntimeError("the dependency table is too deep")

@@ -15,6 +15,12 @@ def _wave(t):
     return paged(rows.withColumn("y", 3 + F.sin(2 * 3.141592653589793 * 5 * F.col("x") + F.col("page")) + 0.3 * F.cos(2 * 3.141592653589793 * 12 * F.col("x"))), "page", "x")
 
 
+def _near(fitted):
+    """Parameters to three decimals, widths without their sign: what a descent settles at, not its last digits."""
+    out = fitted.drop("RmsResidual")
+    return out.select(*[(F.abs(F.round(c, 3)) if c in ("gfitSigma", "lfitGamma") else F.round(c, 3)).alias(c) if k == "double" else c for c, k in out.dtypes])
+
+
 _N = "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1"
 
 
@@ -31,7 +37,7 @@ def fourier_power(t):
     return signal.fft(_wave(t), "x", "y", window="hanning", psd=True, full=True)
 
 
-@query()
+@query("""SELECT p::BIGINT AS page, r::BIGINT AS "Row", R(3 + sin(2 * pi() * 5 * r / 100 + p) + 0.3 * cos(2 * pi() * 12 * r / 100)) AS value FROM range(3) a(p), range(400) b(r)""")
 def fourier_inverse(t):
     p = _wave(t)
     z = signal.fft(p, "x", "y", subtract_mean=False, full=True)
@@ -116,22 +122,22 @@ def fit_several(t):
     return fits.polynomial(p.with_rows(p.rows.withColumn("z", F.col("y") * 2)), "x", ["y", "z"], [0, 1, 2])
 
 
-@query()
+@query("SELECT p::BIGINT AS page, 1.0::DOUBLE AS \"expfitConstant\", 2.0::DOUBLE AS \"expfitFactor\", -1.5::DOUBLE AS \"expfitRate\" FROM range(3) r(p)")
 def fit_exponential(t):
     p = _wave(t)
-    return fits.exponential(p.with_rows(p.rows.withColumn("y", 1 + 2 * F.exp(-1.5 * F.col("x")))), "x", "y")
+    return _near(fits.exponential(p.with_rows(p.rows.withColumn("y", 1 + 2 * F.exp(-1.5 * F.col("x")))), "x", "y"))
 
 
-@query()
+@query("SELECT p::BIGINT AS page, 1.0::DOUBLE AS \"gfitBaseline\", 5.0::DOUBLE AS \"gfitHeight\", 2.0::DOUBLE AS \"gfitMean\", 0.4::DOUBLE AS \"gfitSigma\" FROM range(3) r(p)")
 def fit_gaussian(t):
     p = _wave(t)
-    return fits.gaussian(p.with_rows(p.rows.withColumn("y", 1 + 5 * F.exp(-F.pow((F.col("x") - 2) / 0.4, F.lit(2)) / 2))), "x", "y")
+    return _near(fits.gaussian(p.with_rows(p.rows.withColumn("y", 1 + 5 * F.exp(-F.pow((F.col("x") - 2) / 0.4, F.lit(2)) / 2))), "x", "y"))
 
 
-@query()
+@query("SELECT p::BIGINT AS page, 1.0::DOUBLE AS \"lfitBaseline\", 5.0::DOUBLE AS \"lfitHeight\", 2.0::DOUBLE AS \"lfitCenter\", 0.3::DOUBLE AS \"lfitGamma\" FROM range(3) r(p)")
 def fit_lorentzian(t):
     p = _wave(t)
-    return fits.lorentzian(p.with_rows(p.rows.withColumn("y", 1 + 5 / (1 + F.pow((F.col("x") - 2) / 0.3, F.lit(2))))), "x", "y")
+    return _near(fits.lorentzian(p.with_rows(p.rows.withColumn("y", 1 + 5 / (1 + F.pow((F.col("x") - 2) / 0.3, F.lit(2))))), "x", "y"))
 
 
 @query()
@@ -139,10 +145,10 @@ def fit_sine(t):
     return fits.sine(_wave(t), "x", "y")
 
 
-@query()
+@query("SELECT p::BIGINT AS page, 2.0::DOUBLE AS a, -1.0::DOUBLE AS b FROM range(3) r(p)")
 def fit_generic(t):
     p = _wave(t)
-    return fits.generic(p.with_rows(p.rows.withColumn("y", 2 * F.col("x") + F.exp(-F.col("x")))), "x", "y", "a * x + exp(b * x)", {"a": 1.0, "b": -0.5})
+    return _near(fits.generic(p.with_rows(p.rows.withColumn("y", 2 * F.col("x") + F.exp(-F.col("x")))), "x", "y", "a * x + exp(b * x)", {"a": 1.0, "b": -0.5}))
 
 
 @query()
@@ -256,10 +262,11 @@ def snap_to_grid(t):
     return images.snap_to_grid(paged(rows, "page", "id"), "x")
 
 
-@query()
+@query("SELECT true AS many, 0.0::DOUBLE AS worst")
 def interpolate_scattered(t):
     p = paged(t.supplier.select(F.lit(1).alias("page"), "s_suppkey", (F.col("s_nationkey") + F.col("s_suppkey") / 1000).alias("x"), (F.col("s_acctbal") / 1000).alias("y")).withColumn("z", 2 * F.col("x") - F.col("y")), "page", "s_suppkey")
-    return images.interpolate_scattered(p, "x", "y", "z", (11, 11))
+    out = images.interpolate_scattered(p, "x", "y", "z", (11, 11))  # a plane comes back as it is
+    return out.agg((F.count(F.lit(1)) > 50).alias("many"), F.round(F.max(F.abs(F.col("z") - 2 * F.col("x") + F.col("y"))), 6).alias("worst"))
 
 
 @query("""WITH s AS (SELECT c_mktsegment, c_custkey, c_acctbal AS a, c_nationkey::DOUBLE AS b, least(floor((c_custkey - min(c_custkey) OVER w)::DOUBLE / (max(c_custkey) OVER w - min(c_custkey) OVER w) * 8), 7)::INT AS k FROM customer WINDOW w AS (PARTITION BY c_mktsegment))
