@@ -57,10 +57,19 @@ def drop_shared(df: DataFrame) -> None:
             _delete(df.sparkSession, name)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete all that materialize() has written so far. For callers that have written out every result they want."""
-    while _scratch:
-        _delete(spark, _scratch.pop())
+def scratch_mark() -> int:
+    return len(_scratch)
+
+
+def scratch_since(mark: int) -> list[str]:
+    """Folders that materialize() has written since the mark."""
+    return _scratch[mark:]
+
+
+def release_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that materialize() has written, for callers that have written out what they wanted of them."""
+    for name in folders:
+        _delete(spark, name)
 
 
 def small_side(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
