@@ -114,7 +114,7 @@ def _most_telling(docs: list[np.ndarray], y: np.ndarray, max_features: int, min_
     return np.sort(keys[best[chi[best] > 0]])
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, max_features: int = 1 << 13, min_docs: int = 3, epochs: int = 15, rate: float = 0.1, l2: float = 1e-4, dropout: float = 0.3, batch: int = 64, seed: int = 5) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, max_features: int = 1 << 11, min_docs: int = 3, epochs: int = 50, rate: float = 0.1, l2: float = 3e-4, dropout: float = 0.3, heavy: float = 1.0, batch: int = 64, seed: int = 5) -> FactorizationMachine:
     """AdaGrad on the log loss. Each time, a document shows only some of its features: a stem has to carry weight
     without the words it was seen with, or a form not seen in fitting would go unnoticed."""
     prior = float(y.mean()) if len(y) else 0.0
@@ -123,7 +123,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, max_features: i
         return FactorizationMachine(np.zeros(0, np.int64), w0, np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     keys = _most_telling(docs, y, max_features, min_docs)
     where = [np.flatnonzero(np.isin(keys, d, assume_unique=True)) for d in docs]
-    heavier = math.sqrt(max(1.0, (1 - prior) / prior))  # the rare label counts for more, halfway to balance
+    heavier = max(1.0, (1 - prior) / prior) ** heavy  # at 1 both labels weigh the same
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(keys)), rng.normal(0, 0.01, (len(keys), factors))
     gw, gv, g0 = np.full(len(keys), 1e-6), np.full(v.shape, 1e-6), 1e-6
