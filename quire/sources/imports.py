@@ -166,3 +166,128 @@ def parse_scope_text(raw: bytes) -> dict:
 
 def scope_text(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, parse_scope_text, "time double, signal double")
+
+
+#: Header of a multichannel scaler file, little-endian, 256 bytes: fields in order with their struct codes.
+MCS_HEADER = [
+    ("file_type", "h"), ("trigger", "b"), ("dwell_flag", "b"), ("dwell_units", "b"), ("acquisition_mode", "b"), ("old_dwell", "I"), ("channels", "H"), ("passes", "I"), ("passes_preset", "I"), ("time", "8s"), ("date", "8s"),
+    ("marker", "H"), ("mcs_number", "b"), ("calibrated", "b"), ("calibration_units", "4s"), ("zero", "f"), ("slope", "f"), ("reserved1", "10s"), ("id_byte", "b"), ("reserved2", "b"), ("detector_length", "B"), ("detector", "63s"),
+    ("sample_length", "B"), ("sample", "63s"), ("reserved3", "16s"), ("selector", "b"), ("edge", "b"), ("discriminator", "f"), ("upper", "f"), ("lower", "f"), ("dwell", "f"), ("consistent", "b"), ("reserved4", "21s"), ("mcs_id", "8s"),
+]
+
+
+def parse_mcs(raw: bytes) -> dict:
+    """Counts per channel, with the calibrated abscissa."""
+    layout = struct.Struct("<" + "".join(c for _, c in MCS_HEADER))
+    h = dict(zip((n for n, _ in MCS_HEADER), layout.unpack_from(raw), strict=True))
+    counts = np.frombuffer(raw, "<u4", h["channels"], layout.size).astype(np.int64)
+    i = np.arange(len(counts))
+    return {"Channel": i, "Counts": counts, "Calibrated": h["zero"] + h["slope"] * i if h["calibrated"] else i.astype(float)}
+
+
+def mcs(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark, path, parse_mcs, "Channel bigint, Counts bigint, Calibrated double")
+
+
+#: Lines and pixels a line of each frame type of a beam analyser file; its header has 200 bytes.
+LBA_FRAMES = {"A": (120, 120), "B": (256, 240), "C": (512, 480)}
+
+
+def parse_lba(raw: bytes) -> dict:
+    kind = raw[:1].decode("latin-1")
+    if kind not in LBA_FRAMES:
+        raise ValueError("not a beam analyser frame")
+    columns, rows = LBA_FRAMES[kind]
+    v = np.frombuffer(raw, np.uint8, rows * columns, 200)
+    i = np.arange(len(v))
+    return {"Row": i // columns, "Column": i % columns, "value": v.astype(int)}
+
+
+def lba(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark, path, parse_lba, "Row bigint, Column bigint, value int")
+
+
+def parse_arbitrary_waveform(raw: bytes) -> dict:
+    """Big-endian 16 bit samples."""
+    v = np.frombuffer(raw[: len(raw) // 2 * 2], ">i2")
+    return {"Index": np.arange(len(v)), "Waveform": v.astype(int)}
+
+
+def arbitrary_waveform(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark, path, parse_arbitrary_waveform, "Index bigint, Waveform int")
+
+
+#: Numeric data types of TDMS by number.
+TDMS_TYPES = {1: "i1", 2: "i2", 3: "i4", 4: "i8", 5: "u1", 6: "u2", 7: "u4", 8: "u8", 9: "f4", 10: "f8", 0x19: "f4", 0x1A: "f8", 0x21: "u1"}
+
+
+def parse_tdms(raw: bytes) -> dict:
+    """segment, channel (object path), Index and value of all numeric channels; a segment without new objects repeats
+    the last list, and an index of 0 repeats a channel's last layout."""
+    out: dict[str, list] = {"segment": [], "channel": [], "Index": [], "value": []}
+    at, number, layouts, active, seen = 0, 0, {}, [], {}
+    while at + 28 <= len(raw) and raw[at : at + 4] == b"TDSm":
+        toc = struct.unpack_from("<I", raw, at + 4)[0]
+        order = ">" if toc & 64 else "<"
+        following, data = struct.unpack_from(order + "QQ", raw, at + 12)
+        end = len(raw) if following == (1 << 64) - 1 else at + 28 + following
+        place = at + 28
+
+        def take(code: str):
+            nonlocal place
+            value = struct.unpack_from(order + code, raw, place)[0]  # noqa: B023
+            place += struct.calcsize(order + code)  # noqa: B023
+            return value
+
+        def text() -> str:
+            nonlocal place
+            n = take("I")  # noqa: B023
+            place += n
+            return raw[place - n : place].decode()
+
+        if toc & 2:
+            if toc & 4:
+                active = []
+            for _ in range(take("I")):
+                path, index = text(), take("I")
+                if index not in (0, 0xFFFFFFFF):
+                    kind, _, n = take("I"), take("I"), take("Q")
+                    if kind == 0x20:
+                        take("Q")
+                    layouts[path] = (kind, n)
+                if index != 0xFFFFFFFF and path not in active:
+                    active.append(path)
+                for _ in range(take("I")):
+                    text()
+                    kind = take("I")
+                    place += 16 if kind == 0x44 else 0
+                    if kind == 0x20:
+                        text()
+                    elif kind != 0x44:
+                        place += np.dtype(TDMS_TYPES[kind]).itemsize
+        place = at + 28 + data
+        known = [(p, np.dtype(order + TDMS_TYPES[layouts[p][0]]), layouts[p][1]) for p in active if p in layouts and layouts[p][0] in TDMS_TYPES]
+        size = sum(d.itemsize * n for _, d, n in known)
+        while toc & 8 and size and place + size <= end:
+            if toc & 32:
+                rows = np.frombuffer(raw, np.dtype([(f"c{i}", d) for i, (_, d, _) in enumerate(known)]), known[0][2], place)
+                chunk = [rows[f"c{i}"] for i in range(len(known))]
+                place += size
+            else:
+                chunk = []
+                for _, d, n in known:
+                    chunk.append(np.frombuffer(raw, d, n, place))
+                    place += d.itemsize * n
+            for (path, _, n), v in zip(known, chunk, strict=True):
+                first = seen.get(path, 0)
+                seen[path] = first + n
+                out["segment"] += [number] * n
+                out["channel"] += [path] * n
+                out["Index"] += range(first, first + n)
+                out["value"] += v.astype(float).tolist()
+        at, number = end, number + 1
+    return out
+
+
+def tdms(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark, path, parse_tdms, "segment int, channel string, Index bigint, value double")

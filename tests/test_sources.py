@@ -113,3 +113,34 @@ def test_exports(spark, tmp_path):
     assert exports.headless(p.rows, ["i"], ["i"]) == np.array([1.0, 2.0]).tobytes()
     exports.write_lines(exports.lines(p, ["i"]), str(tmp_path / "o"), ["page"], ["i"])
     assert spark.read.text(str(tmp_path / "o" / "page=1")).count() == 2
+
+
+def test_instrument_files(spark, tmp_path):
+    import struct
+
+    head = struct.Struct("<" + "".join(c for _, c in imports.MCS_HEADER))
+    assert head.size == 256
+    fields = {n: (b"" if c.endswith("s") else 0) for n, c in imports.MCS_HEADER} | {"channels": 3, "calibrated": 1, "zero": 1.0, "slope": 0.5}
+    (tmp_path / "a.mcs").write_bytes(head.pack(*fields.values()) + struct.pack("<3I", 7, 8, 1 << 31))
+    got = imports.mcs(spark, str(tmp_path / "a.mcs")).orderBy("Channel").collect()
+    assert [(r["Counts"], r["Calibrated"]) for r in got] == [(7, 1.0), (8, 1.5), (1 << 31, 2.0)]
+    (tmp_path / "a.lba").write_bytes(b"A".ljust(200, b"\0") + bytes(range(120)) * 120)
+    assert imports.lba(spark, str(tmp_path / "a.lba")).filter("Row = 5 AND Column = 7").first()["value"] == 7
+    with pytest.raises(ValueError, match="frame"):
+        imports.parse_lba(b"Z")
+    (tmp_path / "a.arb").write_bytes(struct.pack(">3h", 1, -2, 300))
+    assert [r["Waveform"] for r in imports.arbitrary_waveform(spark, str(tmp_path / "a.arb")).orderBy("Index").collect()] == [1, -2, 300]
+
+    def segment(toc, meta, data):
+        return b"TDSm" + struct.pack("<IIQQ", toc, 4713, len(meta) + len(data), len(meta)) + meta + data
+
+    def entry(path, index, properties=b"\0\0\0\0"):
+        return struct.pack("<I", len(path)) + path.encode() + index + properties
+
+    layout = lambda kind, n: struct.pack("<IIIQ", 20, kind, 1, n)
+    name = struct.pack("<I", 1) + struct.pack("<I", 4) + b"unit" + struct.pack("<I", 0x20) + struct.pack("<I", 1) + b"V"
+    one = segment(2 | 4 | 8, struct.pack("<I", 2) + entry("/'g'/'a'", layout(10, 2), name) + entry("/'g'/'b'", layout(3, 1)), struct.pack("<ddi", 1.5, 2.5, 7))
+    two = segment(8, b"", struct.pack("<ddi", 3.5, 4.5, 8) * 2)
+    (tmp_path / "a.tdms").write_bytes(one + two)
+    got = imports.tdms(spark, str(tmp_path / "a.tdms")).filter("channel LIKE '%a%'").orderBy("Index").collect()
+    assert [r["value"] for r in got] == [1.5, 2.5, 3.5, 4.5, 3.5, 4.5] and [r["segment"] for r in got] == [0, 0, 1, 1, 1, 1]
