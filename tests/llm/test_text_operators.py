@@ -230,5 +230,5 @@ def test_encoder(text):
 
     global _ENCODER
     if "_ENCODER" not in globals():
-        _ENCODER = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), cache=50)
+        _ENCODER = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert np.frombuffer(_ENCODER.encode(text), "<u4").tolist() == _ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
