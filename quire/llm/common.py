@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
@@ -50,6 +51,15 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _clean() -> None:
+    """A process that ends takes its intermediate folders along, as far as its JVM still answers."""
+    spark = SparkSession.getActiveSession() if _scratch else None
+    with contextlib.suppress(Exception):
+        for name in _scratch if spark else ():
+            _delete(spark, name)
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that nothing will read again."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -9,8 +9,8 @@ Fitting uses at most max_rows labelled documents (a documented bound) and, of th
 depend most on the label; the model is of bounded size and goes to the workers with the function. Scoring reads every
 whole text once and shuffles nothing.
 
-Defined cases: null and empty texts have no features and get the score of the bias; without labels of both kinds the
-score is the share of label 1 (0 without labels); repeated rows are scored each; an empty table gives an empty result;
+Defined cases: null and empty texts have no features and get the score of the bias; without labels of both kinds
+nothing tells documents apart and the score is 0, or 0.5 if all labels are 1; repeated rows are scored each; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -120,6 +120,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, factors: int = 6, max_features: i
     prior = float(y.mean()) if len(y) else 0.0
     w0 = math.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
     if not len(y) or prior in (0.0, 1.0):
+        w0 = min(w0, 0.0)
         return FactorizationMachine(np.zeros(0, np.int64), w0, np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     keys = _most_telling(docs, y, max_features, min_docs)
     where = [np.flatnonzero(np.isin(keys, d, assume_unique=True)) for d in docs]
