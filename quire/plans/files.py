@@ -86,13 +86,16 @@ def dependency_tree(t):
 
 @query("SELECT 3 AS pages, 75 AS rows, 'ok' AS verdict")
 def write_and_read_files(t):
-    """The paged format through its writer and reader, in the folder that Spark's workers share in local mode."""
+    """The paged format through its writer and reader, in the folder that the workers share (spark.checkpoint.dir), or a
+    temporary one where that is unset, as in local mode."""
+    import os
     import tempfile
 
     from quire.sources import paged_file
 
     rows = t.spark.range(75).select((F.col("id") % 3).alias("page"), F.col("id").alias("i"), (F.col("id") / 7).alias("x"), F.concat(F.lit('a "b" '), F.col("id").cast("string")).alias("s"))
-    folder = tempfile.mkdtemp(prefix="quire-files-")
+    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://")
+    folder = tempfile.mkdtemp(prefix="quire-files-", dir=shared if os.path.isdir(shared) else None)
     paged_file.write(paged(rows, "page", "i"), folder, "ABCD5").collect()
     back, _ = paged_file.read(t.spark, f"{folder}/*.paged")
     same = back.rows.join(rows.withColumnRenamed("x", "x0").withColumnRenamed("s", "s0"), "i").filter("x = x0 AND s = s0")
