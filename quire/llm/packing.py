@@ -18,9 +18,12 @@ gives an empty result; other columns are ignored. Sequence ids are unique, not g
 from __future__ import annotations
 
 import heapq
+import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +43,27 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import os
+        self.path = path
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded by the first text that needs it; most workers never meet one."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.latin = self._latin_bpe()
+        return Tokenizer.from_file(self.path)
 
-    def _latin_bpe(self):
+    @cached_property
+    def latin(self):
         import tiktoken
 
+        with open(self.path, encoding="utf-8") as f:
+            described = json.load(f)
         # byte-level vocabularies write each byte as a printable character: itself, or the next from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         spelt = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(spelt[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        special = {t["content"] for t in described["added_tokens"]}
+        ranks = {bytes(spelt[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
         return tiktoken.Encoding("latin", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -66,6 +74,12 @@ class Encoder:
         return self.latin.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One a worker process, for all its tasks."""
+    return Encoder(path)
+
+
 def cut(tokens: int, capacity: int, max_piece: int) -> list[int]:
     """Lengths of a document's pieces."""
     full, rest = divmod(tokens, capacity)
@@ -125,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, max_piec
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in it:
             row, start, length, crc, tokens = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

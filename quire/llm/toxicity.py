@@ -31,7 +31,8 @@ from quire.llm.common import text_of
 from quire.llm.labelled import labelled_sample
 
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
-CACHE = 500_000
+#: Pieces of text a task remembers the features of.
+CACHE = 150_000
 STEMS = (4, 5, 6)
 LEVELS = (1, 2, 3, 5)
 
