@@ -6,9 +6,11 @@ of the network; every other word belongs to one of TAIL classes by its last two
     P(class | state) * (c + 1) / (N_k + V_k + 1)   for others, c their training count and N_k, V_k their class's sums,
 so the model is normalised over all words seen and one unseen word in each tail class.
 
-The network (GRU, numpy) is trained on the driver by truncated backpropagation on a bounded sample of training documents
-(`sample_docs`, a documented bound), joined to parallel streams whose state is reset where a document begins. Scoring
-carries the state through each document to its end: documents of a batch advance together, longest first.
+The network (GRU, numpy) is trained by truncated backpropagation on documents joined to parallel streams whose state is
+reset where a document begins. It starts on the driver with `sample_docs` training documents; every other training
+document is then learnt from in one of ROUNDS rounds, in which each partition trains the network of the round before
+and the changes are averaged, each row of a matrix by how often its words occurred. Scoring carries the state through
+each document to its end: documents of a batch advance together, longest first.
 
 The counts of the KNOWN most frequent words go to the workers (a bounded table); the counts of rarer ones are joined
 to the documents that hold them, so the vocabulary may grow without bound.
@@ -25,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from quire.llm.common import materialize, text_of
 from quire.llm.tokens import words
 
 HEAD, HEAD_CLASS, TAIL, KNOWN, HIDDEN = 4096, 64, 64, 1 << 19, 24
+#: Rounds of the distributed training; tokens a partition has at least, where the table has them; tokens trained at once.
+ROUNDS, PART_TOKENS, BLOCK_TOKENS = 3, 1 << 20, 1 << 22
 #: The token that ends each document.
 END = np.int64(0x5E17_E2D0_0C5E_17E2)
 
@@ -263,7 +268,9 @@ def train(net: Network, documents: list[np.ndarray], streams: int = 64, window:
                 du += was.T @ dg
                 carry = np.where(fresh[s][:, None], 0, d * z + dg @ net.u.T)
             dxs = np.zeros_like(net.x)
-            np.add.at(dxs, unit.reshape(-1), dx.reshape(-1, 3 * H))
+            by_unit = np.argsort(unit, axis=None, kind="stable")
+            inputs, first = np.unique(unit.reshape(-1)[by_unit], return_index=True)
+            dxs[inputs] = np.add.reduceat(dx.reshape(-1, 3 * H)[by_unit], first)
             t += 1
             step = rate * (1 - t / (total + 1)) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for p_, g_, a_, b_ in zip(net.parameters(), (dxs, du, dwc, dbc, dwo, dbo), m1, m2, strict=True):
@@ -316,6 +323,8 @@ def score_units(net: Network, units: np.ndarray, ends: np.ndarray, end_unit: int
 def learn(docs: DataFrame, voc: Vocabulary, sample_docs: int) -> Network:
     """docs: doc_id, text (training documents)."""
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.col("doc_id").alias("__id"))
+    chosen = materialize(chosen, "sample")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -324,9 +333,75 @@ def learn(docs: DataFrame, voc: Vocabulary, sample_docs: int) -> Network:
                 units += np.split(voc.units(tokens, *voc.find(tokens)), ends[:-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units, pa.list_(pa.int32()))], ["doc_id", "units"])
 
-    found = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text")  # sample_docs bounds it
+    found = docs.join(F.broadcast(chosen), same).select("doc_id", "text")  # sample_docs bounds it
     found = found.mapInArrow(batches, "doc_id bigint, units array<int>").toArrow().sort_by("doc_id")
-    return train(Network.start(voc), [x.values.to_numpy() for x in found.column("units").combine_chunks()])
+    net = train(Network.start(voc), [x.values.to_numpy() for x in found.column("units").combine_chunks()])
+    if chosen.count() < sample_docs:
+        return net  # it was all
+    others = docs.join(F.broadcast(chosen), same, "left_anti")
+    for k in range(ROUNDS):
+        share = others.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
+        net = refine(net, share, voc, 0.004 / (k + 1))
+    return net
+
+
+def occurrences(units: np.ndarray) -> np.ndarray:
+    """All tokens, those of each unit and those of each class of head words."""
+    each = np.bincount(units, minlength=HEAD + TAIL)
+    return np.concatenate([[len(units)], each, each[:HEAD].reshape(-1, HEAD_CLASS).sum(1)]).astype(float)
+
+
+def weights_of(seen: np.ndarray) -> list[np.ndarray]:
+    """What occurrences count for in each of a network's parameters, rows of x by their unit, of wo and bo by their class."""
+    all_, unit, head = seen[:1], seen[1 : 1 + HEAD + TAIL], np.repeat(seen[1 + HEAD + TAIL :], HEAD_CLASS)
+    return [unit[:, None], all_[:, None], all_[:, None], all_, head[:, None], head]
+
+
+def refine(net: Network, docs: DataFrame, voc: Vocabulary, rate: float) -> Network:
+    """net after every row of docs (text) was trained on once: partitions train apart, their changes are averaged."""
+    before = net.parameters()
+    size = 1 + HEAD + TAIL + HEAD // HEAD_CLASS
+
+    def changes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, held, n = Network(*(p.copy() for p in before), net.tail_log), np.zeros(size), [], 0
+
+        def learn_held():
+            if held:
+                train(own, held, streams=128, epochs=1, rate=rate)
+
+        for b in it:
+            for tokens, ends in token_rows(b.column(0)):
+                units = voc.units(tokens, *voc.find(tokens))
+                seen += occurrences(units)
+                held += np.split(units, ends[:-1])
+                n += len(units)
+                if n >= BLOCK_TOKENS:
+                    learn_held()
+                    held, n = [], 0
+        learn_held()
+        if seen[0]:
+            total = [seen, *((w * (a - b)).reshape(-1) for w, a, b in zip(weights_of(seen), own.parameters(), before, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate(total).astype(np.float32).tobytes()], pa.binary())], ["k", "s"])
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((k, s) for b in it for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if rows:
+            total = sum(np.frombuffer(s, np.float32).astype(float) for _, s in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["k", "s"])
+
+    n = max(1, math.ceil(voc.total / PART_TOKENS))
+    parts = docs.coalesce(n).mapInArrow(changes, "k int, s binary")
+    for fewer in (min(64, math.ceil(n / 16)), 1):
+        parts = parts.repartition(fewer).mapInArrow(add, "k int, s binary")
+    rows = parts.collect()  # one row
+    if not rows:
+        return net
+    total = np.frombuffer(rows[0]["s"], np.float32)
+    at, after = size, []
+    for p, w in zip(before, weights_of(total[:size]), strict=True):
+        after.append(p + total[at : at + p.size].reshape(p.shape) / np.maximum(w, np.float32(1)))
+        at += p.size
+    return Network(*after, net.tail_log)
 
 
 def score(docs: DataFrame, allowed: Column, sample_docs: int = 1000) -> DataFrame:

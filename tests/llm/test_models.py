@@ -183,6 +183,27 @@ def test_language_model_beats_its_base(spark):
     assert r.score.sum() > r.base_score.sum()
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    """Words of their own in each document, and documents beyond the driver's sample: all reach the network."""
+    docs = spark.createDataFrame([(i, f"common{i % 3} own{i} other{i} common{i % 5}") for i in range(200)], "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(L, "PART_TOKENS", 300)
+    voc = L.vocabulary(L.count_tokens(docs))
+    start, net = L.Network.start(voc), L.learn(docs, voc, 8)
+    assert (start.x[: voc.head_size] != net.x[: voc.head_size]).any(1).all()
+    assert all(np.isfinite(p).all() and p.dtype == np.float32 for p in net.parameters())
+    assert all((a == b).all() for a, b in zip(net.parameters(), L.learn(docs, voc, 8).parameters(), strict=True))
+
+
+def test_refining_averages_by_occurrence(spark, monkeypatch):
+    """A round over two equal partitions is the round over one of them."""
+    monkeypatch.setattr(L, "PART_TOKENS", 100)
+    docs = spark.createDataFrame([("a b a c d a b",)] * 40, "text string")
+    voc = L.vocabulary(L.count_tokens(docs))
+    one, two = (L.refine(L.Network.start(voc), d, voc, 0.01) for d in (docs.limit(20).coalesce(1), docs.limit(20).coalesce(1).union(docs.limit(20).coalesce(1))))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one.parameters(), two.parameters(), strict=True))
+    assert not np.allclose(one.x, L.Network.start(voc).x)
+
+
 @pytest.mark.parametrize("known", [1, 1 << 10])
 def test_rare_words_are_counted_exactly(spark, monkeypatch, known):
     monkeypatch.setattr(L, "KNOWN", known)
