@@ -44,10 +44,18 @@ def fourier_inverse(t):
     return signal.inverse_fft(paged(z, "page", "f"), "RealFFTy", "ImagFFTy", 400)
 
 
+#: Components of an embedding.
+_ALL = [f"c{i}" for i in range(64)]
+
+
+def _vectors(t):
+    """A page per label, its rows the whole embeddings."""
+    return paged(t.embeddings.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)]), "label", "vec_id")
+
+
 @query()
 def fourier_2d(t):
-    p = paged(t.embeddings.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(8)]), "label", "vec_id")
-    return signal.fft_2d(p, [f"c{i}" for i in range(8)])
+    return signal.fft_2d(_vectors(t), _ALL)
 
 
 @query("""SELECT event_id, R(value * 0.5 + coalesce(lag(value, 1) OVER w, 0) * 0.3 + coalesce(lag(value, 2) OVER w, 0) * 0.2) AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
@@ -194,8 +202,7 @@ def matrix_determinant(t):
 
 @query()
 def matrix_pseudo_inverse(t):
-    p = paged(t.embeddings.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(5)]), "label", "vec_id")
-    return matrices.pseudo_inverse(p, [f"c{i}" for i in range(5)], 1e-6)
+    return matrices.pseudo_inverse(_vectors(t), _ALL, 1e-6)
 
 
 @query()
@@ -205,8 +212,7 @@ def matrix_complex_pseudo_inverse(t):
 
 @query()
 def matrix_singular_values(t):
-    p = paged(t.embeddings.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(5)]), "label", "vec_id")
-    return matrices.singular_values(p, [f"c{i}" for i in range(5)])
+    return matrices.singular_values(_vectors(t), _ALL)
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.frame import EMPTY_VALUE, paged
 from quire.operators import aggregates as A
 from quire.operators import filters, fits, images, joins, matrices, ordered, pages, reductions, signal
+from quire.plans.all_queries import QUERIES
 
 
 def frame(spark, ys, xs=None, page=None):
@@ -167,3 +168,20 @@ def test_scattered_interpolation():
     hull = half(points) + half(points[::-1])
     whole = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
     assert abs(area - whole) < 1e-3 * whole
+
+
+def test_matrix_queries_take_whole_embeddings(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+    pages = {}
+    for r in rows:
+        pages.setdefault(r["label"], []).append(r["embedding"])
+    pages = {k: np.array(v, float) for k, v in pages.items()}
+    got = {(r["label"], r["Row"]): [r[f"FFTc{i}"] for i in range(64)] for r in QUERIES["fourier_2d"](spark, small).collect()}
+    assert len(got) == len(rows)
+    for k, m in pages.items():
+        assert np.allclose([got[k, i] for i in range(len(m))], np.abs(np.fft.fft2(m)) / m.size, atol=1e-6)
+    for r in QUERIES["matrix_singular_values"](spark, small).collect():
+        assert abs(r["SingularValue"] - np.linalg.svd(pages[r["label"]], compute_uv=False)[r["Index"]]) < 1e-5
+    inverse = {(r["label"], r["OldColumnName"]): r["Inverse"] for r in QUERIES["matrix_pseudo_inverse"](spark, small).collect()}
+    for k, m in pages.items():
+        assert np.allclose(m @ np.array([inverse[k, f"c{i}"] for i in range(64)]) @ m, m, atol=1e-4)
