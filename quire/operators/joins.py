@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -151,15 +152,49 @@ def inside_polygon(df: DataFrame, x: str, y: str, corners: Sequence[tuple[float,
 
 
 def nearest_in_grid(points: DataFrame, grid: DataFrame, x: str, y: str, cell: float, take: Sequence[str]) -> DataFrame:
-    """The grid row nearest to each point within a cell of its own or a neighbouring one; ties by the grid's x, then y."""
-    at = lambda c: F.floor(F.col(c).cast("double") / cell)
-    around = F.explode(F.array(*[F.struct((at(x) + i).alias("i"), (at(y) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = points.withColumn("__c", around)
-    g = grid.select(F.col(x).cast("double").alias("__gx"), F.col(y).cast("double").alias("__gy"), at(x).alias("__gi"), at(y).alias("__gj"), F.struct(*take).alias("__take"))
-    hits = p.join(g, (F.col("__c.i") == F.col("__gi")) & (F.col("__c.j") == F.col("__gj")))
-    distance = F.pow(F.col(x) - F.col("__gx"), 2) + F.pow(F.col(y) - F.col("__gy"), 2)
-    best = hits.groupBy(*points.columns).agg(F.min_by("__take", F.struct(distance.alias("d"), "__gx", "__gy")).alias("__take"))
-    return best.select(*points.columns, "__take.*")
+    """The grid row nearest to each point; ties by the grid's x, then y. A point is searched for in its own and the
+    neighbouring cells. Where no row there is within a cell, and so proven nearest, the first of ever doubled cells around
+    which there are rows bounds the distance, and cells of four times that size hold the nearest row. Points and grid
+    rows without finite coordinates are left out."""
+    finite = F.abs(F.col(x).cast("double")) + F.abs(F.col(y).cast("double")) < float("inf")
+    grid = grid.filter(finite)
+    all_ = points.filter(finite).withColumn("__p", F.monotonically_increasing_id()).withColumn("__level", F.lit(0)).persist()
+    best = _nearest_around(all_, grid, x, y, cell, [0], take).persist()
+    proven = best.filter(F.col("__near.d") <= cell * cell * (1 - 1e-9))  # rows outside are farther than a cell
+    rest = all_.join(proven.select("__p"), "__p", "left_anti").drop("__level")
+    if not rest.isEmpty():
+        ends = [F.max(F.abs(F.col(c).cast("double"))).alias(c) for c in (x, y)]
+        far = max(v or 0.0 for d in (rest, grid) for v in d.agg(*ends).first())
+        levels = range(max(1, math.ceil(math.log2(2 * far / cell + 1))) + 1)  # around the last one is all of the grid
+        level, size = F.col("__k"), F.lit(cell) * F.pow(F.lit(2.0), "__k")
+        every = F.explode(F.array(*map(F.lit, levels))).alias("__k")
+        held = grid.select(x, y, every).select(level, F.floor(F.col(x).cast("double") / size).alias("__gi"), F.floor(F.col(y).cast("double") / size).alias("__gj")).distinct().withColumnRenamed("__k", "__gk")
+        asked = rest.select("__p", x, y, every).withColumn("__c", _around(x, y, size))
+        first = asked.join(held, (level == F.col("__gk")) & (F.col("__c.i") == F.col("__gi")) & (F.col("__c.j") == F.col("__gj"))).groupBy("__p").agg((F.min("__k") + 2).alias("__level"))
+        found = rest.join(first, "__p").select(*all_.columns).persist()
+        wanted = [r[0] for r in found.select("__level").distinct().collect()]  # at most one a level
+        if wanted:
+            proven = proven.unionByName(_nearest_around(found, grid, x, y, cell, wanted, take))
+    return proven.select(*points.columns, "__take.*")
+
+
+def _around(x: str, y: str, size: Column) -> Column:
+    """One row for each cell of the 3 x 3 around a point."""
+    i, j = (F.floor(F.col(c).cast("double") / size) for c in (x, y))
+    return F.explode(F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+
+
+def _nearest_around(points: DataFrame, grid: DataFrame, x: str, y: str, cell: float, levels: Sequence[int], take: Sequence[str]) -> DataFrame:
+    """points with __near (d, the squared distance) and __take of the nearest grid row in the 3 x 3 cells of size
+    cell * 2^__level, one of levels, if any is there."""
+    size = lambda k: F.lit(cell) * F.pow(F.lit(2.0), k)
+    p = points.withColumn("__c", _around(x, y, size("__level")))
+    g = grid.withColumn("__gk", F.explode(F.array(*map(F.lit, levels))))
+    cells = [F.floor(F.col(c).cast("double") / size("__gk")).alias(n) for c, n in ((x, "__gi"), (y, "__gj"))]
+    g = g.select(F.col(x).cast("double").alias("__gx"), F.col(y).cast("double").alias("__gy"), "__gk", *cells, F.struct(*take).alias("__take"))
+    hits = p.join(g, (F.col("__level") == F.col("__gk")) & (F.col("__c.i") == F.col("__gi")) & (F.col("__c.j") == F.col("__gj")))
+    near = F.struct((F.pow(F.col(x) - F.col("__gx"), 2) + F.pow(F.col(y) - F.col("__gy"), 2)).alias("d"), "__gx", "__gy")
+    return hits.groupBy(*points.columns).agg(F.min(near).alias("__near"), F.min_by("__take", near).alias("__take"))
 
 
 def polynomial(df: DataFrame, terms: Sequence[tuple[float, dict[str, int]]], name: str) -> DataFrame:

@@ -170,6 +170,19 @@ def test_scattered_interpolation():
     assert abs(area - whole) < 1e-3 * whole
 
 
+def test_nearest_in_a_sparse_grid(spark):
+    """Points far from any grid row, nearer rows outside the first block, ties and equal points: each comes out once."""
+    rng = np.random.default_rng(5)
+    grid = [(float(a), float(b)) for a, b in np.r_[rng.normal(0, 1, (40, 2)), rng.normal(300, 5, (5, 2)), [[-50, 7], [-50, 9]]]]
+    at = [(float(a), float(b)) for a, b in np.r_[rng.uniform(-400, 400, (60, 2)), [[0.99, 0.5], [-50, 8], [-50, 8]]]]
+    points = spark.createDataFrame([(i, *a) for i, a in enumerate(at)], "i int, x double, y double")
+    g = spark.createDataFrame([(*a, *a) for a in grid], "x double, y double, gx double, gy double")
+    got = {r["i"]: (r["gx"], r["gy"]) for r in joins.nearest_in_grid(points, g, "x", "y", 0.5, ["gx", "gy"]).collect()}
+    assert got == {i: min(grid, key=lambda h: ((a - h[0]) ** 2 + (b - h[1]) ** 2, *h)) for i, (a, b) in enumerate(at)}
+    assert joins.nearest_in_grid(points.drop("i"), g, "x", "y", 0.5, ["gx"]).count() == len(at)
+    assert joins.nearest_in_grid(points, g.limit(0), "x", "y", 0.5, ["gx"]).count() == 0
+
+
 def test_matrix_queries_take_whole_embeddings(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
     pages = {}
