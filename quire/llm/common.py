@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a private one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a private one only where that is unset and all executors
+    are threads of this machine's driver."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quire-shared-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -88,6 +91,46 @@ def small_side(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference: dots and backticks in it are its own."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame, out: str) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(out)
+
+
+#: A key of at most this many rows is left to the task it falls to.
+HOT_ROWS = 1024
+
+
+def join_counted(big: DataFrame, facts: DataFrame, on: list[str], copies: str, rows: int, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join of big (`rows` rows) with facts: one row per key, `copies` telling how many rows of big have it.
+
+    No task takes all rows of a hot key: keys of more than `hot` rows, of which there are at most 2**17, are broadcast;
+    only the other keys are shuffled.
+    """
+    hot = max(hot, rows >> 17)
+    if rows <= hot:
+        return big.join(facts.drop(copies), on)
+    heavy, light = F.broadcast(facts.filter(F.col(copies) > hot).drop(copies)), facts.filter(F.col(copies) <= hot).drop(copies)
+    return big.join(heavy, on).unionByName(big.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
+def numbered_copies(df: DataFrame, out: str = "__copy", chunk: int = 1 << 16) -> DataFrame:
+    """df's rows with a number: how many rows equal to it come before. Equal rows can stand for each other, so they are
+    counted, not sorted, and dealt again chunk by chunk: the numbers depend on the rows alone, and no task takes all
+    copies of a row."""
+    names = [quoted(c) for c in df.columns]
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias(out)
+    few = counted.filter(F.col("__n") <= chunk).select(*names, numbers(F.lit(0).cast("bigint"), F.col("__n") - 1))
+    many = counted.filter(F.col("__n") > chunk).select(*names, "__n", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk))).alias("__part"))
+    many = many.repartition(*names, "__part").select(*names, numbers(F.col("__part") * chunk, F.least(F.col("__n"), (F.col("__part") + 1) * chunk) - 1))
+    return few.unionByName(many)
+
+
 def text_of(col: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
