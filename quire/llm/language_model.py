@@ -37,6 +37,8 @@ from quire.llm.tokens import words
 HEAD, HEAD_CLASS, TAIL, KNOWN, HIDDEN = 4096, 64, 64, 1 << 19, 24
 #: Rounds of the distributed training; tokens a partition has at least, where the table has them; tokens trained at once.
 ROUNDS, PART_TOKENS, BLOCK_TOKENS = 3, 1 << 20, 1 << 22
+#: Rows whose output layer is computed at once, so that it stays in the processor's cache.
+BLOCK_ROWS = 1024
 #: The token that ends each document.
 END = np.int64(0x5E17_E2D0_0C5E_17E2)
 
@@ -83,6 +85,15 @@ class Vocabulary:
         return unit
 
 
+def distinct_by_row(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each of `rows` rows its distinct tokens, and how often it has each; `row` says whose a token is."""
+    order = np.lexsort((token, row))
+    row, token = row[order], token[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (token[1:] != token[:-1])]) if len(row) else np.zeros(0, np.int64)
+    times, ends = np.diff(np.r_[first, len(row)]).astype(np.int32), np.searchsorted(row[first], np.arange(1, rows))
+    return np.split(token[first], ends), np.split(times, ends)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token and c of all tokens of docs (text, not null)."""
 
@@ -178,12 +189,15 @@ class Network:
 
     def log_probability(self, h: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(class) and, for head words, P(word | class); for tail units, of 1 / (N_k + V_k + 1)."""
-        cls = np.where(unit < HEAD, unit // HEAD_CLASS, unit - HEAD + HEAD // HEAD_CLASS)
-        logits = h @ self.wc
-        logits += self.bc
-        out = logits[np.arange(len(h)), cls].astype(np.float64)
-        np.exp(logits, out=logits)  # logits stay small: unit states and clipped weights
-        out -= np.log(logits.sum(1))
+        cls = class_of(unit)
+        out = np.empty(len(h))
+        for at in range(0, len(h), BLOCK_ROWS):
+            some = slice(at, at + BLOCK_ROWS)
+            logits = h[some] @ self.wc
+            logits += self.bc
+            out[some] = logits[np.arange(len(logits)), cls[some]]
+            np.exp(logits, out=logits)  # logits stay small: unit states and clipped weights
+            out[some] -= np.log(logits.sum(1))
         is_tail = unit >= HEAD
         out[is_tail] += self.tail_log[unit[is_tail] - HEAD]
         order = np.argsort(np.where(is_tail, HEAD, unit).astype(np.int16), kind="stable")
@@ -201,85 +215,140 @@ class Network:
         return out
 
 
+def class_of(unit: np.ndarray) -> np.ndarray:
+    return np.where(unit < HEAD, unit // HEAD_CLASS, unit - HEAD + HEAD // HEAD_CLASS)
+
+
+def output_gradients(net: Network, h: np.ndarray, y: np.ndarray, block: int = BLOCK_ROWS) -> tuple[np.ndarray, ...]:
+    """Of the mean of -ln P(y | h): gradients with respect to h, wc, bc, wo and bo."""
+    n = len(y)
+    dh, dwc, dbc, dwo, dbo = np.empty_like(h), np.zeros_like(net.wc), np.zeros_like(net.bc), np.zeros_like(net.wo), np.zeros_like(net.bo)
+    cls, ones = class_of(y), np.ones(max(block, len(dbc)), h.dtype)
+    for at in range(0, n, block):
+        some = slice(at, at + block)
+        p = h[some] @ net.wc
+        p += net.bc
+        np.minimum(p, 80, out=p)  # in single precision exp has no more room
+        np.exp(p, out=p)
+        p *= (1 / (n * (p @ ones[: p.shape[1]])))[:, None]
+        p[np.arange(len(p)), cls[some]] -= 1 / n
+        np.matmul(p, net.wc.T, out=dh[some])
+        dwc += h[some].T @ p
+        dbc += ones[: len(p)] @ p
+    order = np.argsort(y.astype(np.int16), kind="stable")
+    sorted_y = y[order]
+    ends = np.searchsorted(sorted_y, np.arange(0, HEAD + 1, HEAD_CLASS))
+    hs, dhs = h[order[: ends[-1]]], np.empty((ends[-1], HIDDEN), h.dtype)
+    for k in np.flatnonzero(np.diff(ends)):
+        some, part = slice(ends[k], ends[k + 1]), slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
+        q = hs[some] @ net.wo[part].T
+        q += net.bo[part] - net.bo[part].max()
+        np.exp(q, out=q)
+        q *= (1 / (n * q.sum(1)))[:, None]
+        q[np.arange(len(q)), sorted_y[some] - k * HEAD_CLASS] -= 1 / n
+        np.matmul(q, net.wo[part], out=dhs[some])
+        dwo[part], dbo[part] = q.T @ hs[some], q.sum(0)
+    dh[order[: ends[-1]]] += dhs
+    return dh, dwc, dbc, dwo, dbo
+
+
+def gradients(net: Network, unit: np.ndarray, goal: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients, in the order of parameters(), of the mean of -ln P(goal) over a window (steps, streams) that starts in
+    state h and is in state zero where `fresh` says so; and the state after it."""
+    steps, streams = unit.shape
+    H, kind = HIDDEN, net.x.dtype
+    keep = (~fresh).astype(kind)[:, :, None]
+    was, new, linear, after = (np.empty((steps, streams, H), kind) for _ in range(4))
+    gates = np.empty((steps, streams, 2 * H), kind)
+    a = net.x[unit]
+    for s in range(steps):
+        np.multiply(h, keep[s], out=was[s])
+        g = was[s] @ net.u
+        np.add(a[s, :, : 2 * H], g[:, : 2 * H], out=gates[s])
+        _sigmoid(gates[s])
+        linear[s] = g[:, 2 * H :]
+        np.multiply(gates[s, :, H:], linear[s], out=new[s])
+        new[s] += a[s, :, 2 * H :]
+        np.tanh(new[s], out=new[s])
+        h = np.subtract(was[s], new[s], out=after[s])
+        h *= gates[s, :, :H]
+        h += new[s]
+    dh, *outputs = output_gradients(net, after.reshape(-1, H), goal.reshape(-1))
+    dh = dh.reshape(steps, streams, H)
+    dx, dg, carry = a, np.empty_like(a), np.zeros((streams, H), kind)  # a's memory is free
+    for s in range(steps - 1, -1, -1):
+        d, z, r, n = dh[s], gates[s, :, :H], gates[s, :, H:], new[s]
+        d += carry
+        rest = 1 - z
+        dn = d * rest
+        rest *= z
+        rest *= was[s] - n
+        np.multiply(rest, d, out=dg[s, :, :H])
+        dn *= 1 - n * n
+        dx[s, :, 2 * H :] = dn
+        np.multiply(dn, r, out=dg[s, :, 2 * H :])
+        rest = 1 - r
+        rest *= linear[s]
+        np.multiply(rest, dg[s, :, 2 * H :], out=dg[s, :, H : 2 * H])
+        carry = dg[s] @ net.u.T
+        d *= z
+        carry += d
+        carry *= keep[s]
+    dx[:, :, : 2 * H] = dg[:, :, : 2 * H]
+    flat = unit.reshape(-1).astype(np.int16)
+    order = np.argsort(flat, kind="stable")
+    sorted_units = flat[order]
+    first = np.flatnonzero(np.r_[True, sorted_units[1:] != sorted_units[:-1]])
+    dxs = np.zeros_like(net.x)
+    dxs[sorted_units[first]] = np.add.reduceat(dx.reshape(-1, 3 * H)[order], first)
+    return [dxs, was.reshape(-1, H).T @ dg.reshape(-1, 3 * H), *outputs], h
+
+
+class Adam:
+    """Adam with a rate that falls to nothing over `total` steps; parameters are changed in place."""
+
+    def __init__(self, parameters: list[np.ndarray], rate: float, total: int):
+        self.parameters, self.rate, self.total, self.t = parameters, rate, total, 0
+        self.first, self.second, self.spare = ([np.zeros_like(p) for p in parameters] for _ in range(3))
+
+    def step(self, found: list[np.ndarray]) -> None:
+        self.t += 1
+        step = self.rate * (1 - self.t / (self.total + 1)) * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for p, g, m, v, spare in zip(self.parameters, found, self.first, self.second, self.spare, strict=True):
+            np.clip(g, -0.1, 0.1, out=g)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=spare)
+            v *= 0.999
+            np.multiply(g, g, out=g)
+            g *= 0.001
+            v += g
+            np.sqrt(v, out=spare)
+            spare += 1e-7
+            np.divide(m, spare, out=spare)
+            spare *= step
+            p -= spare
+
+
 def train(net: Network, documents: list[np.ndarray], streams: int = 64, window: int = 32, epochs: int = 3, rate: float = 0.01) -> Network:
-    """Truncated backpropagation through time with Adam; documents are arrays of units, end token included."""
+    """Truncated backpropagation through time; documents are arrays of units, end token included. They are joined to
+    parallel streams; the state runs on from window to window and starts afresh with each document."""
     if not documents:
         return net
     length = max(1, math.ceil(sum(map(len, documents)) / streams / window)) * window
-    m1, m2, t = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
-    end, total = documents[0][-1], epochs * length // window
-    rng = np.random.default_rng(9)
-    H = HIDDEN
+    adam = Adam(net.parameters(), rate, epochs * length // window)
+    end, rng = documents[0][-1], np.random.default_rng(9)
     for _ in range(epochs):
         order = rng.permutation(len(documents))
         flat = np.concatenate([documents[i] for i in order])
         begins = np.zeros(len(flat), bool)
         begins[np.r_[0, np.cumsum([len(documents[i]) for i in order])[:-1]]] = True
-        flat, begins = np.resize(flat, length * streams).reshape(streams, length).T, np.resize(begins, length * streams).reshape(streams, length).T
-        before = np.r_[np.full((1, streams), end), flat[:-1]]
-        before = np.where(begins, end, before)
-        h = np.zeros((streams, H), np.float32)
+        flat, begins = (np.resize(x, length * streams).reshape(streams, length).T for x in (flat, begins))
+        before = np.where(begins, end, np.r_[np.full((1, streams), end), flat[:-1]])
+        h = np.zeros((streams, HIDDEN), net.x.dtype)
         for at in range(0, length, window):
-            unit, goal, fresh = before[at : at + window], flat[at : at + window], begins[at : at + window]
-            # forwards
-            hs, zs, rs, ns, gs = ([] for _ in range(5))
-            for s in range(window):
-                h = np.where(fresh[s][:, None], np.float32(0), h)
-                a, g = net.x[unit[s]], h @ net.u
-                z, r = _sigmoid(a[:, :H] + g[:, :H]), _sigmoid(a[:, H : 2 * H] + g[:, H : 2 * H])
-                n = np.tanh(a[:, 2 * H :] + r * g[:, 2 * H :])
-                for kept, value in zip((hs, zs, rs, ns, gs), (h, z, r, n, g[:, 2 * H :]), strict=True):
-                    kept.append(value)
-                h = (1 - z) * n + z * h
-            out = np.stack([*hs[1:], h])  # the state after each step, before any reset
-            if fresh[1:].any():
-                for s in np.flatnonzero(fresh[1:].any(1)):
-                    out[s] = (1 - zs[s]) * ns[s] + zs[s] * hs[s]
-            flat_h, y = out.reshape(-1, H), goal.reshape(-1)
-            # output layers
-            cls = np.where(y < HEAD, y // HEAD_CLASS, y - HEAD + HEAD // HEAD_CLASS)
-            p = flat_h @ net.wc + net.bc
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), cls] -= 1
-            p /= len(y)
-            dh, dwc, dbc = p @ net.wc.T, flat_h.T @ p, p.sum(0)
-            dwo, dbo = np.zeros_like(net.wo), np.zeros_like(net.bo)
-            for k in np.unique(cls[y < HEAD]):
-                some, part = np.flatnonzero(cls == k), slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
-                q = flat_h[some] @ net.wo[part].T + net.bo[part]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(some)), y[some] - k * HEAD_CLASS] -= 1
-                q /= len(y)
-                dh[some] += q @ net.wo[part]
-                dwo[part], dbo[part] = q.T @ flat_h[some], q.sum(0)
-            dh = dh.reshape(window, streams, H)
-            # backwards
-            carry, du, dx = np.zeros((streams, H), np.float32), np.zeros_like(net.u), np.zeros((window, streams, 3 * H), np.float32)
-            for s in range(window - 1, -1, -1):
-                d = dh[s] + carry
-                z, r, n, g, was = zs[s], rs[s], ns[s], gs[s], hs[s]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (was - n) * z * (1 - z)
-                dr = dn * g * r * (1 - r)
-                dx[s] = np.concatenate([dz, dr, dn], 1)
-                dg = np.concatenate([dz, dr, dn * r], 1)
-                du += was.T @ dg
-                carry = np.where(fresh[s][:, None], 0, d * z + dg @ net.u.T)
-            dxs = np.zeros_like(net.x)
-            by_unit = np.argsort(unit, axis=None, kind="stable")
-            inputs, first = np.unique(unit.reshape(-1)[by_unit], return_index=True)
-            dxs[inputs] = np.add.reduceat(dx.reshape(-1, 3 * H)[by_unit], first)
-            t += 1
-            step = rate * (1 - t / (total + 1)) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for p_, g_, a_, b_ in zip(net.parameters(), (dxs, du, dwc, dbc, dwo, dbo), m1, m2, strict=True):
-                np.clip(g_, -0.1, 0.1, out=g_)
-                a_ *= 0.9
-                a_ += 0.1 * g_
-                b_ *= 0.999
-                b_ += 0.001 * g_ * g_
-                p_ -= (step * a_ / (np.sqrt(b_) + 1e-7)).astype(np.float32)
+            some = slice(at, at + window)
+            found, h = gradients(net, before[some], flat[some], begins[some], h)
+            adam.step(found)
     return net
 
 
@@ -341,7 +410,7 @@ def learn(docs: DataFrame, voc: Vocabulary, sample_docs: int) -> Network:
     others = docs.join(F.broadcast(chosen), same, "left_anti")
     for k in range(ROUNDS):
         share = others.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
-        net = refine(net, share, voc, 0.004 / (k + 1))
+        net = refine(net, share, voc, 0.006 / (k + 1))
     return net
 
 
@@ -367,7 +436,7 @@ def refine(net: Network, docs: DataFrame, voc: Vocabulary, rate: float) -> Netwo
 
         def learn_held():
             if held:
-                train(own, held, streams=128, epochs=1, rate=rate)
+                train(own, held, streams=256, epochs=1, rate=rate)
 
         for b in it:
             for tokens, ends in token_rows(b.column(0)):
@@ -421,7 +490,7 @@ def score(docs: DataFrame, allowed: Column, sample_docs: int = 1000) -> DataFram
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            held, sizes, known_of, base_of, model_of, rare = [], [], [], [], [], []
+            held, sizes, known_of, base_of, model_of, rare, times = [], [], [], [], [], [], []
             for tokens, ends in token_rows(b.column(2)):
                 at, known = voc.find(tokens)
                 n = np.diff(np.r_[0, ends])
@@ -430,21 +499,24 @@ def score(docs: DataFrame, allowed: Column, sample_docs: int = 1000) -> DataFram
                 known_of.append(np.bincount(owner, minlength=len(n)))
                 base_of.append(np.bincount(owner, voc.log_count[place], len(n)) - n * base)
                 model_of.append(np.bincount(owner, head_log[place], len(n)))
-                rare += np.split(tokens[~known], np.cumsum(n - known_of[-1])[:-1])
+                found, several = distinct_by_row(doc[~known], tokens[~known], len(n))
+                rare += found
+                times += several
                 held.append(voc.units(tokens, at, known))
                 sizes.append(n)
             whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
             n = whole(sizes)
             lm = score_units(net, whole(held), np.cumsum(n), end_unit) / math.log(10) + whole(model_of)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(whole(known_of).astype(np.int64)), pa.array(whole(base_of).astype(float)), pa.array(lm.astype(float)), pa.array(rare, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
+                [b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(whole(known_of).astype(np.int64)), pa.array(whole(base_of).astype(float)), pa.array(lm.astype(float)), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
             )
 
-    scored = materialize(rows.mapInArrow(batches, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"), "scored")
-    # counts of the tokens that no worker knows; in a large vocabulary most of them are there
-    rest = scored.filter(F.size("rare") > 0).select("row", F.explode("rare").alias("token")).join(counts.select("token", "c"), "token")
-    rest = rest.groupBy(F.col("row").alias("__row")).agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.count(F.lit(1)).alias("found"))
+    scored = materialize(rows.mapInArrow(batches, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"), "scored")
+    # counts of the tokens that no worker knows; in a large vocabulary most of them are there. A document brings each once
+    rest = scored.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", "t.rare", "t.times")
+    rest = rest.join(counts.select("token", "c"), F.col("rare") == F.col("token"))
+    rest = rest.groupBy(F.col("row").alias("__row")).agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("times").alias("found"))
     logs = F.coalesce("logs", F.lit(0.0))
     return scored.join(rest, F.col("row") == F.col("__row"), "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(voc.total).cast("bigint").alias("train_tokens"),
