@@ -29,18 +29,17 @@ START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 #: Layouts: paths of the record, and where turns come from. "each" names an array of turns; "turns" lists fixed ones,
-#: whose text joins the non-empty fields named.
+#: whose text joins the non-empty fields named. "roles" are the layout's own names of roles; others stay as they are.
 LAYOUTS = [
     {"name": "rows", "paths": ["rows[].turn", "rows[].role", "rows[].text"], "each": "rows", "role": "role", "text": "text"},
-    {"name": "messages", "paths": ["messages[].role", "messages[].content"], "each": "messages", "role": "role", "text": "content"},
-    {"name": "conversations", "paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value"},
+    {"name": "messages", "paths": ["messages[].role", "messages[].content"], "each": "messages", "role": "role", "text": "content", "roles": {"model": "assistant"}},
+    {"name": "conversations", "paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "role": "from", "text": "value", "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
     {"name": "prompt", "paths": ["prompt", "completion"], "turns": [["user", ["prompt"]], ["assistant", ["completion"]]]},
     {"name": "prompt_response", "paths": ["prompt", "response"], "turns": [["user", ["prompt"]], ["assistant", ["response"]]]},
     {"name": "instruction", "paths": ["instruction", "input", "output"], "turns": [["user", ["instruction", "input"]], ["assistant", ["output"]]]},
     {"name": "instruction_only", "paths": ["instruction", "output"], "turns": [["user", ["instruction"]], ["assistant", ["output"]]]},
     {"name": "system_prompt", "paths": ["system", "prompt", "completion"], "turns": [["system", ["system"]], ["user", ["prompt"]], ["assistant", ["completion"]]]},
 ]
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 RESULT = "fingerprint string, layout string, status string, n_turns bigint, formatted string, loss_spans array<array<bigint>>"
 
 
@@ -77,10 +76,10 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
-def canonical_turns(record: dict, layout: dict, roles: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    roles = ROLES if roles is None else roles
+def canonical_turns(record: dict, layout: dict) -> list[tuple[str, str]]:
     as_text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if "each" in layout:
+        roles = layout.get("roles", {})
         found = [(as_text(x[layout["role"]]), as_text(x[layout["text"]])) for x in record[layout["each"]]]
         return [(roles.get(r, r), t) for r, t in found]
     return [(role, "\n".join(t for t in (as_text(record[f]) for f in fields) if t)) for role, fields in layout["turns"]]

@@ -7,19 +7,20 @@ times its source. With sources sorted by cap / weight, the level at which the re
 Curriculum: each source has a weight schedule over training time 0 to 1, piecewise linear between equally spaced
 knots. Its integral, scaled to the target, is the source's cumulative demand. A document whose copy starts after c of
 the source's demanded words is due where the integral reaches c: inverting a piecewise quadratic. Documents of a source
-come in the order of a hash of their id; a target above the size repeats whole passes, and the document that meets the
-end of the demand is taken in part (boundary="cut") or as a whole if half of it is due (boundary="whole").
+come in the order of a hash of their id and text, equal ones by a number each, so that many copies of a row or missing
+ids do not meet in one place. A target above the size repeats whole passes, and the document that meets the end of the
+demand is taken in part (boundary="cut") or as a whole if half of it is due (boundary="whole").
 
-Defined cases: null or blank text has size 0 and is never taken; a null source is the last source; null ids come in one
-place of the order; repeated rows are taken each; an empty table gives an empty result; other columns are ignored.
+Defined cases: null or blank text has size 0 and is never taken; a null source is the last source; null ids and repeated
+rows are documents each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, hex_digits, materialize, running_total, small_side, text_of
+from quire.llm.common import WORD, hex_digits, join_counted, materialize, numbered_copies, running_total, small_side, text_of, whole_row
 
 MAX_PASSES = 3
 #: Weights at equally spaced times; the n-th source has schedule n modulo their number.
@@ -63,13 +64,12 @@ def targets(sizes: DataFrame, schedules=SCHEDULES) -> DataFrame:
 
 
 def plan(sized: DataFrame, schedules=SCHEDULES, boundary: str = "cut") -> DataFrame:
-    """One row per row of `sized` (row, doc_id, source, size; written, as it is read twice): source_size, target, and
-    copies: array of (pass, words, position), empty for a document that the mix doesn't take."""
+    """One row per row of `sized` (source, size and order, a unique hex hash; written, as it is read twice): source_size,
+    target, and copies: array of (pass, words, position), empty for a document that the mix doesn't take."""
     # the number of rows only picks how many digits of the hash divide them
     digits = hex_digits(sized.count())
     s = targets(sized, schedules).select(F.col("source").alias("__s"), "source_size", "target", "schedule")
-    keyed = sized.withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    placed = running_total(keyed, ["source"], "__order", ["doc_id", "size", "row"], "size", "__before", digits)
+    placed = running_total(sized, ["source"], "order", [], "size", "__before", digits)
     placed = placed.join(s, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__demand", F.floor(F.col("target") + 0.5))
 
     def copy(p):
@@ -82,16 +82,25 @@ def plan(sized: DataFrame, schedules=SCHEDULES, boundary: str = "cut") -> DataFr
     copies = F.filter(F.transform(F.array(*map(F.lit, range(MAX_PASSES))), copy), lambda c: c["words"] > 0)
     placed = placed.withColumn("__copies", copies)
     at = position_sql("(c.start / __demand)", "schedule", schedules)
-    return placed.withColumn("copies", F.expr(f"transform(__copies, c -> struct(c.pass AS pass, c.words AS words, {at} AS position))")).drop("__order", "__before", "__s", "__demand", "__copies")
+    return placed.withColumn("copies", F.expr(f"transform(__copies, c -> struct(c.pass AS pass, c.words AS words, {at} AS position))")).drop("order", "__before", "__s", "__demand", "__copies")
 
 
-def sized_rows(docs: DataFrame, row, text: str = "text") -> DataFrame:
-    return docs.select(row.alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint").alias("size"))
+def sized_rows(docs: DataFrame, *more, text: str = "text") -> DataFrame:
+    """doc_id, source, size and identity (of id and text) of each document, and more columns."""
+    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text_of(text)))
+    return docs.select(*more, "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint").alias("size"), identity.alias("identity"))
+
+
+def order_of(number) -> Column:
+    """The place of a document among those of its source: a uniform hash of its id and text, and of a number that tells
+    equal ones apart."""
+    return F.md5(F.concat_ws(":", "identity", number.cast("string"))).alias("order")
 
 
 def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, position (of the first copy), in order of position."""
-    sized = materialize(sized_rows(docs, F.lit(0)), "sizes")
+    sized = numbered_copies(sized_rows(docs))
+    sized = materialize(sized.select("doc_id", "source", "size", order_of(F.col("__copy"))), "sizes")
     p = plan(sized, schedules)
     taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda total, c: total + c["words"])
     return p.select(
@@ -102,9 +111,15 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
 
 def mix(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """The rows of docs, as often as the mix takes them as whole documents, range-sorted by position."""
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__row"))
-    whole = materialize(whole, "mix")  # from here on the row number is data
-    sized = materialize(sized_rows(whole.select("__row", "__doc.doc_id", "__doc.source", "__doc.text"), F.col("__row")), "sizes")
+    whole = docs.select(whole_row(docs, "__doc"), F.monotonically_increasing_id().alias("__row"))
+    whole = materialize(whole, "mix")  # from here on the row number is data, and tells equal rows apart
+    same = F.md5(F.concat_ws(":", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), "identity")).alias("same")
+    sized = sized_rows(whole.select("__row", "__doc.doc_id", "__doc.source", "__doc.text"), F.col("__row").alias("row"))
+    sized = materialize(sized.select("row", "source", "size", "identity", same), "sizes")
+    repeated = materialize(sized.groupBy("same").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated")
+    first = sized.join(repeated.select("same"), "same", "left_anti").select("row", "source", "size", order_of(F.lit(0)))
+    again = join_counted(sized, repeated, ["same"], "copies", sized.count()).select("row", "source", "size", order_of(F.col("row")))
+    sized = materialize(first.unionByName(again), "ordered")
     slots = plan(sized, schedules, "whole").select("row", F.explode("copies").alias("c")).select("row", F.col("c.position").alias("__position"), F.col("c.pass").alias("__pass"))
     placed = whole.join(small_side(slots), F.col("__row") == F.col("row"))
     return placed.orderBy("__position", "__row", "__pass").select("__doc.*")

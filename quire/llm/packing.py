@@ -1,11 +1,11 @@
 """Operator 9, packing token ids into windows by multiway Karmarkar-Karp differencing.
 
 A document's ids are cut into full windows of `capacity`, which fill a sequence each, and a rest, which is cut into
-equal pieces of at most `max_piece`. Pieces are dealt by a hash to pools of about `pool_pieces`, and each pool is
-partitioned into windows: every piece starts as a partition of one load and empty windows; the two partitions of the
-largest spread are merged, the largest loads of one with the smallest of the other, until one is left, whose windows
-are nearly equal. The window count starts at the least that could hold the pool and rises by one whenever the fullest
-window exceeds capacity. Only piece lengths take part: ids are read, cut and checksummed in one pass over the texts.
+equal pieces of at most `max_piece`. Pieces are dealt by a hash, equal ones by a number each, to pools of about
+`pool_pieces`, and each pool is partitioned into windows: every piece starts as a partition of one load and empty
+windows; the two partitions of the largest spread are merged, the largest loads of one with the smallest of the other,
+until one is left, whose windows are nearly equal. The window count starts at the least that could hold the pool and
+rises by one whenever the fullest window exceeds capacity. Only piece lengths take part: ids are read, cut and checksummed in one pass over the texts.
 
 Ids are those of the `tokenizers` library and its vocabulary file. Texts of Latin letters, most of them, are encoded by
 `tiktoken` with ranks made from the same file, which takes a third of the time; all others by `tokenizers`. A test holds
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, text_of
+from quire.llm.common import materialize, numbered_copies, text_of
 
 #: Letters below this code point have been in every version of Unicode the two libraries may know.
 LATIN_END = "\u0250"
@@ -180,5 +180,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacit
         number = pool.column("__pool").to_numpy()[0]
         return pool.drop_columns(["__pool"]).append_column("sequence_id", pa.array((number << 24) + window)).append_column("offset", pa.array(offset))
 
-    pool = F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (64 * capacity)), "doc_tokens"), F.lit(pools)).cast("bigint")
-    return found.withColumn("__pool", pool).groupBy("__pool").applyInArrow(one, f"{PIECES}, sequence_id bigint, offset bigint")
+    found = numbered_copies(found)  # or all copies of a piece would meet in one pool
+    pool = F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / (64 * capacity)), "doc_tokens", "ids_crc32", "__copy"), F.lit(pools)).cast("bigint")
+    return found.withColumn("__pool", pool).drop("__copy").groupBy("__pool").applyInArrow(one, f"{PIECES}, sequence_id bigint, offset bigint")

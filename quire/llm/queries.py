@@ -81,7 +81,8 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH e AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+d AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || h || ':' || (row_number() OVER (PARTITION BY doc_id, source, h) - 1)) AS place FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, 1 + (r - 1) % 3 AS weight FROM s),
 o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE
@@ -89,7 +90,7 @@ o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b
       WINDOW b AS (ORDER BY (3 * source_size)::DOUBLE / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, (r - 1) % 4 AS schedule, least((3 * source_size)::DOUBLE, (max(lvl) OVER ()) * weight) AS target FROM o),
 c AS (SELECT doc_id, size, source_size, target, schedule, floor(target + 0.5)::BIGINT AS demand,
-             (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id, size
+             (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, greatest(least(demand - before, size), 0) AS p0, greatest(least(demand - source_size - before, size), 0) AS p1,
@@ -116,8 +117,9 @@ b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_fa
 f AS (SELECT *, (base_failed OR 2 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words) AS failed FROM b),
 hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS k FROM f GROUP BY source),
 prior0 AS (SELECT greatest(least(sum(k) / sum(n), 1 - 1e-6), 1e-6) AS mean, var_pop(k / n) AS v FROM hosts),
-prior AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM prior0),
-verdict AS (SELECT source, (k + mean * strength) / (n + strength) <= 0.5 AS ok FROM hosts, prior)
+prior AS (SELECT mean, 4 * mean / (1 - mean + 4 * mean) AS bound, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) ELSE 1e6 END AS strength FROM prior0),
+rates AS (SELECT source, (k + mean * strength) / (n + strength) AS rate, n + strength + 1 AS weight, bound FROM hosts, prior),
+verdict AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / weight) <= bound AS ok FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
     "op5_chat_format": r"""

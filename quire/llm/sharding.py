@@ -4,7 +4,8 @@ Shard sizes differ by one at most. Rows are dealt to blocks by a hash; each bloc
 of a block's rows go to each shard is drawn from the multivariate hypergeometric law, given all shard sizes, so the
 counts are those of a truly uniform shuffle. The first rows of a block's order go to shard 0, and so on: that is the
 exchange. Inside its shard every row gets its slot from a second random order. Blocks and orders are functions of the
-rows, not of the partitions they happen to be read in, so a task that is run again deals the same way.
+rows and, for equal rows, of a number each, not of the partitions they happen to be read in: a task that is run again
+deals the same way, and the copies of a row are dealt to all blocks.
 
 The matrix has at most MAX_BLOCKS rows, whatever the input, and enters the plan as a constant: nothing is broadcast or
 joined for it. Equal texts fall as they may: a group of copies is spread like any other rows.
@@ -22,7 +23,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import hex_digits, materialize, running_total
+from quire.llm.common import hex_digits, materialize, numbered_copies, running_total
 
 ROWS_PER_BLOCK = 4096
 MAX_BLOCKS = 4096
@@ -73,17 +74,17 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null)."""
     text = F.col("text").cast("string")
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"))
-    narrow = materialize(narrow, "shards")  # texts are read once; what follows moves a few numbers a row
+    narrow = materialize(numbered_copies(narrow), "shards")  # texts are read once; what follows moves a few numbers a row
     total = narrow.count()
     blocks = max(1, min(MAX_BLOCKS, math.ceil(total / ROWS_PER_BLOCK)))
-    draw = lambda salt: F.hex(F.xxhash64(F.lit(seed + salt), "doc_id", "text_crc32", "size"))
-    narrow = narrow.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    draw = lambda salt: F.hex(F.xxhash64(F.lit(seed + salt), "doc_id", "text_crc32", "size", "__copy"))
+    narrow = narrow.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "__copy"), F.lit(blocks)).cast("int"))
     counts = {r["__block"]: r["n"] for r in narrow.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_BLOCKS at most
     sizes = [(total + shards - 1 - s) // shards for s in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
     ends = [[sum(row[: s + 1]) for s in range(shards - 1)] for row in matrix]
     ends = F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy(draw(1), "doc_id", "text_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(draw(1), "doc_id", "text_crc32", "__copy")) - 1
     dealt = narrow.withColumn("__rank", rank)
     dealt = dealt.withColumn("shard", F.size(F.filter(F.get(ends, F.col("__block")), lambda e: e <= F.col("__rank"))))
     dealt = dealt.withColumn("__order", F.lpad(draw(2), 16, "0")).withColumn("__one", F.lit(1).cast("bigint"))
