@@ -1,5 +1,7 @@
 """Similarity joins against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,8 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire.llm import common as C
 from quire.llm import embed_dedup as E
 from quire.llm import jaccard as J
+from quire.llm import mixing as M
+from quire.llm import quality_rules as R
+from quire.llm import toxicity as T
 from quire.llm.components import components
 from quire.llm.tokens import shingle_sets
 
@@ -165,3 +171,92 @@ def test_odd_vectors(spark):
     alone = [(str(i), 0, str(i)) for i in (2, 3, 4, 5, 6, 7, 8)]
     assert got == sorted([("1", 3, "1"), ("1", 3, "1"), ("9", 3, "1"), ("None", 3, "1"), *alone])
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_keys_join(spark):
+    """Keys of many rows by broadcast, others by shuffle: all rows once."""
+    big = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k")
+    facts = big.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    got = sorted(map(tuple, C.join_counted(big, facts, ["k"], "copies", 1000, hot=50).select("id", "k", "least").collect()))
+    assert got == [(i, 0 if i % 3 == 0 else i, 0 if i % 3 == 0 else i) for i in range(1000)]
+
+
+def test_numbered_copies(spark):
+    rows = [(1, "a")] * 25 + [(None, "a")] * 11 + [(2, None)]
+    df = spark.createDataFrame(rows, "x int, `y.z` string")
+    got = Counter(C.numbered_copies(df, chunk=4).collect())
+    assert got == Counter((x, y, i) for (x, y), n in Counter(rows).items() for i in range(n))
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from quire.llm import components as K
+
+    monkeypatch.setattr(K, "HUB", 3)
+    edges = [(7, i) for i in range(8, 60)] + [(i, i + 1) for i in range(100, 110)] + [(105, i) for i in range(200, 220)] + [(300, 301)]
+    got = {r["node"]: r["component"] for r in K.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    want = groups_of(edges, {n for e in edges for n in e})
+    assert got == want
+
+
+def test_numbers_hold_whatever_the_splits(spark, tmp_path):
+    """Rows are numbered once: a table scanned in other splits later gives the same groups."""
+    texts = near_copies()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = J.numbered(docs)
+    first = {r["row"]: r["doc_id"] for r in rows.collect()}
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "40")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert {r["row"]: r["doc_id"] for r in rows.collect()} == first
+        got = {r["doc_id"]: r["component_id"] for r in J.with_smallest_id(J.similar_groups(rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    assert got == brute_groups(texts, 4, 85)[0]
+
+
+def test_half_the_rows_are_copies_without_id(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_ROWS", 8)
+    texts = near_copies()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])] * len(texts)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in J.with_smallest_id(J.similar_groups(J.numbered(docs))).collect())
+    want, _ = brute_groups(texts, 4, 85)
+    assert got == Counter([(i, want[i]) for i in want] + [(None, want[0])] * len(texts))
+    assert J.keep_one(docs, 4, 85).count() == len(set(want.values()))
+
+
+def test_many_copies_of_a_vector(spark):
+    rows = list(enumerate(vectors()[:80])) + [(None, vectors()[3])] * 3000
+    got = [r for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect() if r["vec_id"] in (3, None)]
+    assert len(got) == 3001 and {(r["n_links"], r["component_id"]) for r in got} == {(3000, 3)}
+
+
+@pytest.mark.parametrize("dim", [4, 64, 1200])
+def test_open_pairs_do_not_depend_on_the_tile(dim):
+    """What a tile leaves open, a part of the tile leaves open too, and bounds hold against exact cosines."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(60, dim))
+    y = 0.9 * x / np.linalg.norm(x, axis=1)[:, None] + np.sqrt(0.19) * rng.normal(size=x.shape) / np.sqrt(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    code = lambda v: E.Codes(*(a.astype(np.int8) if k == 0 else a for k, a in enumerate(E.quantise(unit(v)))), v)
+    a, b = code(x), code(y)
+    pairs = lambda left, right, k: {(int(i), int(j)) for found in E.decided_pairs(left, right, 0.9, False, 16) for i, j in zip(found[k], found[k + 1], strict=True)}
+    sure, open_ = pairs(a, b, 0), pairs(a, b, 2)
+    cos = unit(x) @ unit(y).T
+    exact = {(int(i), int(j)) for i, j in zip(*np.nonzero(cos >= 0.9), strict=True)}
+    assert sure <= exact <= sure | open_ and open_
+    some = np.array(sorted({i for i, _ in open_})), np.array(sorted({j for _, j in open_}))
+    again = {(int(some[0][i]), int(some[1][j])) for i, j in pairs(a.at(some[0]), b.at(some[1]), 2)}
+    assert again == {(i, j) for i, j in open_}
+
+
+def test_dotted_column_names(spark):
+    docs = spark.createDataFrame([(i, f"some text of document {i}", "s", 1.5) for i in range(5)], "doc_id bigint, text string, source string, `a.b` double").withColumn("odd`name", F.lit(1)).withColumn("__score", F.lit("x"))
+    for out in (J.keep_one(docs), M.mix(docs), R.keep_good(docs)):
+        assert out.columns == docs.columns and out.count() <= 3 * 5
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    out = T.keep_below(docs, T.learn(docs, labels, F.lit(True)), 0.7)
+    assert out.columns == docs.columns and out.count() > 0

@@ -1,6 +1,7 @@
 """Learnt operators: what they can learn, held-out accuracy, brute force and odd input."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,3 +214,58 @@ def test_rare_words_are_counted_exactly(spark, monkeypatch, known):
     base = lambda ws: sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in ws)
     assert abs(got[0]["base_score"] - base(["a", "b", "b", "c", None])) < 1e-9
     assert abs(got[3]["base_score"] - base(["z", "b", None])) < 1e-9 and got[3]["n_known"] == 2 and got[3]["train_tokens"] == n
+
+
+def test_backpropagation_equals_differences():
+    """Every kind of parameter, over a window with documents that begin in it, in double precision."""
+    v = tiny_vocabulary({k << 6 | k % 3: 100 - k for k in range(1, 40)})
+    rng = np.random.default_rng(11)
+    net = L.Network.start(v)
+    for name in ("x", "u", "wc", "bc", "wo", "bo"):
+        setattr(net, name, getattr(net, name).astype(float))
+    steps, streams = 6, 5
+    unit, goal = (rng.choice(np.r_[0:2, L.HEAD : L.HEAD + L.TAIL], (steps, streams)) for _ in range(2))
+    fresh, begin = rng.random((steps, streams)) < 0.3, rng.normal(0, 0.3, (streams, L.HIDDEN))
+
+    def loss():
+        h, total = begin, 0.0
+        for s in range(steps):
+            h = net.step(unit[s], np.where(fresh[s][:, None], 0, h))
+            total -= net.log_probability(h, goal[s]).sum()
+        return total / unit.size
+
+    found, _ = L.gradients(net, unit, goal, fresh, begin)
+    for p, g in zip(net.parameters(), found, strict=True):
+        p, g = p.reshape(-1), g.reshape(-1)
+        for i in [*np.argsort(-np.abs(g))[:6], *rng.integers(0, len(p), 3)]:
+            was, values = p[i], []
+            for e in (1e-5, -1e-5):
+                p[i] = was + e
+                values.append(loss())
+            p[i] = was
+            assert abs((values[0] - values[1]) / 2e-5 - g[i]) < 1e-6 + 1e-4 * abs(g[i])
+
+
+def test_distinct_by_row():
+    token, times = L.distinct_by_row(np.array([0, 0, 2, 0, 2]), np.array([7, 5, 9, 7, 9]), 4)
+    assert [t.tolist() for t in token] == [[5, 7], [], [9], []] and [t.tolist() for t in times] == [[1, 2], [], [2], []]
+    assert [len(t) for t in L.distinct_by_row(np.zeros(0, int), np.zeros(0, int), 3)[0]] == [0, 0, 0]
+
+
+def test_features_are_chosen_as_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60, 12)) + " insult" * int(i % 4 == 0 and rng.random() < 0.8), int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = T.learn(docs, labels, F.lit(True), max_features=50)
+    found, y = [np.array(T.features(t), np.int64) for _, t, _ in rows], np.array([float(y) for _, _, y in rows])
+    want = T.fit(found, y, max_features=50)
+    assert np.allclose(got.scores([t for _, t, _ in rows], {}), want.scores([t for _, t, _ in rows], {}), atol=1e-5)
+    plain = []
+    for text in [t for _, t, _ in rows[:20]]:  # the whole score, feature by feature
+        counts = Counter(h for piece in text.split() for h in T.term_hashes(piece))
+        has = [(h, i) for h, n in counts.items() for i, least in enumerate(T.LEVELS) if n >= least and h in got.term and got.row[got.term[h], i] >= 0]
+        at = [got.row[got.term[h], i] for h, i in has]
+        z = got.w0 + sum(got.w[k] for k in at) + sum(got.v[a] @ got.v[b] for i, a in enumerate(at) for b in at[:i])
+        plain.append(1 / (1 + math.exp(-z)))
+    assert np.allclose(got.scores([t for _, t, _ in rows[:20]], {}), plain, atol=1e-4)
