@@ -15,11 +15,12 @@ def _x(column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def envelope(p: Paged, columns: Sequence[str], statistics: Sequence[str], power: int = 1, group: Sequence[str] = (), x: str | None = None, weight: str | None = None) -> DataFrame:
+def envelope(p: Paged, columns: Sequence[str], statistics: Sequence[str], power: int = 1, group: Sequence[str] = (), x: str | None = None, weight: str | None = None, equal_pages: bool = False) -> DataFrame:
     """Statistics across pages for each row number (and group): `<column><Statistic>`; Slope and Intercept over x,
-    W... with weight. `Row` counts from 0."""
+    W... with weight; Median, DRange, QRange and Percentile<p>. `Row` counts from 0. equal_pages: pages of different
+    length are an error."""
     q = p.numbered("Row").rows
-    out = []
+    out, names, ordered = [], [], set()
     for c in columns:
         v = _x(c)
         w = _x(weight) if weight else F.lit(1.0)
@@ -32,8 +33,39 @@ def envelope(p: Paged, columns: Sequence[str], statistics: Sequence[str], power:
             "SignedLargest": F.max_by(v, F.struct(F.abs(v).alias("a"), v.alias("v"))), "WMean": wmean, "WRms": F.sqrt(F.sum(w * v * v) / F.sum(w)), "WStDev": spread * F.sqrt(n / F.nullif(n - 1, F.lit(0))),
             "ExmmMean": F.when(n > 2, (F.sum(v) - F.max(v) - F.min(v)) / F.nullif(n - 2, F.lit(0))).otherwise(0.0),
         }
-        out += [how[s].alias(f"{c}{power}Sum" if s == "Sum" and power != 1 else f"{c}{s}") for s in statistics]
-    return q.groupBy(*group, "Row").agg(*out)
+        for s in statistics:
+            if s in ORDER_STATISTICS or s.startswith("Percentile"):  # element k of the ascending order, as in reductions
+                names.append(f"{c}{s}")
+                out.append(_ordered(s, f"__k{c}", f"__n{c}", v).alias(names[-1]))
+                ordered.add(c)
+            else:
+                names.append(f"{c}{power}Sum" if s == "Sum" and power != 1 else f"{c}{s}")
+                out.append(how[s].alias(names[-1]))
+    across = Window.partitionBy(*group, "Row")
+    for c in ordered:  # of one row number there are as many values as pages
+        q = q.withColumn(f"__k{c}", F.row_number().over(across.orderBy(_x(c))) - 1).withColumn(f"__n{c}", F.count(F.lit(1)).over(across))
+    done = q.groupBy(*group, "Row").agg(*out, F.count(F.lit(1)).alias("__pages"))
+    if equal_pages:
+        pages = p.rows.select(*p.page).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("__all"))
+        done = done.join(pages, list(group)) if group else done.join(pages, F.lit(True))  # one row a group
+        checked = F.when(F.col("__pages") == F.col("__all"), F.col("Row")).otherwise(F.raise_error(F.lit("pages differ in length")).cast("int"))
+        done = done.withColumn("Row", checked)
+    return done.select(*group, "Row", *names)
+
+
+#: Percentiles between which the statistic is; the median is element n div 2.
+ORDER_STATISTICS = {"Median": None, "DRange": (10.0, 90.0), "QRange": (25.0, 75.0)}
+
+
+def _ordered(statistic: str, k: str, n: str, v: Column) -> Column:
+    at = lambda where: F.max(F.when(F.col(k) == where, v))
+    percent = lambda q: at(F.floor((F.col(n) - 1) * (q / 100)))
+    if statistic == "Median":
+        return at(F.floor(F.col(n) / 2))
+    if statistic.startswith("Percentile"):
+        return percent(float(statistic.removeprefix("Percentile")))
+    low, high = ORDER_STATISTICS[statistic]
+    return percent(high) - percent(low)
 
 
 def extreme_partner(p: Paged, column: str, other: str, kind: str = "Maximum") -> DataFrame:
@@ -42,9 +74,9 @@ def extreme_partner(p: Paged, column: str, other: str, kind: str = "Maximum") ->
     return p.numbered("Row").rows.groupBy("Row").agg(f(other, F.struct(_x(column), *[F.col(c) for c in p.page])).alias(f"{other}C{kind}{column}"))
 
 
-def row_statistics(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None) -> DataFrame:
+def row_statistics(df: DataFrame, columns: Sequence[str], low: float | None = None, high: float | None = None, percentiles: Sequence[float] = ()) -> DataFrame:
     """Statistics across columns: RowMean, RowSum, RowMin, RowMax, RowSpread, RowRms, RowStDev, RowSigma, RowMAD,
-    RowMedian, RowLargest, RowSmallest, RowCount and the names RowMinName, RowMaxName; values outside the limits are
+    RowMedian, RowDRange, RowQRange, RowPercentile<p>, RowLargest, RowSmallest, RowCount and the names RowMinName, RowMaxName; values outside the limits are
     skipped."""
     cells = F.array(*[F.struct(_x(c).alias("v"), F.lit(c).alias("n")) for c in columns])
     ok = lambda s: s["v"].isNotNull() & ~F.isnan(s["v"]) & (F.lit(True) if low is None else s["v"] >= low) & (F.lit(True) if high is None else s["v"] <= high)
@@ -56,6 +88,10 @@ def row_statistics(df: DataFrame, columns: Sequence[str], low: float | None = No
     df = df.withColumn("RowRms", F.sqrt(total(lambda v: v * v) / F.nullif(n, F.lit(0)))).withColumn("RowStDev", F.sqrt(total(lambda v: F.pow(v - F.col("RowMean"), F.lit(2))) / F.nullif(n - 1, F.lit(0))))
     df = df.withColumn("RowSigma", F.col("RowStDev") / F.sqrt(n)).withColumn("RowMAD", total(lambda v: F.abs(v - F.col("RowMean"))) / F.nullif(n, F.lit(0)))
     df = df.withColumn("RowMedian", F.get("__s", F.floor(n / 2).cast("int"))).withColumn("RowLargest", F.array_max(F.transform("__v", F.abs))).withColumn("RowSmallest", F.array_min(F.transform("__v", F.abs)))
+    element = lambda q: F.get("__s", F.floor((n - 1) * (q / 100)).cast("int"))
+    df = df.withColumn("RowDRange", element(90.0) - element(10.0)).withColumn("RowQRange", element(75.0) - element(25.0))
+    for q in percentiles:
+        df = df.withColumn(f"RowPercentile{q:g}", element(q))
     name = lambda extreme: F.get(F.filter("__c", lambda s: s["v"] == F.col(extreme)), F.lit(0))["n"]
     return df.withColumn("RowMinName", name("RowMin")).withColumn("RowMaxName", name("RowMax")).drop("__c", "__v", "__s")
 

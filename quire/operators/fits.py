@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.frame import Paged
@@ -51,29 +54,64 @@ def _basis(x: np.ndarray, orders: Sequence[int], chebyshev: bool) -> np.ndarray:
     return np.stack([x**k for k in orders], 1)
 
 
+def _basis_columns(x: Column, orders: Sequence[int], chebyshev: bool) -> list[Column]:
+    if not chebyshev:
+        return [F.pow(x, F.lit(float(k))) for k in orders]
+    inner = F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
+    return [F.cos(k * F.acos(inner)) for k in orders]
+
+
 def polynomial(p: Paged, x: str, ys: Sequence[str], orders: Sequence[int], sigma: str | None = None, offset: float = 0.0, factor: float = 1.0, chebyshev: bool = False) -> DataFrame:
     """One row per page and dependent column: Dependent, Coefficients, Sigmas, ReducedChiSquared, RmsResidual, Terms; with
-    Slope and Intercept where the orders hold them. Fits in (x - offset) / factor."""
-
-    def f(c):
-        a = (c[x].astype(float) - offset) / factor
-        b = _basis(a, orders, chebyshev)
-        w = 1 / c[sigma].astype(float) if sigma else np.ones(len(a))
-        out = {k: [] for k in ("Dependent", "Coefficients", "Sigmas", "ReducedChiSquared", "RmsResidual", "Slope", "Intercept")}
-        inverse = np.linalg.pinv((b * w[:, None]).T @ (b * w[:, None]))
-        for y in ys:
-            v = c[y].astype(float)
-            coef = np.linalg.lstsq(b * w[:, None], v * w, rcond=None)[0]
-            r = (v - b @ coef) * w
-            chi = float((r * r).sum() / max(len(a) - len(orders), 1))
-            sig = np.sqrt(np.diag(inverse) * (1 if sigma else chi))
-            by = dict(zip(orders, coef, strict=True))
-            for k, value in zip(out, (y, coef.tolist(), sig.tolist(), chi, float(np.sqrt(np.mean((v - b @ coef) ** 2))), by.get(1), by.get(0)), strict=True):
-                out[k].append(value)
-        return out | {"Terms": len(orders)}
-
-    schema = "Dependent string, Coefficients array<double>, Sigmas array<double>, ReducedChiSquared double, RmsResidual double, Slope double, Intercept double, Terms int"
-    return per_page(p, [x, *ys, *([sigma] if sigma else [])], f, schema)
+    Slope and Intercept where the orders hold them. Fits in (x - offset) / factor.
+
+    The normal equations' sums are aggregated by Spark, so a page may be of any length; what is solved in numpy is one
+    small system a page. Powers are of x over its largest magnitude in the page, Chebyshev polynomials of x mapped to -1
+    to 1, so sums are of one size.
+    """
+    page, orders = list(p.page), list(orders)
+    q = p.rows.select(*page, ((F.col(x).cast("double") - offset) / factor).alias("__x"), *[F.col(y).cast("double").alias(f"__y{i}") for i, y in enumerate(ys)], (1 / F.col(sigma).cast("double") if sigma else F.lit(1.0)).alias("__w"))
+    ends = q.groupBy(*page).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))  # one row a page
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(page)], F.lit(True))
+    ends = ends.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(page)], "__lo", "__hi")
+    q = q.join(ends, same).drop(*[f"__p{i}" for i in range(len(page))])
+    lo, hi = F.col("__lo"), F.col("__hi")
+    scale = F.when(hi > lo, (hi - lo) / 2).otherwise(1.0) if chebyshev else F.coalesce(F.nullif(F.greatest(F.abs(lo), F.abs(hi)), F.lit(0.0)), F.lit(1.0))
+    q = q.withColumn("__u", (F.col("__x") - (lo + hi) / 2) / scale if chebyshev else F.col("__x") / scale).withColumn("__scale", scale)
+    k, w2 = len(orders), F.col("__w") * F.col("__w")
+    q = q.withColumns({f"__b{i}": b for i, b in enumerate(_basis_columns(F.col("__u"), orders, chebyshev))})
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum(w2 * F.col(f"__b{i}") * F.col(f"__b{j}")).alias(f"m{i}_{j}") for i, j in pairs]
+    sums += [F.sum(w2 * F.col(f"__b{i}") * F.col(f"__y{y}")).alias(f"v{y}_{i}") for y in range(len(ys)) for i in range(k)]
+    sums += [F.sum(w2 * F.col(f"__y{y}") * F.col(f"__y{y}")).alias(f"s{y}") for y in range(len(ys))]
+    if sigma:  # residuals count alike, whatever their weight
+        sums += [F.sum(F.col(f"__b{i}") * F.col(f"__b{j}")).alias(f"n{i}_{j}") for i, j in pairs]
+        sums += [F.sum(F.col(f"__b{i}") * F.col(f"__y{y}")).alias(f"u{y}_{i}") for y in range(len(ys)) for i in range(k)] + [F.sum(F.col(f"__y{y}") * F.col(f"__y{y}")).alias(f"t{y}") for y in range(len(ys))]
+    done = q.groupBy(*page).agg(F.count(F.lit(1)).alias("count"), F.first("__scale").alias("scale"), *sums)
+    out = ["Dependent", "Coefficients", "Sigmas", "ReducedChiSquared", "RmsResidual", "Slope", "Intercept", "Terms"]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                square = lambda c: np.array([[r[f"{c}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])  # noqa: E731, B023
+                m, inverse = square("m"), np.linalg.pinv(square("m"))
+                back = np.ones(k) if chebyshev else r["scale"] ** -np.array(orders, float)
+                for y, name in enumerate(ys):
+                    v = np.array([r[f"v{y}_{i}"] for i in range(k)])
+                    c = np.linalg.lstsq(m, v, rcond=None)[0]
+                    rest = max(r[f"s{y}"] - 2 * c @ v + c @ m @ c, 0.0)
+                    chi = rest / max(r["count"] - k, 1)
+                    if sigma:
+                        rest = max(r[f"t{y}"] - 2 * c @ [r[f"u{y}_{i}"] for i in range(k)] + c @ square("n") @ c, 0.0)
+                    deviation = np.sqrt(np.maximum(np.diag(inverse), 0) * (1 if sigma else chi))
+                    by = dict(zip(orders, (c * back).tolist(), strict=True))
+                    rows.append([*[r[x] for x in page], name, (c * back).tolist(), (deviation * back).tolist(), chi, math.sqrt(rest / r["count"]), by.get(1), by.get(0), k])
+            yield pd.DataFrame(rows, columns=[*page, *out])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in done.select(*page).schema]
+    schema = ", ".join([*kinds, "Dependent string, Coefficients array<double>, Sigmas array<double>, ReducedChiSquared double, RmsResidual double, Slope double, Intercept double, Terms int"])
+    return done.mapInPandas(solve, schema)
 
 
 def polynomial_values(p: Paged, x: str, y: str, orders: Sequence[int], chebyshev: bool = False) -> DataFrame:

@@ -75,16 +75,24 @@ def wildcard_lookup(left: Paged, right: Paged, column: str, pattern: str, take:
 
 
 def tolerance_lookup(left: Paged, right: Paged, equal: dict[str, str], near: tuple[str, str], tolerance: float, take: Sequence[str]) -> DataFrame:
-    """The first right row, in order, of equal keys whose value is within tolerance: a join on cells of the tolerance's
-    width, so only neighbours meet. Right rows may serve several left rows."""
+    """The first right row, in order, of equal keys whose value is within tolerance (equal, if that is 0): a join on cells
+    of the tolerance's width, so only neighbours meet. Right rows may serve several left rows; equal left rows, which
+    find the same, are looked up once and come out as often as they were."""
     a, b = near
-    cell = lambda c: F.floor(F.col(c).cast("double") / tolerance)
-    l = left.rows.withColumn("__id", F.struct(*left.page, *left.order)).withColumn("__cell", F.explode(F.array(cell(a) - 1, cell(a), cell(a) + 1)))
+    names = left.rows.columns
+    cell = lambda c: F.floor(F.col(c).cast("double") / tolerance) if tolerance else F.col(c).cast("double")
+    l = left.rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    l = l.withColumn("__cell", F.explode(F.array(cell(a) - 1, cell(a), cell(a) + 1)) if tolerance else cell(a))
     r = right.rows.select(*[F.col(c).alias(f"__r_{c}") for c in equal.values()], F.col(b).alias("__near"), cell(b).alias("__rcell"), F.struct(*right.order).alias("__order"), F.struct(*take).alias("__take"))
     same = reduce(lambda x, y: x & y, [F.col(x) == F.col(f"__r_{y}") for x, y in equal.items()], F.col("__cell") == F.col("__rcell"))
     hits = l.join(r, same & (F.abs(F.col(a) - F.col("__near")) <= tolerance))
-    best = hits.groupBy(*left.rows.columns).agg(F.min_by("__take", "__order").alias("__take"))
-    return best.select(*left.rows.columns, "__take.*")
+    best = hits.groupBy(*names, "__n").agg(F.min_by("__take", "__order").alias("__take"))
+    return _repeated(best, "__n").select(*names, "__take.*")
+
+
+def _repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as it says."""
+    return df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).drop("__i", times)
 
 
 def matching_rows(left: Paged, right: Paged, on: dict[str, str], invert: bool = False, reuse: bool = True) -> DataFrame:
@@ -243,25 +251,44 @@ def interpolate_set(files: dict[str, Paged], x: str, y: str, at: float, name: st
 
 
 def interpolate_by_model(data: Paged, model: DataFrame, x: str, y: str, at: DataFrame, value: str) -> DataFrame:
-    """Between data rows y follows the model's shape: the ratio y / model is interpolated and multiplied back."""
-    m = Paged(model, (), (x,))
+    """Between data rows y follows the model's shape: the ratio y / model is interpolated and multiplied back. A value
+    asked for several times is computed once and comes out as often."""
+    m, page = Paged(model, (), (x,)), [c for c in data.page if c in at.columns]
+    asked = at.groupBy(*page, F.col(value).cast("double").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
     on_data = interpolate(m, x, y, data.rows.select(F.col(x).alias("__at")).distinct(), "__at").withColumnRenamed(y, "__m").withColumnRenamed(x, "__x")
     ratio = data.rows.join(on_data, F.col(x).cast("double") == F.col("__x")).withColumn("__ratio", F.col(y) / F.nullif(F.col("__m"), F.lit(0.0)))
-    r = interpolate(data.with_rows(ratio), x, "__ratio", at, value)
-    on_values = interpolate(m, x, y, at, value).select(F.col(x).alias("__x"), F.col(y).alias("__m"))
-    return r.join(on_values, F.col(x) == F.col("__x")).select(*data.page, x, (F.col("__ratio") * F.col("__m")).alias(y))
+    r = interpolate(data.with_rows(ratio), x, "__ratio", asked, "__at")
+    on_values = interpolate(m, x, y, asked.select("__at").distinct(), "__at").select(F.col(x).alias("__x"), F.col(y).alias("__m"))
+    out = r.join(on_values, F.col(x) == F.col("__x")).select(*data.page, x, (F.col("__ratio") * F.col("__m")).alias(y))
+    times = asked.select(*[F.col(c).alias(f"__p_{c}") for c in page], "__at", "__n")
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in page], F.col(x) == F.col("__at"))
+    return _repeated(out.join(times, same).select(*data.page, x, y, "__n"), "__n")
 
 
 def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, most_levels: int = 100) -> DataFrame:
     """root, node and level of everything under each root of a dependency table; a cycle ends where it meets itself.
-    Each level is one join with the edges, written before the next."""
+    Each level is one join with the edges; it is checkpointed in the shared folder, so plans stay
+    short and a lost executor costs no level again."""
     found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("level"))
     edge = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct()
+    _checkpoint_dir(found)
     level, all_ = found, found
     for k in range(1, most_levels + 1):
         level = level.join(edge, F.col("node") == F.col("__p")).select("root", F.col("__c").alias("node"), F.lit(k).alias("level")).distinct()
-        level = level.join(all_.select("root", "node"), ["root", "node"], "left_anti").persist()
+        level = level.join(all_.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
         if level.isEmpty():
             return all_
         all_ = all_.unionByName(level)
     raise RuntimeError("the dependency table is too deep")
+
+
+def _checkpoint_dir(df: DataFrame) -> None:
+    """spark.checkpoint.dir, where it is set; a folder of its own in a local session, which has no other machines."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))

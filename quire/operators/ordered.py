@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.frame import EMPTY_VALUE, Paged
+from quire.functions.expression import ONE
 
 RUNNING = {"Mean": F.avg, "Min": F.min, "Max": F.max, "Sum": F.sum, "StDev": F.stddev_samp}
 
@@ -193,23 +195,57 @@ def changes(p: Paged, columns: list[str], baseline_page) -> DataFrame:
     return rows.select(*p.page, F.col("__row").alias("Row"), *out)
 
 
-def outliers(p: Paged, column: str, sigmas: float = 2.0, passes: int = 1, mode: str = "remove") -> Paged:
-    """Values further than sigmas standard deviations from the page's mean, pass by pass, of those still in; pages of
-    under 3 rows are left alone. remove, mark (IsOutlier) or a replacement by the last or next good value ('last',
-    'next')."""
-    x = _x(column)
-    rows = p.rows.withColumn("__bad", F.lit(False))
+def outliers(p: Paged, column: str, sigmas: float | None = 2.0, passes: int = 1, mode: str = "remove", unpopular: int | None = None, percentiles: tuple[float, float] | None = None, deviation: float | None = None, chance: float | None = None) -> Paged:
+    """Values that break a rule, pass by pass; pages of under 3 rows are left alone. Rules, in order: outside the fullest
+    of `unpopular` equal bins of the page's range; outside two percentiles of the page (values of it, not between);
+    further than `deviation`, or `sigmas` standard deviations, from the mean of the values still in; so far that the
+    chance to see it in as many Gaussian values is under `chance`. remove, mark (IsOutlier), or replace by the last or
+    next good value ('last', 'next') or on the line between them ('interpolate')."""
+    x, w = _x(column), p.whole()
+    rows = p.rows.withColumn("__bad", F.lit(False)).withColumn("__all", F.count(F.lit(1)).over(w))
+    bad = lambda test: F.col("__bad") | F.coalesce((F.col("__all") >= 3) & test, F.lit(False))
+    if unpopular:
+        low, width = F.min(x).over(w), (F.max(x).over(w) - F.min(x).over(w)) / unpopular
+        rows = rows.withColumn("__low", low).withColumn("__width", width).withColumn("__bin", F.floor((x - F.col("__low")) / F.nullif(F.col("__width"), F.lit(0.0))))
+        inside = F.when(F.col("__bin") < unpopular, 1)
+        rows = rows.withColumn("__n", F.count(inside).over(Window.partitionBy(*p.page, "__bin")))
+        fullest = F.max(F.when(inside.isNotNull(), F.struct("__n", -F.col("__bin")))).over(w)
+        rows = rows.withColumn("__bad", bad(F.col("__bin") != -fullest["col2"])).drop("__low", "__width", "__bin", "__n")
+    if percentiles:
+        order = Window.partitionBy(*p.page).orderBy(x)
+        rows = rows.withColumn("__k", F.row_number().over(order) - 1)
+        low, high = (F.max(F.when(F.col("__k") == F.floor((F.col("__all") - 1) * (q / 100)), x)).over(w) for q in percentiles)
+        rows = rows.withColumn("__bad", bad((x < low) | (x > high))).drop("__k")
     for _ in range(passes):
-        good = F.when(~F.col("__bad"), x)
-        mean, sd, n = F.avg(good).over(p.whole()), F.stddev_samp(good).over(p.whole()), F.count(good).over(p.whole())
-        rows = rows.withColumn("__bad", F.col("__bad") | F.coalesce((n >= 3) & (F.abs(x - mean) > sigmas * sd), F.lit(False)))
+        if deviation is not None:
+            good = F.when(~F.col("__bad"), x)
+            rows = rows.withColumn("__bad", bad(F.abs(x - F.avg(good).over(w)) > deviation))
+        for limit in (sigmas, chance):
+            if limit is None:
+                continue
+            good = F.when(~F.col("__bad"), x)
+            mean, sd, n = F.avg(good).over(w), F.stddev_samp(good).over(w), F.count(good).over(w)
+            if limit is sigmas:
+                rows = rows.withColumn("__bad", bad((n >= 3) & (F.abs(x - mean) > sigmas * sd)))
+            else:
+                rows = rows.withColumn("__z", F.abs(x - mean) / F.nullif(sd, F.lit(0.0)) / 2**0.5).withColumn("__n", n)
+                seen = 1 - F.pow(1 - ONE["erfc"](F.col("__z")), F.col("__n"))
+                rows = rows.withColumn("__bad", bad(~F.col("__bad") & (seen < chance))).drop("__z", "__n")
+    rows = rows.drop("__all")
     if mode == "remove":
         return p.with_rows(rows.filter("NOT __bad").drop("__bad"))
     if mode == "mark":
         return p.with_rows(rows.withColumn("IsOutlier", F.col("__bad").cast("int")).drop("__bad"))
+    up_to, from_here = p.over().rowsBetween(Window.unboundedPreceding, 0), p.over().rowsBetween(0, Window.unboundedFollowing)
+    if mode == "interpolate":
+        rows = p.with_rows(rows).numbered().rows
+        point = F.when(~F.col("__bad"), F.struct(F.col("__row").alias("i"), x.alias("v")))
+        rows = rows.withColumn("__a", F.last(point, True).over(up_to)).withColumn("__b", F.first(point, True).over(from_here))
+        a, b = F.col("__a"), F.col("__b")
+        line = F.when(a["i"] == b["i"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) / F.nullif(b["i"] - a["i"], F.lit(0)) * (F.col("__row") - a["i"]))
+        return p.with_rows(rows.withColumn(column, F.coalesce(line, a["v"], b["v"])).drop("__bad", "__row", "__a", "__b"))
     good = F.when(~F.col("__bad"), F.col(column))
-    before = F.last(good, True).over(p.over().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(good, True).over(p.over().rowsBetween(0, Window.unboundedFollowing))
+    before, after = F.last(good, True).over(up_to), F.first(good, True).over(from_here)
     value = F.coalesce(before, after) if mode == "last" else F.coalesce(after, before)
     return p.with_rows(rows.withColumn("__v", value).withColumn(column, F.col("__v")).drop("__bad", "__v"))
 
@@ -223,12 +259,78 @@ def limits(p: Paged, column: str, low: float | None = None, high: float | None =
     return p.keep(ok)
 
 
-def subtract_baseline(p: Paged, column: str, end_points: int) -> Paged:
-    """column minus the mean of the page's first and last end_points rows."""
+def subtract_baseline(p: Paged, column: str, end_points: int | None = None, outlier_passes: int | None = None, terms: int = 1, nonnegative: bool = False) -> Paged:
+    """column minus its page's baseline: a polynomial in the row number of `terms` terms (1: the mean) through the first
+    and last end_points rows, or through all rows but those that `outlier_passes` passes put beyond two deviations.
+    nonnegative: what falls below 0 is 0. SelectedForBaselineDetermination says which rows it was."""
     q = p.numbered().counted()
-    ends = (F.col("__row") < end_points) | (F.col("__row") >= F.col("__rows") - end_points)
-    base = F.avg(F.when(ends, _x(column))).over(p.whole())
-    return p.with_rows(q.rows.withColumn(column, _x(column) - base).drop("__row", "__rows"))
+    x, i, n, w = _x(column), F.col("__row"), F.col("__rows"), p.whole()
+    if end_points is not None:
+        rows = q.rows.withColumn("__in", (i < end_points) | (i >= n - end_points))
+    else:
+        rows = q.rows.withColumn("__in", F.lit(True))
+        for _ in range(outlier_passes or 0):
+            good = F.when(F.col("__in"), x)
+            rows = rows.withColumn("__in", F.col("__in") & (F.abs(x - F.avg(good).over(w)) <= 2 * F.stddev_pop(good).over(w)))
+    if terms == 1:
+        fixed = x - F.coalesce(F.avg(F.when(F.col("__in"), x)).over(w), F.lit(0.0))
+    elif terms == 2:
+        a, b = F.when(F.col("__in"), i.cast("double")), F.when(F.col("__in"), x)
+        slope = F.covar_pop(b, a).over(w) / F.nullif(F.var_pop(a).over(w), F.lit(0.0))
+        enough = F.count(a).over(w) >= 3
+        fixed = F.when(enough, x - (F.avg(b).over(w) + slope * (i - F.avg(a).over(w)))).otherwise(x)
+    else:
+        raise ValueError("a baseline has one or two terms; fit more with fits.polynomial")
+    fixed = F.greatest(fixed, F.lit(0.0)) if nonnegative else fixed
+    rows = rows.withColumn(column, fixed).withColumn("SelectedForBaselineDetermination", F.col("__in").cast("int"))
+    return p.with_rows(rows.drop("__row", "__rows", "__in"))
+
+
+def gaussian_smooth(p: Paged, column: str, sigma: float, name: str) -> Paged:
+    """Convolution with a Gaussian of sigma rows, cut at six sigma and not scaled to 1: past the ends there is nothing."""
+    x, o, reach = _x(column), p.over(), int(6 * sigma)
+    terms = []
+    for k in range(-reach, reach + 1):
+        value = x if k == 0 else F.lead(x, k).over(o) if k > 0 else F.lag(x, -k).over(o)
+        terms.append(F.coalesce(value, F.lit(0.0)) * (math.exp(-((k / sigma) ** 2) / 2) / (sigma * math.sqrt(2 * math.pi))))
+    return p.with_rows(p.rows.withColumn(name, fold(lambda a, b: a + b, terms)))
+
+
+def despike(p: Paged, column: str, neighbors: int = 4, passes: int = 1, average_of: int | None = None, threshold: float = 0.0) -> DataFrame:
+    """page, order columns and column without spikes. Windows of neighbors rows, half a window apart, are looked at in row
+    order: the row furthest from all others of its window (by the sum of distances, and by more than threshold for each
+    neighbor) becomes the mean of average_of rows around it. What one window mends the next one sees, so a page runs in
+    one task."""
+    import numpy as np
+
+    from quire.operators.grouped import per_page
+
+    half, order = (neighbors + 1) // 2, p.order
+    around = (average_of or neighbors) // 2
+
+    def f(c):
+        v = c[column].astype(float)
+        for _ in range(passes):
+            mended = 0
+            for at in range(0, len(v), half):
+                first, last = max(at - half, 0), min(at + half, len(v) - 1)
+                if first == last:
+                    continue
+                near = v[first : last + 1]
+                far = np.abs(near[:, None] - near[None]).sum(1)
+                worst = int(np.argmax(far))
+                if threshold and far[worst] <= threshold * 2 * half:
+                    continue
+                row = first + worst
+                low, high = max(row - around, 0), min(row + around, len(v) - 1)
+                v[row] = (v[low : high + 1].sum() - v[row]) / (high - low)
+                mended += 1
+            if not mended:
+                break
+        return {**{k: c[k] for k in order}, column: v}
+
+    kinds = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in p.rows.select(*p.order).schema)
+    return per_page(p, [*p.order, column], f, f"{kinds}, `{column}` double")
 
 
 def remove_offsets(p: Paged, column: str, pattern: int = 2) -> Paged:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,15 +33,25 @@ def unique(p: Paged, *keys: str, count: bool = False) -> Paged:
 
 
 def pareto(p: Paged, *columns: str) -> Paged:
-    """Rows that no other row of the page dominates (all columns less or equal, one less): a range join on the first
-    column, not all pairs."""
-    from functools import reduce
-
+    """Rows that no other row of the page dominates (all columns less or equal, one less).
+
+    Of two columns the front is found by sorting: a row is on it if its second value is the least of its first value, and
+    less than that of all smaller first values. These minima are one row per first value, found by aggregation. With more
+    columns, rows are compared with the distinct rows of their page, which is quadratic in those.
+    """
+    if len(columns) == 2:
+        x, y = columns
+        least = p.rows.groupBy(*p.page, F.col(x).alias("__x")).agg(F.min(y).alias("__y"))
+        before = F.min("__y").over(Window.partitionBy(*p.page).orderBy("__x").rowsBetween(Window.unboundedPreceding, -1))
+        least = least.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__y") < F.col("__before")))
+        least = least.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(p.page)], "__x", "__y")
+        same = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(p.page)]
+        return p.with_rows(p.rows.join(least, reduce(and_, [*same, F.col(x) == F.col("__x"), F.col(y) == F.col("__y")]), "left_semi"))
     a, b = p.rows.alias("a"), p.rows.select(*p.page, *columns).distinct().alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in p.page]
     no_worse = [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in columns]
-    better = reduce(lambda x, y: x | y, [F.col(f"b.{c}") < F.col(f"a.{c}") for c in columns])
-    return p.with_rows(a.join(b, reduce(lambda x, y: x & y, [*same, *no_worse, better]), "left_anti"))
+    better = reduce(or_, [F.col(f"b.{c}") < F.col(f"a.{c}") for c in columns])
+    return p.with_rows(a.join(b, reduce(and_, [*same, *no_worse, better]), "left_anti"))
 
 
 def sort_columns(df: DataFrame, decreasing: bool = False, order: Sequence[str] | None = None) -> DataFrame:
@@ -163,10 +175,12 @@ def collect(df: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *members).unpivot(keys, members, "Rootname", suffix).withColumn("Rootname", F.regexp_replace("Rootname", f"{suffix}$", ""))
 
 
-def transpose(df: DataFrame, names: str, columns: list[str]) -> DataFrame:
+def transpose(df: DataFrame, names: str, columns: list[str], most: int = 10_000) -> DataFrame:
     """Numeric columns become rows (OldColumnNames); the names column's values become columns. A matrix: its columns
-    are as many as names has values."""
-    values = [r[0] for r in df.select(names).distinct().orderBy(names).collect()]
+    are as many as names has values, which is refused beyond `most`."""
+    values = [r[0] for r in df.select(names).distinct().orderBy(names).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"over {most} columns")
     long = df.unpivot([names], columns, "OldColumnNames", "__v")
     return long.groupBy("OldColumnNames").pivot(names, values).agg(F.first("__v"))
 

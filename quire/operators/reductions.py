@@ -8,6 +8,7 @@ need the whole ordered page and run per page in numpy.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.frame import EMPTY_VALUE, Paged
 from quire.frame import correlation as pearson
+from quire.functions.wildcard import matches
 
 SIMPLE = {
     "average": lambda x: F.avg(x), "sum": lambda x: F.sum(x), "rms": lambda x: F.sqrt(F.avg(x * x)), "minimum": lambda x: F.min(x), "maximum": lambda x: F.max(x),
@@ -31,6 +33,47 @@ def _x(column: str) -> Column:
     return F.col(column).cast("double")
 
 
+def qualified(p: Paged, column: str, match: tuple[str, str] | None = None, function_of: str | None = None, lower: float | None = None, upper: float | None = None, top: float | None = None, bottom: float | None = None, head: int | None = None, tail: int | None = None, fhead: float | None = None, ftail: float | None = None, offset: float = 0.0, factor: float = 1.0) -> Paged:
+    """The rows of each page that an analysis of column is to take: those whose match column fits a wildcard, whose
+    function_of lies in lower to upper and whose value lies in bottom to top; of these then the first head rows (negative:
+    all but those), or as many as the fraction fhead of the whole page's rows; of the rest the last tail, or ftail. Values
+    become (x + offset) * factor. Upper bounds leave out what is not finite."""
+    x, ok = _x(column), F.lit(True)
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    if match:
+        ok = ok & matches(F.col(match[0]), match[1])
+    if function_of and lower is not None:
+        ok = ok & (_x(function_of) >= lower)
+    if function_of and upper is not None:
+        ok = ok & (_x(function_of) <= upper) & finite(_x(function_of))
+    if top is not None:
+        ok = ok & (x <= top) & finite(x)
+    if bottom is not None:
+        ok = ok & (x >= bottom)
+    rows = p.rows.withColumn("__all", F.count(F.lit(1)).over(p.whole())) if fhead is not None or ftail is not None else p.rows
+    q = p.with_rows(rows.filter(ok))
+    part = lambda fraction: F.floor(F.abs(F.col("__all") * fraction + 0.5))
+    ends = [("head", head, None if head is None else abs(head)), ("head", fhead, fhead and part(fhead)), ("tail", tail, None if tail is None else abs(tail)), ("tail", ftail, ftail and part(ftail))]
+    for side, value, size in ends:
+        if value is not None:
+            r = q.numbered().counted()
+            place = F.col("__row") if side == "head" else F.col("__rows") - 1 - F.col("__row")
+            q = q.with_rows(r.rows.filter(place < size if value > 0 else place >= size).drop("__row", "__rows"))
+    rows = q.rows.drop("__all")
+    if offset or factor != 1.0:
+        rows = rows.withColumn(column, (x + offset) * factor)
+    return p.with_rows(rows)
+
+
+def with_default(p: Paged, reduced: DataFrame, default: float = EMPTY_VALUE) -> DataFrame:
+    """One row for each page of p: pages of which no row took part have the default, and counts of 0."""
+    pages = (p.params if p.params is not None else p.rows).select(*p.page).distinct()
+    named = reduced.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(p.page)], *[c for c in reduced.columns if c not in p.page])
+    same = fold(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(p.page)])
+    out = [F.coalesce(F.col(c), F.lit(default if kind == "double" else 0).cast(kind)).alias(c) for c, kind in reduced.dtypes if c not in p.page]
+    return pages.join(named, same, "left").select(*p.page, *out)
+
+
 def weighted(column: str, weight: str) -> dict[str, Column]:
     """Weighted average, rms, sum; the deviation needs two passes and is weighted_deviation."""
     x, w = _x(column), _x(weight)

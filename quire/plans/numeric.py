@@ -15,6 +15,11 @@ def _wave(t):
     return paged(rows.withColumn("y", 3 + F.sin(2 * 3.141592653589793 * 5 * F.col("x") + F.col("page")) + 0.3 * F.cos(2 * 3.141592653589793 * 12 * F.col("x"))), "page", "x")
 
 
+def _balances(t):
+    """A page of customers' balances per nation."""
+    return paged(t.customer, "c_nationkey", "c_custkey").numbered("i")
+
+
 def _near(fitted):
     """Parameters to three decimals, widths without their sign: what a descent settles at, not its last digits."""
     out = fitted.drop("RmsResidual")
@@ -28,20 +33,27 @@ _N = "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1"
 z AS (SELECT g, k, m, sum(v * cos(2 * pi() * ((k * i) % m) / m)) / m AS re, sum(v * sin(2 * pi() * ((k * i) % m) / m)) / m AS im FROM k JOIN s ON g = c_nationkey GROUP BY 1, 2, 3)
 SELECT g AS c_nationkey, R(k / m) AS f, R(sqrt(re * re + im * im) * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END) AS "FFTc_acctbal" FROM z""")
 def fourier_transform(t):
-    p = paged(t.customer, "c_nationkey", "c_custkey").numbered("i")
-    return signal.fft(p, "i", "c_acctbal")
+    return signal.fft(_balances(t), "i", "c_acctbal")
 
 
-@query()
+_SPECTRUM = f"""s0 AS (SELECT c_nationkey AS g, c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS v, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+s AS (SELECT g, i, n, v * 0.5 * (1 - cos(2 * pi() * i / greatest(n - 1, 1))) AS v FROM s0), k AS (SELECT g, unnest(range(max(n) // 2 + 1)) AS k, max(n) AS m FROM s GROUP BY 1),
+z AS (SELECT k.g, k, m, sum(v * cos(2 * pi() * ((k * i) % m) / m)) / m AS re, -sum(v * sin(2 * pi() * ((k * i) % m) / m)) / m AS im, CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS w FROM k JOIN s ON k.g = s.g GROUP BY 1, 2, 3),
+q AS (SELECT g, k, m, re * w AS re, im * w AS im, (re * re + im * im) * w * w / CASE WHEN k = 0 THEN 1 ELSE 2 END * m AS psd FROM z)"""
+
+
+@query(f"""WITH {_SPECTRUM} SELECT g AS c_nationkey, R(k / m) AS f, R(re) AS "RealFFTc_acctbal", R(im) AS "ImagFFTc_acctbal", R(psd) AS "PSDc_acctbal", R(sum(psd / m) OVER (PARTITION BY g ORDER BY k)) AS "IntegPSDc_acctbal" FROM q""")
 def fourier_power(t):
-    return signal.fft(_wave(t), "x", "y", window="hanning", psd=True, full=True)
+    out = signal.fft(_balances(t), "i", "c_acctbal", window="hanning", psd=True, full=True)
+    return out.select("c_nationkey", "f", "RealFFTc_acctbal", "ImagFFTc_acctbal", "PSDc_acctbal", "IntegPSDc_acctbal")
 
 
-@query("""SELECT p::BIGINT AS page, r::BIGINT AS "Row", R(3 + sin(2 * pi() * 5 * r / 100 + p) + 0.3 * cos(2 * pi() * 12 * r / 100)) AS value FROM range(3) a(p), range(400) b(r)""")
+@query("""SELECT k::INT AS page, row_number() OVER (PARTITION BY k ORDER BY event_id) - 1 AS "Row", R(value * (k + 1)) AS value FROM events, range(2) r(k)""")
 def fourier_inverse(t):
-    p = _wave(t)
-    z = signal.fft(p, "x", "y", subtract_mean=False, full=True)
-    return signal.inverse_fft(paged(z, "page", "f"), "RealFFTy", "ImagFFTy", 400)
+    """All events as two pages of one length, there and back."""
+    rows = t.events.select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page"), "value").withColumn("value", F.col("value") * (F.col("page") + 1))
+    z = signal.fft(paged(rows, "page", "event_id").numbered("i"), "i", "value", subtract_mean=False, full=True)
+    return signal.inverse_fft(paged(z, "page", "f"), "RealFFTvalue", "ImagFFTvalue", rows.filter("page = 0").count())
 
 
 #: Components of an embedding.
@@ -69,10 +81,11 @@ def deconvolution(t):
     return signal.deconvolve(p.with_rows(p.rows.withColumn("r", F.exp(-20 * F.col("x")))), "y", "r", "d")
 
 
-@query()
+@query(f"""WITH s AS (SELECT c_nationkey AS g, c_acctbal AS a, c_custkey % 7 AS b, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+SELECT x.g AS c_nationkey, k AS "Row", R(sum(x.a * y.b)) AS c FROM (SELECT g, i, n, a, unnest(range(n)) AS k FROM s) x JOIN s y ON x.g = y.g AND x.i = (y.i + k) % x.n GROUP BY 1, 2""")
 def cross_correlation(t):
-    p = _wave(t)
-    return signal.correlate(p.with_rows(p.rows.withColumn("r", F.cos(F.col("x")))), "y", "r", "c")
+    p = _balances(t)
+    return signal.correlate(p.with_rows(p.rows.withColumn("r", F.col("c_custkey") % 7)), "c_acctbal", "r", "c")
 
 
 @query("""WITH RECURSIVE s AS (SELECT c_nationkey AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
@@ -91,25 +104,40 @@ def frequency_analysis(t):
     return signal.naff(_wave(t), "x", "y", 2)
 
 
-@query()
+@query(f"""WITH s AS (SELECT c_nationkey AS g, c_acctbal AS v, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+h AS (SELECT x.g, x.i, x.v, sum(CASE WHEN x.i = y.i THEN 0 WHEN x.n % 2 = 0 THEN CASE WHEN (x.i - y.i) % 2 = 0 THEN 0 ELSE 2.0 / x.n / tan(pi() * (x.i - y.i) / x.n) END
+ ELSE (cos(pi() * (x.i - y.i) / x.n) - cos(pi() * (x.i - y.i))) / sin(pi() * (x.i - y.i) / x.n) / x.n END * y.v) AS im FROM s x JOIN s y ON x.g = y.g GROUP BY 1, 2, 3)
+SELECT g AS c_nationkey, i::DOUBLE AS i, R(v) AS "Realc_acctbal", R(im) AS "Imagc_acctbal", R(sqrt(v * v + im * im)) AS "Magc_acctbal" FROM h""")
 def analytic_signal(t):
-    return signal.analytic_signal(_wave(t), "x", "y")
+    return signal.analytic_signal(_balances(t), "i", "c_acctbal").select("c_nationkey", "i", "Realc_acctbal", "Imagc_acctbal", "Magc_acctbal")
 
 
 @query()
 def layer_peeling(t):
-    p = _wave(t)
-    return signal.peel_impedance(p.with_rows(p.rows.withColumn("v", 0.5 + 0.001 * F.col("y"))), "v", 1.0)
-
-
-@query()
+    p = t.event_pages
+    return signal.peel_impedance(p.with_rows(p.rows.withColumn("v", 0.2 + 0.0001 * F.col("value"))), "v", 1.0)
+
+
+@query("""WITH p AS (SELECT c_mktsegment AS g, c_custkey::DOUBLE AS x, c_acctbal AS f, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_custkey)),
+d1 AS (SELECT *, (lead(f) OVER w - f) / (lead(x) OVER w - x) AS a FROM p WINDOW w AS (PARTITION BY g ORDER BY i)), d2 AS (SELECT *, (lead(a) OVER w - a) / (lead(x, 2) OVER w - x) AS b FROM d1 WINDOW w AS (PARTITION BY g ORDER BY i)),
+d3 AS (SELECT *, (lead(b) OVER w - b) / (lead(x, 3) OVER w - x) AS c FROM d2 WINDOW w AS (PARTITION BY g ORDER BY i)), d4 AS (SELECT *, (lead(c) OVER w - c) / (lead(x, 4) OVER w - x) AS d FROM d3 WINDOW w AS (PARTITION BY g ORDER BY i)),
+l AS (SELECT g, x, f, i, n, lag(f) OVER w AS f0, lead(f) OVER w AS f2, x - lag(x) OVER w AS h3, lag(x) OVER w - lag(x, 2) OVER w AS h2, lead(x) OVER w - x AS h4, a AS r1, lag(a) OVER w AS a1, lag(b) OVER w AS r2, lag(b, 2) OVER w AS b2, lag(c) OVER w AS c1, lag(c, 2) OVER w AS r3, CASE WHEN i > 2 THEN lag(d, 3) OVER w ELSE 0 END AS r4 FROM d4 WINDOW w AS (PARTITION BY g ORDER BY i)),
+m AS (SELECT *, CASE WHEN i BETWEEN 2 AND n - 2 THEN pow(h3, 3) * (2 * h3 * h3 + 5 * (h3 * (h4 + h2) + 2 * h4 * h2)) / 120 END AS cc FROM l),
+e AS (SELECT *, CASE WHEN i = 2 THEN 2 * cc - pow(h2, 3) * (h2 * (3 * h2 + 5 * h4) + 10 * h3 * (h2 + h3 + h4)) / 60 ELSE cc END AS s,
+ CASE WHEN i = 1 THEN h3 * (f0 + h3 * (a1 / 2 - h3 * (r2 / 6 - (h3 + 2 * h4) * c1 / 12))) WHEN i BETWEEN 2 AND n - 2 THEN h3 * ((f + f0) / 2 - h3 * h3 * (b2 + r2 + (h2 - h4) * r3) / 12) ELSE 0 END AS step FROM m),
+u AS (SELECT *, CASE WHEN i > 2 AND i <= n - 2 THEN (cc + lag(s) OVER (PARTITION BY g ORDER BY i)) * r4 ELSE 0 END AS er, h4 * (f2 - h4 * (r1 / 2 + h4 * (r2 / 6 + (2 * h3 + h4) * r3 / 12))) + s * r4 - pow(h4, 3) * r4 * (h4 * (3 * h4 + 5 * h2) + 10 * h3 * (h2 + h3 + h4)) / 60 AS last FROM e),
+t AS (SELECT *, sum(step + er) OVER (PARTITION BY g ORDER BY i) AS total FROM u)
+SELECT g AS c_mktsegment, x::BIGINT AS c_custkey, R(CASE WHEN i <= 2 THEN total ELSE lag(total) OVER w + lag(last) OVER w END / 1e3) AS "Integral" FROM t WINDOW w AS (PARTITION BY g ORDER BY i)""")
 def gill_miller_integral(t):
-    return signal.gill_miller(_wave(t), "x", "y")
+    return signal.gill_miller(t.customer_pages, "c_custkey", "c_acctbal").rows.select("c_mktsegment", "c_custkey", (F.col("Integral") / 1e3).alias("Integral"))
 
 
-@query()
+@query("""WITH p AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, (epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6) AS t FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+k AS (SELECT * FROM p WHERE a <= value AND b <= value AND (a < value OR b < value)), z AS (SELECT *, floor(0.0004 / 2 * n + 0.5) AS zone FROM k)
+SELECT event_type, R(t) AS t, value FROM z WHERE zone <= 1 OR NOT EXISTS (SELECT 1 FROM k WHERE k.event_type = z.event_type AND k.i <> z.i AND abs(k.i - z.i) <= z.zone AND k.value >= z.value)""")
 def peaks_with_exclusion(t):
-    return signal.exclude_near_peaks(_wave(t), "x", "y", 15)
+    """A zone of one row at this size: of two rows that share a peak the first stays, others have no peak beside them."""
+    return signal.exclude_near_peaks(t.event_pages, "t", "value", 0.0004)
 
 
 @query(f"""WITH {TIMED}, x AS (SELECT event_type, t / 1e5 AS x, value AS y FROM t), f AS (SELECT event_type, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY 1)
@@ -233,12 +261,11 @@ def response_derivative(t):
     return matrices.response_derivative(t.customer_pages, ["c_acctbal"])
 
 
-_PIXELS = "p AS (SELECT e.label, e.r, e.i, e.v FROM (SELECT label, r, unnest(range(8)) AS i, unnest(embedding[1:8])::DOUBLE AS v FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings)) e)"
+_PIXELS = "p AS (SELECT e.label, e.r, e.i, e.v FROM (SELECT label, r, unnest(range(64)) AS i, unnest(embedding[1:64])::DOUBLE AS v FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings)) e)"
 
 
 def _pixels(t):
-    p = paged(t.embeddings.select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(8)]), "label", "vec_id")
-    return images.to_single_column(p, [f"c{i}" for i in range(8)])
+    return images.to_single_column(_vectors(t), _ALL)
 
 
 @query(f'WITH {_PIXELS} SELECT label, r AS "Row", i::INT AS "Column", R(v) AS "Image" FROM p')
@@ -246,9 +273,9 @@ def image_to_pixels(t):
     return _pixels(t)
 
 
-@query(f'WITH {_PIXELS} SELECT label, r AS "Row", ' + ", ".join(f"R(max(v) FILTER (WHERE i = {i})) AS line{i}" for i in range(8)) + " FROM p GROUP BY 1, 2")
+@query(f'WITH {_PIXELS} SELECT label, r AS "Row", ' + ", ".join(f"R(max(v) FILTER (WHERE i = {i})) AS line{i}" for i in range(64)) + " FROM p GROUP BY 1, 2")
 def image_to_lines(t):
-    return images.to_columns(_pixels(t), ["label", "Row"], "Column", "Image", [f"line{i}" for i in range(8)])
+    return images.to_columns(_pixels(t), ["label", "Row"], "Column", "Image", [f"line{i}" for i in range(64)])
 
 
 @query(f'WITH {_PIXELS} SELECT label, i::INT AS "Column", R(sum(v)) AS "Profile" FROM p GROUP BY 1, 2')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quire.frame import paged
@@ -108,12 +110,18 @@ def find_zeros(t):
     return O.zero_crossings(t.event_pages, "value", "t", -50.0)
 
 
-@query("""WITH n AS (SELECT c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
-SELECT a.c_nationkey, a.i - 1 AS "Row", R(a.c_acctbal - b.c_acctbal) AS "ChangeInc_acctbal" FROM n a JOIN n b ON b.c_nationkey = 3 AND a.i = b.i WHERE a.c_nationkey <> 3 AND a.i <= 30""")
+def _equal_pages(t):
+    """Pages of one length without a cut: page k holds a function of every customer's balance."""
+    page = F.explode(F.array(*[F.struct(F.lit(k).alias("page"), (F.col("c_acctbal") * (k + 1) + k * F.col("c_nationkey")).alias("v")) for k in range(4)])).alias("s")
+    return paged(t.customer.select("c_custkey", page).select("c_custkey", "s.*"), "page", "c_custkey")
+
+
+_EQUAL = "e AS (SELECT c_custkey, k::INT AS page, c_acctbal * (k + 1) + k * c_nationkey AS v, row_number() OVER (PARTITION BY k ORDER BY c_custkey) - 1 AS i FROM customer, range(4) r(k))"
+
+
+@query(f'WITH {_EQUAL} SELECT a.page, a.i AS "Row", R(a.v - b.v) AS "ChangeInv" FROM e a JOIN e b ON b.page = 1 AND a.i = b.i WHERE a.page <> 1')
 def changes_from_page(t):
-    p = paged(t.customer, "c_nationkey", "c_custkey")
-    q = p.numbered("r").keep(F.col("r") < 30)
-    return O.changes(q, ["c_acctbal"], 3)
+    return O.changes(_equal_pages(t), ["v"], 1)
 
 
 @query("""WITH a AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type)), b AS (SELECT * FROM a WHERE NOT abs(value - m) > 2 * s),
@@ -128,6 +136,43 @@ def replace_outliers(t):
     return O.outliers(t.event_pages, "value", 3.0, 1, "last").rows.select("event_id", "value")
 
 
+@query("""WITH h AS (SELECT event_type, least(floor((value - min(value) OVER w) / ((max(value) OVER w - min(value) OVER w) / 20)), 20) AS b, event_id FROM events WINDOW w AS (PARTITION BY event_type)),
+c AS (SELECT event_type, b, count(*) AS n FROM h WHERE b < 20 GROUP BY 1, 2), f AS (SELECT event_type, arg_max(b, (n, -b)) AS most FROM c GROUP BY 1) SELECT event_id FROM h JOIN f USING (event_type) WHERE b = most""")
+def keep_popular(t):
+    return O.outliers(t.event_pages, "value", None, unpopular=20).rows.select("event_id")
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+q AS (SELECT event_type, max(value) FILTER (WHERE k = floor((n - 1) * 0.05)) AS lo, max(value) FILTER (WHERE k = floor((n - 1) * 0.9)) AS hi FROM o GROUP BY 1) SELECT event_id, (value < lo OR value > hi)::INT AS "IsOutlier" FROM events JOIN q USING (event_type)""")
+def mark_percentile_outliers(t):
+    return O.outliers(t.event_pages, "value", None, percentiles=(5.0, 90.0), mode="mark").rows.select("event_id", "IsOutlier")
+
+
+@query("""WITH a AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY event_type)) > 40 AS bad, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT *, last_value(CASE WHEN NOT bad THEN i END IGNORE NULLS) OVER w AS i0, last_value(CASE WHEN NOT bad THEN value END IGNORE NULLS) OVER w AS v0, first_value(CASE WHEN NOT bad THEN i END IGNORE NULLS) OVER f AS i1, first_value(CASE WHEN NOT bad THEN value END IGNORE NULLS) OVER f AS v1 FROM a
+WINDOW w AS (PARTITION BY event_type ORDER BY i), f AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, R(CASE WHEN NOT bad THEN value WHEN i0 IS NULL THEN v1 WHEN i1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (i1 - i0) * (i - i0) END) AS value FROM b""")
+def interpolate_outliers(t):
+    return O.outliers(t.event_pages, "value", None, deviation=40.0, mode="interpolate").rows.select("event_id", "value")
+
+
+@query(f"""WITH g AS (SELECT event_id, {", ".join(f"coalesce(lag(value, {k}) OVER w, 0) * {math.exp(-((k / 0.8) ** 2) / 2) / (0.8 * math.sqrt(2 * math.pi))!r}::DOUBLE AS a{k}, coalesce(lead(value, {k}) OVER w, 0) * {math.exp(-((k / 0.8) ** 2) / 2) / (0.8 * math.sqrt(2 * math.pi))!r}::DOUBLE AS b{k}" for k in range(1, 5))}, value * {1 / (0.8 * math.sqrt(2 * math.pi))!r}::DOUBLE AS c FROM events {_W})
+SELECT event_id, R(a1 + a2 + a3 + a4 + b1 + b2 + b3 + b4 + c) AS s FROM g""")
+def smooth_gaussian(t):
+    return O.gaussian_smooth(t.event_pages, "value", 0.8, "s").rows.select("event_id", "s")
+
+
+@query()
+def smooth_despike(t):
+    return O.despike(t.event_pages, "value", 4, 2, threshold=20.0)
+
+
+@query("""WITH g AS (SELECT *, abs(value - avg(value) OVER w) <= 2 * stddev_pop(value) OVER w AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events WINDOW w AS (PARTITION BY event_type)),
+f AS (SELECT event_type, regr_slope(value, i) AS b, regr_intercept(value, i) AS a FROM g WHERE ok GROUP BY 1) SELECT event_id, R(value - a - b * i) AS value, ok::INT AS "SelectedForBaselineDetermination" FROM g JOIN f USING (event_type)""")
+def subtract_fitted_baseline(t):
+    return O.subtract_baseline(t.event_pages, "value", outlier_passes=1, terms=2).rows.select("event_id", "value", "SelectedForBaselineDetermination")
+
+
 @query(f"""WITH s AS (SELECT *, {_R} AS r, {_N} AS n FROM events), b AS (SELECT event_type AS e, avg(value) AS b FROM s WHERE r < 20 OR r >= n - 20 GROUP BY 1) SELECT event_id, R(value - b) AS value FROM s JOIN b ON e = event_type""")
 def subtract_baseline(t):
     return O.subtract_baseline(t.event_pages, "value", 20).rows.select("event_id", "value")
@@ -247,10 +292,9 @@ def break_pieces(t):
     return P.break_in_pieces(t.event_pages, 4).rows.select("event_id", "Part")
 
 
-@query("""WITH n AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) SELECT i::INT AS "NewPage", c_nationkey, c_custkey FROM n WHERE i < 30""")
+@query(f'WITH {_EQUAL} SELECT i::INT AS "NewPage", page, c_custkey FROM e')
 def regroup_pages(t):
-    p = paged(t.customer, "c_nationkey", "c_custkey").numbered("r").keep(F.col("r") < 30)
-    return P.regroup(p).rows.select("NewPage", "c_nationkey", "c_custkey")
+    return P.regroup(_equal_pages(t)).rows.select("NewPage", "page", "c_custkey")
 
 
 @query("""SELECT c_mktsegment, R(avg(c_acctbal)) AS mean, row_number() OVER (ORDER BY c_mktsegment)::INT AS "PageNumber" FROM customer GROUP BY 1""")

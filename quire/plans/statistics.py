@@ -112,6 +112,32 @@ def process_zero_crossing(t):
     return R.zero_crossing(t.customer_pages, "c_acctbal", "c_custkey", "z")
 
 
+@query(f"""WITH {TIMED}, k AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n FROM t WHERE t >= 1e5 AND t <= 2e6 AND value <= 80 AND value >= 1 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS j FROM k WHERE i <= 500)
+SELECT event_type, R(avg((value + 2) * 3)) AS "valueAverage", count(value) AS "valueCount", R(max((value + 2) * 3)) AS "valueMaximum" FROM h WHERE j > 7 GROUP BY 1""")
+def process_qualified(t):
+    q = R.qualified(t.event_pages, "value", function_of="t", lower=1e5, upper=2e6, top=80.0, bottom=1.0, head=500, tail=-7, offset=2.0, factor=3.0)
+    return R.reduce(q, "value", ["average", "count", "maximum"])
+
+
+@query("""WITH p AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), m AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM p WHERE c_name LIKE '%7%'),
+h AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey DESC) AS j FROM m WHERE i <= floor(abs(n * 0.15 + 0.5))) SELECT c_mktsegment, R(sum(c_acctbal)) AS "c_acctbalSum", count(*) AS "c_acctbalCount" FROM h WHERE j <= floor(abs(n * 0.1 + 0.5)) GROUP BY 1""")
+def process_matching_fraction(t):
+    q = R.qualified(t.customer_pages, "c_acctbal", match=("c_name", "*7*"), fhead=0.15, ftail=0.1)
+    return R.reduce(q, "c_acctbal", ["sum", "count"])
+
+
+@query("""SELECT c_nationkey, R(coalesce(max(c_acctbal) FILTER (WHERE c_acctbal > 9900), -1)) AS "c_acctbalMaximum", count(*) FILTER (WHERE c_acctbal > 9900) AS "c_acctbalCount" FROM customer GROUP BY 1""")
+def process_default(t):
+    p = paged(t.customer, "c_nationkey", "c_custkey")
+    return R.with_default(p, R.reduce(p.keep(F.col("c_acctbal") > 9900), "c_acctbal", ["maximum", "count"]), -1.0)
+
+
+@query(f"""WITH o AS ({_ORDERED}) SELECT event_type, R(max(value) FILTER (WHERE k = floor((n - 1) * 0.8)) - max(value) FILTER (WHERE k = floor((n - 1) * 0.3))) AS v FROM o GROUP BY 1""")
+def process_prange(t):
+    return R.percentile_range(t.event_pages, "value", 30, 80, "v")
+
+
 @query()
 def process_pulse(t):
     p = paged(t.timed.withColumn("pulse", F.exp(-F.pow((F.col("t") - 1.2e6) / 3e5, F.lit(2))) * 100), "event_type", ("ts", "event_id"))
@@ -126,6 +152,12 @@ def envelope(t):
     return A.envelope(t.event_pages, ["value"], ["Max", "Min", "Mean", "StDev", "Rms", "Sigma", "Largest", "ExmmMean"])
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS "Row" FROM events), o AS (SELECT "Row", value, row_number() OVER (PARTITION BY "Row" ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY "Row") AS n FROM r)
+SELECT "Row", R(max(value) FILTER (WHERE k = n // 2)) AS "valueMedian", R(max(value) FILTER (WHERE k = floor((n - 1) * 0.9)) - max(value) FILTER (WHERE k = floor((n - 1) * 0.1))) AS "valueDRange", R(max(value) FILTER (WHERE k = floor((n - 1) * 0.6))) AS "valuePercentile60", R(max(value)) AS "valueMax" FROM o GROUP BY 1""")
+def envelope_order_statistics(t):
+    return A.envelope(t.event_pages, ["value"], ["Median", "DRange", "Percentile60", "Max"])
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS "Row" FROM events)
 SELECT "Row", R(sum(value * value)) AS "value2Sum" FROM r GROUP BY 1""")
 def envelope_power_sum(t):
@@ -152,15 +184,16 @@ def grouped_envelope(t):
     return A.envelope(p, ["c_acctbal"], ["Max", "Mean", "Slope"], group=["c_mktsegment"], x="c_nationkey")
 
 
-@query("""WITH v AS (SELECT *, [l_quantity, l_discount * 100, l_tax * 100, l_linenumber::DOUBLE] AS a FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_orderkey < 1000)),
+@query("""WITH v AS (SELECT *, [l_quantity, l_discount * 100, l_tax * 100, l_linenumber::DOUBLE] AS a FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem)),
 w AS (SELECT *, list_filter(a, lambda x: x >= 1) AS f FROM v)
 SELECT l_orderkey, l_linenumber, l_quantity, len(f)::INT AS "RowCount", R(list_sum(f)) AS "RowSum", R(list_avg(f)) AS "RowMean", R(list_min(f)) AS "RowMin", R(list_max(f)) AS "RowMax", R(list_max(f) - list_min(f)) AS "RowSpread",
-R(list_stddev_samp(f)) AS "RowStDev", R(list_sort(f)[len(f) // 2 + 1]) AS "RowMedian" FROM w""")
+R(list_stddev_samp(f)) AS "RowStDev", R(list_sort(f)[len(f) // 2 + 1]) AS "RowMedian", R(list_sort(f)[floor((len(f) - 1) * 0.9)::INT + 1] - list_sort(f)[floor((len(f) - 1) * 0.1)::INT + 1]) AS "RowDRange",
+R(list_sort(f)[floor((len(f) - 1) * 0.4)::INT + 1]) AS "RowPercentile40" FROM w""")
 def row_statistics(t):
-    df = t.lineitem.filter("l_orderkey < 1000").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").distinct()
+    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").distinct()
     df = df.withColumn("d", F.col("l_discount") * 100).withColumn("x", F.col("l_tax") * 100)
-    out = A.row_statistics(df, ["l_quantity", "d", "x", "l_linenumber"], low=1.0)
-    return out.select("l_orderkey", "l_linenumber", "l_quantity", "RowCount", "RowSum", "RowMean", "RowMin", "RowMax", "RowSpread", "RowStDev", "RowMedian")
+    out = A.row_statistics(df, ["l_quantity", "d", "x", "l_linenumber"], low=1.0, percentiles=[40.0])
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "RowCount", "RowSum", "RowMean", "RowMin", "RowMax", "RowSpread", "RowStDev", "RowMedian", "RowDRange", "RowPercentile40")
 
 
 _EDGES = "SELECT event_type, min(value) - 1e-7 * (max(value) - min(value)) AS lo, max(value) + 1e-7 * (max(value) - min(value)) AS hi FROM events GROUP BY 1"

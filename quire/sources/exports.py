@@ -19,11 +19,12 @@ def lines(p: Paged, columns: Sequence[str], delimiter: str = " ", formats: dict[
 
 
 def report(p: Paged, columns: Sequence[str], style: str = "text", width: int = 15) -> DataFrame:
-    """`line` of a printed table: text (padded), csv, html, latex or markdown rows."""
+    """`line` of a printed table: text (padded to width; a longer cell stays whole, after a blank), csv, html, latex or
+    markdown rows."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cells: list[Column] = [text(c) for c in columns]
     line = {
-        "text": lambda: F.concat(*[F.lpad(c, width, " ") for c in cells]), "csv": lambda: F.concat_ws(",", *[F.when(c.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]),
+        "text": lambda: F.concat(*[F.when(F.length(c) >= width, F.concat(F.lit(" "), c)).otherwise(F.lpad(c, width, " ")) for c in cells]), "csv": lambda: F.concat_ws(",", *[F.when(c.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]),
         "html": lambda: F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>")), "latex": lambda: F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")), "markdown": lambda: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")),
     }[style]()
     return p.rows.select(*p.page, *[c for c in p.order if c not in p.page], line.alias("line"))
@@ -47,9 +48,11 @@ def mathematica(p: Paged, columns: Sequence[str]) -> DataFrame:
     return p.rows.select(*p.page, *[c for c in p.order if c not in p.page], F.concat(F.lit("{"), F.concat_ws(", ", *pair), F.lit("}")).alias("line"))
 
 
-def headless(df: DataFrame, columns: Sequence[str], order: Sequence[str], column_major: bool = False) -> bytes:
-    """Little-endian doubles without a header, of a table small enough for one file."""
-    m = df.orderBy(*order).select(*[F.col(c).cast("double") for c in columns]).toPandas().to_numpy("<f8")
+def headless(df: DataFrame, columns: Sequence[str], order: Sequence[str], column_major: bool = False, most_rows: int = 1 << 20) -> bytes:
+    """Little-endian doubles without a header, of a table small enough for one file: refused beyond most_rows."""
+    m = df.orderBy(*order).select(*[F.col(c).cast("double") for c in columns]).limit(most_rows + 1).toPandas().to_numpy("<f8")
+    if len(m) > most_rows:
+        raise ValueError(f"over {most_rows} rows")
     return (m.T if column_major else m).tobytes()
 
 

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.frame import EMPTY_VALUE, paged
+from quire.functions.expression import ONE
+from quire.operators import aggregates
 from quire.operators import aggregates as A
 from quire.operators import filters, fits, images, joins, matrices, ordered, pages, reductions, signal
 from quire.plans.all_queries import QUERIES
+from quire.sources import exports
 
 
 def frame(spark, ys, xs=None, page=None):
@@ -198,3 +201,151 @@ def test_matrix_queries_take_whole_embeddings(spark, small):
     inverse = {(r["label"], r["OldColumnName"]): r["Inverse"] for r in QUERIES["matrix_pseudo_inverse"](spark, small).collect()}
     for k, m in pages.items():
         assert np.allclose(m @ np.array([inverse[k, f"c{i}"] for i in range(64)]) @ m, m, atol=1e-4)
+
+
+def test_error_functions_and_log_gamma(spark):
+    x = [-5.0, -1.5, -0.2, 0.0, 0.1, 0.5, 1.0, 2.0, 4.0, 10.0, 26.0, 60.0, 170.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", *[ONE[f](F.col("x")).alias(f) for f in ("erf", "erfc", "lngam")]).collect()
+    for r in got:
+        assert abs(r["erf"] - math.erf(r["x"])) < 1e-12 and abs(r["erfc"] - math.erfc(r["x"])) <= 5e-12 * math.erfc(r["x"])
+        want = math.inf if r["x"] in (-5.0, 0.0) else math.lgamma(r["x"])
+        assert r["lngam"] == want or abs(r["lngam"] - want) < 1e-11 * max(1, abs(want))
+
+
+def test_repeated_rows_are_looked_up_each(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 9.0), (3, 1.0)], "k int, v double")
+    right = spark.createDataFrame([(1, 1, 5.2), (2, 2, 9.1), (3, 1, 5.0), (4, 3, 2.0)], "o int, k2 int, w double")
+    look = lambda tolerance: sorted(tuple(r) for r in joins.tolerance_lookup(paged(left), paged(right, (), "o"), {"k": "k2"}, ("v", "w"), tolerance, ["o"]).collect())
+    assert look(0.5) == [(1, 5.0, 1), (1, 5.0, 1), (2, 9.0, 2)] and look(0.0) == [(1, 5.0, 3), (1, 5.0, 3)]
+    model = spark.createDataFrame([(float(i), float(i * i)) for i in range(1, 6)], "x double, y double")
+    data = paged(spark.createDataFrame([(1.0, 3.0), (5.0, 75.0)], "x double, y double"), (), "x")
+    at = spark.createDataFrame([(2.0,), (3.0,), (2.0,)], "v double")
+    assert sorted(tuple(r) for r in joins.interpolate_by_model(data, model, "x", "y", at, "v").collect()) == [(2.0, 12.0), (2.0, 12.0), (3.0, 27.0)]
+
+
+def test_gill_miller_is_exact_for_cubics(spark):
+    xs = [0.0, 1.0, 2.5, 3.0, 4.2, 5.0, 7.0, 7.5]
+    rows = spark.createDataFrame([(0, x, x**3) for x in xs] + [(1, x, x) for x in xs[:3]], "p int, x double, y double")
+    for r in signal.gill_miller(paged(rows, "p", "x"), "x", "y").rows.collect():
+        want = r["x"] ** 4 / 4 if r["p"] == 0 else r["x"] ** 2 / 2
+        assert abs(r["Integral"] - want) < 1e-9
+
+
+def test_layer_peeling_by_hand(spark):
+    """Reflections worked out wave by wave: 0.2; (0.25 - 0.2) / 0.96; then what the second layer sends back is known too."""
+    v = [0.2, 0.25, 0.1]
+    got = [r["PeeledImpedance"] for r in signal.peel_impedance(paged(spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "p int, i int, v double"), "p", "i"), "v", 1.0).orderBy("Row").collect()]
+    g1 = 0.2
+    g2 = (0.25 - 0.2) / (1 - g1**2)
+    left2 = (1 + g1) * 1.0 - g1 * (1.2 * g2)  # what the first layer lets through, less what it sends back of the second's
+    third = (1 - g1) * left2 * g2 + g1
+    g3 = (0.1 - third) / ((1 - g1**2) * (1 - g2**2))
+    want = np.cumprod([(1 + g) / (1 - g) for g in (g1, g2, g3)]) * 50
+    assert np.allclose(got, want)
+
+
+def test_excluded_peaks_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 30, 300).astype(float)
+    got = signal.exclude_near_peaks(paged(spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "p int, i int, v double"), "p", "i"), "i", "v", 0.05).collect()
+    peak = [0 < i < 299 and v[i - 1] <= v[i] >= v[i + 1] and (v[i - 1] < v[i] or v[i + 1] < v[i]) for i in range(300)]
+    zone = int(0.05 / 2 * 300 + 0.5)
+    for i in range(300):
+        if peak[i]:
+            for j in range(max(0, i - zone), min(299, i + zone) + 1):
+                if j != i and peak[j] and v[j] <= v[i]:
+                    peak[j] = False
+    assert sorted(r["i"] for r in got) == [i for i in range(300) if peak[i]]
+
+
+def test_fronts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(p), int(x), int(y), int(z)) for p, x, y, z in rng.integers(0, 12, (200, 4))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p int, x int, y int, z int")
+    for columns in (("x", "y"), ("x", "y", "z")):
+        k = len(columns)
+        worse = lambda a, b: a[0] == b[0] and all(u <= w for u, w in zip(b[1 : k + 1], a[1 : k + 1], strict=True)) and b[1 : k + 1] != a[1 : k + 1]  # noqa: E731, B023
+        want = {i for i, a in enumerate(rows) if not any(worse(a, b) for b in rows)}
+        assert {r["i"] for r in pages.pareto(paged(df, "p", "i"), *columns).rows.collect()} == want
+
+
+def test_polynomial_fits_by_sums(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-3, 40, 400)
+    y, s = 2 - 0.5 * x + 0.03 * x**2 + rng.normal(0, 0.2, 400), rng.uniform(0.1, 0.5, 400)
+    p = paged(spark.createDataFrame([(0, i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, s, strict=True))], "p int, i int, x double, y double, s double"), "p", "i")
+    for sigma in (None, "s"):
+        r = fits.polynomial(p, "x", ["y"], [0, 1, 2], sigma=sigma).first()
+        w = 1 / s if sigma else np.ones(400)
+        a = np.vander(x, 3, increasing=True) * w[:, None]
+        c = np.linalg.lstsq(a, y * w, rcond=None)[0]
+        rest = y - np.vander(x, 3, increasing=True) @ c
+        chi = ((rest * w) ** 2).sum() / 397
+        assert np.allclose(r["Coefficients"], c, rtol=1e-8) and abs(r["RmsResidual"] - np.sqrt((rest**2).mean())) < 1e-7 and abs(r["ReducedChiSquared"] - chi) < 1e-7 * chi
+        assert np.allclose(r["Sigmas"], np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * (1 if sigma else chi)), rtol=1e-6)
+    u = (2 * x - x.min() - x.max()) / np.ptp(x)
+    r = fits.polynomial(p, "x", ["y"], range(6), chebyshev=True).first()
+    assert np.allclose(r["Coefficients"], np.polynomial.chebyshev.chebfit(u, y, 5), atol=1e-8)
+
+
+def test_outlier_rules(spark):
+    rng = np.random.default_rng(6)
+    v = np.r_[rng.normal(0, 1, 200), 9.0, -8.0]
+    p = paged(spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)] + [(1, 0, 1.0), (1, 1, 99.0)], "p int, i int, v double"), "p", "i")
+    kept = {(r["p"], r["i"]) for r in ordered.outliers(p, "v", None, chance=0.01).rows.collect()}
+    z, n = np.abs(v - v.mean()) / v.std(ddof=1), len(v)
+    seen = np.array([1 - (1 - math.erfc(a / math.sqrt(2))) ** n for a in z])
+    assert kept == {(0, i) for i in range(n) if seen[i] >= 0.01} | {(1, 0), (1, 1)}
+    assert {200, 201}.isdisjoint(i for q, i in kept if q == 0)
+
+
+def test_despike(spark):
+    v = [1.0, 1.1, 0.9, 50.0, 1.0, 1.2, 0.8, 1.0, 1.1]
+    got = [r["v"] for r in ordered.despike(paged(spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "p int, i int, v double"), "p", "i"), "v", threshold=5.0).orderBy("i").collect()]
+    assert got[3] == pytest.approx((1.1 + 0.9 + 1.0 + 1.2) / 4) and got[:3] + got[4:] == v[:3] + v[4:]
+
+
+def test_pages_of_different_length_are_refused(spark):
+    p = paged(spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0)], "p int, i int, v double"), "p", "i")
+    with pytest.raises(Exception, match="pages differ in length"):
+        aggregates.envelope(p, ["v"], ["Max"], equal_pages=True).collect()
+    assert aggregates.envelope(p.keep(F.col("i") == 0), ["v"], ["Max", "Median"], equal_pages=True).first().asDict() == {"Row": 0, "vMax": 3.0, "vMedian": 3.0}
+
+
+def test_long_cells_stay_whole(spark):
+    p = paged(spark.createDataFrame([(1, "x" * 40, "y")], "i int, a string, b string"), (), "i")
+    assert exports.report(p, ["a", "b"], width=5).first()["line"] == " " + "x" * 40 + "    y"
+    with pytest.raises(ValueError, match="over 0 rows"):
+        exports.headless(p.rows, ["i"], ["i"], most_rows=0)
+
+
+def test_known_results_of_unwritable_sql(spark):
+    """Splines, grids, distributions, samples, separation and singular values against numpy."""
+    rng = np.random.default_rng(7)
+    x = np.linspace(0, 4, 120)
+    p = paged(spark.createDataFrame([(0, i, float(a), float(a**3 - a)) for i, a in enumerate(x)], "p int, i int, x double, y double"), "p", "i")
+    assert max(abs(r["yResidual"]) for r in fits.spline(p, "x", "y", 6).collect()) < 1e-8  # a cubic is a spline
+    values = fits.polynomial_values(p, "x", "y", range(4), chebyshev=True).collect()
+    assert max(abs(r["yFit"] - (r["x"] ** 3 - r["x"])) for r in values) < 1e-8
+    grid = paged(spark.createDataFrame([(0, i, 0.5 * (i % 7) + float(rng.normal(0, 0.004))) for i in range(210)], "p int, i int, x double"), "p", "i")
+    snapped = images.snap_to_grid(grid, "x").collect()
+    assert {r["xDimension"] for r in snapped} == {7} and abs(snapped[0]["xInterval"] - 0.5) < 0.01
+    v = np.sort(rng.normal(1, 2, 500))
+    cdf = np.array([0.5 * (1 + math.erf((a - 1) / (2 * math.sqrt(2)))) for a in v])
+    want = max((np.arange(1, 501) / 500 - cdf).max(), (cdf - np.arange(500) / 500).max())
+    got = aggregates.ks_statistic(paged(spark.createDataFrame([(0, float(a)) for a in v], "p int, x double"), "p", "x"), "x", 1.0, 2.0).first()
+    assert abs(got["D"] - want) < 1e-9
+    many = paged(spark.range(20_000).selectExpr("id % 3 AS p", "id"), "p", "id")
+    kept = filters.sample(many, 0.3).rows
+    assert abs(kept.count() / 20_000 - 0.3) < 0.02 and kept.exceptAll(filters.sample(many, 0.3).rows).count() == 0
+    s = np.sign(np.sin(7 * x)), np.sin(2 * x)
+    mixed = np.stack([s[0] + 0.6 * s[1], 0.4 * s[0] - s[1]])
+    q = paged(spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(mixed.T)], "p int, i int, a double, b double"), "p", "i")
+    found = matrices.independent_components(q, ["a", "b"], 2).orderBy("Row").toPandas()
+    parts = found[[c for c in found.columns if c not in ("p", "Row")]].to_numpy()
+    r = np.abs(np.corrcoef(parts.T, np.stack(s))[:2, 2:])
+    assert (r.max(1) > 0.95).all() and (r.max(0) > 0.95).all()
+    m = rng.normal(size=(30, 3))
+    q = paged(spark.createDataFrame([(0, i, *map(float, a)) for i, a in enumerate(m)], "p int, i int, a double, b double, c double"), "p", "i")
+    found = matrices.singular_values(q, ["a", "b", "c"]).toPandas()
+    assert np.allclose(np.sort(found.select_dtypes("float").to_numpy().ravel())[::-1][:3], np.linalg.svd(m)[1])
