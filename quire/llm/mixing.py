@@ -99,8 +99,8 @@ def order_of(number) -> Column:
 
 def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, position (of the first copy), in order of position."""
-    sized = numbered_copies(sized_rows(docs))
-    sized = materialize(sized.select("doc_id", "source", "size", order_of(F.col("__copy"))), "sizes")
+    sized = numbered_copies(materialize(sized_rows(docs), "sizes"))  # texts are read once
+    sized = materialize(sized.select("doc_id", "source", "size", order_of(F.col("__copy"))), "ordered")
     p = plan(sized, schedules)
     taken = F.aggregate("copies", F.lit(0).cast("bigint"), lambda total, c: total + c["words"])
     return p.select(

@@ -74,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null)."""
     text = F.col("text").cast("string")
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"))
-    narrow = materialize(numbered_copies(narrow), "shards")  # texts are read once; what follows moves a few numbers a row
+    narrow = materialize(numbered_copies(materialize(narrow, "sizes")), "shards")  # texts are read once; what follows moves a few numbers a row
     total = narrow.count()
     blocks = max(1, min(MAX_BLOCKS, math.ceil(total / ROWS_PER_BLOCK)))
     draw = lambda salt: F.hex(F.xxhash64(F.lit(seed + salt), "doc_id", "text_crc32", "size", "__copy"))
