@@ -100,3 +100,17 @@ def nth_token(column: Column, n: int, last: bool = False) -> Column:
     """The n-th (1-based) run of non-blanks, or the last."""
     words = F.filter(F.split(column, r"\s+"), lambda w: w != "")
     return F.get(words, F.size(words) - 1 if last else F.lit(n - 1))
+
+
+def reformatted(text: Column, string: str | None = None, double: str | None = None, long: str | None = None) -> Column:
+    """The words of a text (between blanks), numbers with a fraction or exponent written by the format `double`, whole
+    numbers by `long`, others by `string`; a kind without a format stays as it is."""
+    whole, number = r"^[-+]?\d+$", r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+
+    def one(word: Column) -> Column:
+        out = F.format_string(string, word) if string else word
+        as_double = F.format_string(double, word.try_cast("double")) if double else word
+        as_long = F.format_string(long, word.try_cast("bigint")) if long else word
+        return F.when(word.rlike(whole), as_long).when(word.rlike(number), as_double).otherwise(out)
+
+    return F.array_join(F.transform(F.split(text, " ", -1), one), " ")

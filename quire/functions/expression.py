@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.wildcard import matches
@@ -350,3 +350,15 @@ def infix(text: str, names: dict[str, Column]) -> Column:
 
 def string_matches(column: Column, pattern: str) -> Column:
     return matches(column, pattern)
+
+
+def evaluated(df: DataFrame, equation: str, name: str, names: dict[str, Column], most: int = 1000) -> DataFrame:
+    """df with name: the value of the stack expression that each row holds in its `equation` column. The distinct
+    equations, refused beyond `most`, become one expression of as many cases; rows are not interpreted one by one."""
+    found = [r[0] for r in df.select(equation).filter(F.col(equation).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ExpressionError(f"over {most} equations")
+    value = F.lit(None).cast("double")
+    for text in sorted(found, reverse=True):
+        value = F.when(F.col(equation) == text, Compiler(names).number(text).cast("double")).otherwise(value)
+    return df.withColumn(name, value)

@@ -217,8 +217,8 @@ def field_average(df: DataFrame, keys: Sequence[str], value: str, power: float =
 
 
 def ks_statistic(p: Paged, column: str, mean: float, sd: float) -> DataFrame:
-    """Kolmogorov-Smirnov distance of each page's values from a normal law (logistic-free: the error function is a
-    vectorised function)."""
+    """D, the Kolmogorov-Smirnov distance of each page's values from a normal law; N; and P, the probability to exceed D
+    (the series of exponentials with the usual correction for small N)."""
     from quire.functions.expression import ONE
 
     o = Window.partitionBy(*p.page).orderBy("__x")
@@ -226,7 +226,16 @@ def ks_statistic(p: Paged, column: str, mean: float, sd: float) -> DataFrame:
     cdf = 0.5 * (1 + ONE["erf"]((F.col("__x") - mean) / (sd * 2**0.5)))
     rows = rows.withColumn("__f", cdf)
     d = F.greatest(F.abs(F.col("__k") / F.col("__n") - F.col("__f")), F.abs((F.col("__k") - 1) / F.col("__n") - F.col("__f")))
-    return rows.groupBy(*p.page).agg(F.max(d).alias("D"), F.max("__n").alias("N"))
+    return rows.groupBy(*p.page).agg(F.max(d).alias("D"), F.max("__n").alias("N")).withColumn("P", ks_probability(F.col("D"), F.col("N")))
+
+
+def ks_probability(d: Column, n: Column, terms: int = 60) -> Column:
+    root = F.sqrt(n.cast("double"))
+    x = (root + 0.12 + 0.11 / root) * d
+    total = F.lit(0.0)
+    for j in range(1, terms + 1):
+        total = total + F.exp(-2.0 * j * j * x * x) * (2.0 if j % 2 else -2.0)
+    return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
 
 
 def density(p: Paged, column: str, bandwidth: float, grid: Sequence[float]) -> DataFrame:
@@ -244,8 +253,11 @@ def density_2d(df: DataFrame, x: str, y: str, bandwidth: tuple[float, float], gr
     return df.agg(out.alias("__g")).select(F.explode("__g").alias("__g")).select("__g.*")
 
 
-def local_density(p: Paged, column: str, distance: float) -> Paged:
-    """LocalDensity: rows of the page within distance of the row's value, itself included, by a range window."""
+def local_density(p: Paged, column: str, distance: float, fraction: bool = False) -> Paged:
+    """LocalDensity: rows of the page within distance of the row's value, itself included, by a range window; as a
+    fraction, distance is one of the page's range of values."""
     page = ", ".join(f"`{c}`" for c in p.page)
     near = f"RANGE BETWEEN {float(distance)!r}D PRECEDING AND {float(distance)!r}D FOLLOWING"
-    return p.with_rows(p.rows.withColumn("LocalDensity", F.expr(f"count(1) OVER ({'PARTITION BY ' + page if page else ''} ORDER BY CAST(`{column}` AS DOUBLE) {near})")))
+    low, high = F.min(_x(column)).over(p.whole()), F.max(_x(column)).over(p.whole())
+    rows = p.rows.withColumn("__at", (_x(column) - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0)) if fraction else _x(column))
+    return p.with_rows(rows.withColumn("LocalDensity", F.expr(f"count(1) OVER ({'PARTITION BY ' + page if page else ''} ORDER BY `__at` {near})")).drop("__at"))

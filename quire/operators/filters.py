@@ -84,3 +84,13 @@ def page_test(p: Paged, condition: Column, autostop: bool = False, page_order: S
         params = params.withColumn("__ok", F.min("__ok").over(w))
     good = params.filter("__ok").drop("__ok")
     return Paged(p.rows.join(good.select(*p.page), list(p.page), "left_semi"), p.page, p.order, good)
+
+
+def require(p: Paged, columns: Sequence[str] = (), parameters: Sequence[str] = (), absent_columns: Sequence[str] = (), absent_parameters: Sequence[str] = ()) -> Paged:
+    """p, if it has what must be there and lacks what must not; else an error that names the first such thing."""
+    here = {"column": p.rows.columns, "parameter": p.params.columns if p.params is not None else list(p.page)}
+    for kind, names, wanted in (("column", columns, True), ("parameter", parameters, True), ("column", absent_columns, False), ("parameter", absent_parameters, False)):
+        for name in names:
+            if (name in here[kind]) != wanted:
+                raise ValueError(f"{kind} {name} {'does not exist' if wanted else 'exists'}")
+    return p

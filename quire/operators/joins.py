@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.frame import Paged
 from quire.functions.wildcard import to_regex
+from quire.sources.shared import shared_folder
 
 _ZERO = {"string": "", "boolean": False}
 
@@ -118,9 +119,10 @@ def differences(a: Paged, b: Paged, columns: Sequence[str], tolerance: float = 0
     return out.filter(F.col("__alone") | broken | (F.abs(F.col("First") - F.col("Second")) > limit)).drop("__alone")
 
 
-def interpolate(data: Paged, x: str, y: str, at: DataFrame, value: str, outside: str = "saturate") -> DataFrame:
+def interpolate(data: Paged, x: str, y: str, at: DataFrame, value: str, outside: str | float = "saturate") -> DataFrame:
     """Linear interpolation of y(x) of each page at the values of `at` (with the page columns, or none): both are merged
-    and sorted, and each value takes the nearest data row before and after it. outside: saturate, skip or extrapolate."""
+    and sorted, and each value takes the nearest data row before and after it. outside: saturate, skip, extrapolate, wrap
+    (by whole ranges of the page's x), abort, or a number to give."""
     page = list(data.page)
     points = data.rows.groupBy(*page, F.col(x).cast("double").alias("__x")).agg(F.avg(F.col(y).cast("double")).alias("__y"))
     o = Window.partitionBy(*page).orderBy("__x")
@@ -129,20 +131,36 @@ def interpolate(data: Paged, x: str, y: str, at: DataFrame, value: str, outside:
     missing = [c for c in page if c not in at.columns]
     if missing:
         wanted = _for_each_page(wanted, data, missing)
+    wanted = wanted.withColumn("__asked", F.col("__x"))
+    if outside == "wrap":
+        wanted = _wrapped(wanted, points, page)
     none = F.lit(None).cast("struct<__x:double,__y:double>")
-    merged = points.select(*page, "__x", "__pt", "__prev", "__next", F.lit(0).alias("__is")).unionByName(wanted.select(*page, "__x", none.alias("__pt"), none.alias("__prev"), none.alias("__next"), F.lit(1).alias("__is")))
+    merged = points.select(*page, "__x", "__pt", "__prev", "__next", F.lit(0).alias("__is"), F.lit(None).cast("double").alias("__asked")).unionByName(wanted.select(*page, "__x", "__asked", none.alias("__pt"), none.alias("__prev"), none.alias("__next"), F.lit(1).alias("__is")))
     w = Window.partitionBy(*page).orderBy("__x", "__is")
     node = F.when(F.col("__is") == 0, F.struct("__pt", "__prev", "__next"))
     merged = merged.withColumn("__before", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.first(node, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     b, a = F.col("__before.__pt"), F.col("__after.__pt")
     line = lambda p, q: p["__y"] + (F.col("__x") - p["__x"]) * (q["__y"] - p["__y"]) / F.nullif(q["__x"] - p["__x"], F.lit(0.0))
     below, above = b.isNull(), a.isNull()
-    edge = {"saturate": (a["__y"], b["__y"]), "skip": (F.lit(None).cast("double"),) * 2, "extrapolate": (line(a, F.col("__after.__next")), line(F.col("__before.__prev"), b))}[outside]
+    refused = F.raise_error(F.lit("a value lies outside the data")).cast("double")
+    edge = {"saturate": (a["__y"], b["__y"]), "wrap": (a["__y"], b["__y"]), "skip": (F.lit(None).cast("double"),) * 2, "abort": (refused,) * 2, "extrapolate": (line(a, F.col("__after.__next")), line(F.col("__before.__prev"), b))}
+    edge = edge[outside] if isinstance(outside, str) else (F.lit(float(outside)),) * 2
     out = F.when(below, edge[0]).when(b["__x"] == F.col("__x"), b["__y"]).when(above, edge[1]).otherwise(line(b, a))
-    result = merged.withColumn("__v", out).filter("__is = 1").select(*page, F.col("__x").alias(x), F.col("__v").alias(y))
+    result = merged.withColumn("__v", out).filter("__is = 1").select(*page, F.col("__asked").alias(x), F.col("__v").alias(y))
     return result.filter(F.col(y).isNotNull()) if outside == "skip" else result
 
 
+def _wrapped(wanted: DataFrame, points: DataFrame, page: list[str]) -> DataFrame:
+    """wanted with __x moved into the range of its page's points by whole ranges; ends are one row a page."""
+    ends = points.groupBy(*page).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ends = ends.select(*[F.col(c).alias(f"__e_{c}") for c in page], "__lo", "__hi")
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in page], F.lit(True))
+    lo, hi, x = F.col("__lo"), F.col("__hi"), F.col("__x")
+    span = F.nullif(hi - lo, F.lit(0.0))
+    moved = F.when(x > hi, x - F.ceil((x - hi) / span) * span).when(x < lo, x + F.ceil((lo - x) / span) * span).otherwise(x)
+    return wanted.join(ends, same).withColumn("__x", F.coalesce(moved, lo)).drop("__lo", "__hi", *[f"__e_{c}" for c in page])
+
+
 def _for_each_page(wanted: DataFrame, data: Paged, missing: list[str]) -> DataFrame:
     """Values asked of every page: one row per page and value is what the result has."""
     pages = data.rows.select(*missing).distinct()
@@ -283,12 +301,5 @@ def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, mos
 
 
 def _checkpoint_dir(df: DataFrame) -> None:
-    """spark.checkpoint.dir, where it is set; a folder of its own in a local session, which has no other machines."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))

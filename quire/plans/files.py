@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quire.frame import paged
 from quire.operators import joins as J
 from quire.plans.registry import query
-from quire.sources import exports, generate
+from quire.sources import exports, generate, imports
+from quire.sources.shared import shared_folder
 
 
 @query("SELECT c_mktsegment, c_custkey, printf('%06d', c_custkey) || ';' || c_name || ';' || c_nationkey AS line FROM customer")
@@ -86,18 +87,41 @@ def dependency_tree(t):
 
 @query("SELECT 3 AS pages, 75 AS rows, 'ok' AS verdict")
 def write_and_read_files(t):
-    """The paged format through its writer and reader, in the folder that the workers share (spark.checkpoint.dir), or a
-    temporary one where that is unset, as in local mode."""
-    import os
-    import tempfile
-
+    """The paged format through its writer and reader, in the folder that the workers share (tasks write with open(), so
+    it must be a mounted one)."""
     from quire.sources import paged_file
 
     rows = t.spark.range(75).select((F.col("id") % 3).alias("page"), F.col("id").alias("i"), (F.col("id") / 7).alias("x"), F.concat(F.lit('a "b" '), F.col("id").cast("string")).alias("s"))
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://")
-    folder = tempfile.mkdtemp(prefix="quire-files-", dir=shared if os.path.isdir(shared) else None)
+    folder = shared_folder(t.spark).removeprefix("file://")
     paged_file.write(paged(rows, "page", "i"), folder, "ABCD5").collect()
     back, _ = paged_file.read(t.spark, f"{folder}/*.paged")
     same = back.rows.join(rows.withColumnRenamed("x", "x0").withColumnRenamed("s", "s0"), "i").filter("x = x0 AND s = s0")
     verdict = paged_file.verdicts(t.spark, f"{folder}/*.paged").agg(F.min("verdict").alias("verdict"))
     return same.agg(F.countDistinct("__file").alias("pages"), F.count(F.lit(1)).alias("rows")).join(verdict, F.lit(True))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def import_delimited(t):
+    """A table written as delimited text, with a header line in each file, and read back."""
+    folder = shared_folder(t.spark)
+    exports.write_lines(exports.lines(paged(t.customer, (), "c_custkey"), ["c_custkey", "c_name", "c_acctbal", "c_nationkey"], ";"), folder)
+    return imports.csv(t.spark, folder, "c_custkey bigint, c_name string, c_acctbal double, c_nationkey int", ";")
+
+
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS "row", s_suppkey, s_acctbal FROM supplier""")
+def import_plain(t):
+    """White-space separated numbers with their count and a comment before them, row by row."""
+    folder = shared_folder(t.spark)
+    n = t.supplier.count()
+    body = exports.lines(paged(t.supplier, (), "s_suppkey"), ["s_suppkey", "s_acctbal"], "  ").select("s_suppkey", "line")
+    head = t.spark.createDataFrame([(-2, "! suppliers"), (-1, str(n))], "s_suppkey bigint, line string")
+    exports.write_lines(head.unionByName(body.withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))).coalesce(1), folder, order=("s_suppkey",))
+    return imports.plain(t.spark, folder, {"s_suppkey": "bigint", "s_acctbal": "double"}, row_count=True).withColumn("row", F.col("row").cast("bigint"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, R(sum(c_acctbal)) AS total FROM customer GROUP BY 1")
+def split_in_pages(t):
+    """A folder a page, read back as one table with its pages."""
+    folder = shared_folder(t.spark)
+    exports.write_pages(t.customer_pages, folder)
+    return t.spark.read.parquet(folder).groupBy(F.col("c_mktsegment").cast("string").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total"))

@@ -110,6 +110,20 @@ def interpolate_extrapolate(t):
     return J.interpolate(paged(t.customer, "c_mktsegment", "c_custkey"), "c_nationkey", "c_acctbal", at, "x", "extrapolate")
 
 
+@query(f"""WITH d AS ({_POINTS}), a AS (SELECT c_mktsegment, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, min(x) OVER (PARTITION BY c_mktsegment) AS lo, max(x) OVER (PARTITION BY c_mktsegment) AS hi FROM d WINDOW w AS (PARTITION BY c_mktsegment ORDER BY x)),
+v AS (SELECT DISTINCT c_mktsegment, q, CASE WHEN q > hi THEN q - ceil((q - hi) / (hi - lo)) * (hi - lo) WHEN q < lo THEN q + ceil((lo - q) / (hi - lo)) * (hi - lo) ELSE q END AS xw FROM a, (SELECT unnest([-30.5, 2.5, 61.25])::DOUBLE AS q))
+SELECT v.c_mktsegment, q AS c_nationkey, R(y + (xw - x) * (y1 - y) / (x1 - x)) AS c_acctbal FROM v JOIN a ON a.c_mktsegment = v.c_mktsegment AND x <= xw AND xw < x1""")
+def interpolate_wrapped(t):
+    at = t.spark.createDataFrame([(x,) for x in (-30.5, 2.5, 61.25)], "x double")
+    return J.interpolate(paged(t.customer, "c_mktsegment", "c_custkey"), "c_nationkey", "c_acctbal", at, "x", "wrap")
+
+
+@query("SELECT DISTINCT c_mktsegment, q AS c_nationkey, -7.5::DOUBLE AS c_acctbal FROM customer, (SELECT unnest([-30.5, 61.25])::DOUBLE AS q)")
+def interpolate_outside_value(t):
+    at = t.spark.createDataFrame([(x,) for x in (-30.5, 61.25)], "x double")
+    return J.interpolate(paged(t.customer, "c_mktsegment", "c_custkey"), "c_nationkey", "c_acctbal", at, "x", -7.5)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_quantity > 10 AND l_quantity < 30 AND l_tax > 0.015 AND l_tax < 0.055")
 def inside_boundary(t):
     out = J.inside_polygon(t.lineitem, "l_quantity", "l_tax", [(10.5, 0.015), (29.5, 0.015), (29.5, 0.055), (10.5, 0.055)])

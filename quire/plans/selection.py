@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import calendar
-from quire.functions.editing import edited, nth_token
-from quire.functions.expression import Compiler, infix
+from quire.functions.editing import edited, nth_token, reformatted
+from quire.functions.expression import Compiler, evaluated, infix
 from quire.functions.wildcard import columns_like
 from quire.operators import filters, joins
 from quire.plans.registry import TIMED, query
@@ -190,3 +190,21 @@ def contour_grid(t):
     from quire.sources.generate import grid
 
     return grid(t.spark, "x", (0.0, 2.0, 9), "y", (0.0, 2.0, 5), "z", "x sqr y sqr + 10 / -1 * exp")
+
+
+@query("""SELECT o_orderkey, printf('%07d', o_orderkey) || ' at ' || printf('%.3f', o_totalprice) || ' [' || o_orderstatus || ']' AS s FROM orders""")
+def format_numbers(t):
+    text = F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.lit("at"), F.format_string("%.2f", "o_totalprice"), F.concat(F.lit("["), "o_orderstatus", F.lit("]")))
+    return t.orders.select("o_orderkey", reformatted(text, double="%.3f", long="%07d").alias("s"))
+
+
+@query("SELECT event_id, R(CASE event_type WHEN 'click' THEN value * 2 WHEN 'view' THEN value + user_id ELSE value * value - 1 END) AS y FROM events")
+def evaluate_stored(t):
+    stored = F.when(F.col("event_type") == "click", "value 2 *").when(F.col("event_type") == "view", "value user_id +").otherwise("value sqr 1 -")
+    out = evaluated(t.events.withColumn("equation", stored), "equation", "y", {"value": F.col("value"), "user_id": F.col("user_id").cast("double")})
+    return out.select("event_id", "y")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def require_columns(t):
+    return filters.require(t.customer_pages, ["c_custkey"], absent_columns=["no_such"]).reduce(F.count(F.lit(1)).alias("n"))

@@ -295,3 +295,9 @@ def kernel_density_2d(t):
 @query("""SELECT a.c_custkey, (SELECT count(*) FROM customer b WHERE b.c_mktsegment = a.c_mktsegment AND b.c_acctbal BETWEEN a.c_acctbal - 100 AND a.c_acctbal + 100) AS "LocalDensity" FROM customer a""")
 def local_density(t):
     return A.local_density(t.customer_pages, "c_acctbal", 100.0).rows.select("c_custkey", "LocalDensity")
+
+
+@query("""WITH s AS (SELECT c_custkey, c_mktsegment, (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) AS u FROM customer WINDOW w AS (PARTITION BY c_mktsegment))
+SELECT a.c_custkey, (SELECT count(*) FROM s b WHERE b.c_mktsegment = a.c_mktsegment AND b.u BETWEEN a.u - 0.02 AND a.u + 0.02) AS "LocalDensity" FROM s a""")
+def local_density_fraction(t):
+    return A.local_density(t.customer_pages, "c_acctbal", 0.02, fraction=True).rows.select("c_custkey", "LocalDensity")

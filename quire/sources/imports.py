@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """__file, __n (from 1) and value of each line. A file may be read in several splits: lines are ordered by where their
+    split begins, and inside it, as one task reads it from its start, by the order of reading."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), "value")
+    return lines.select("__file", "value", F.row_number().over(Window.partitionBy("__file").orderBy("__start", "__at")).alias("__n"))
+
+
 def csv(spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = False, fill_last: bool = False, skip_lines: int = 0) -> DataFrame:
     """Delimited text with declared types; short rows and unreadable cells are null, or with fill_last the value of the
     row before in the file."""
     if skip_lines or fill_last:
-        lines = spark.read.text(path).select(F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"), "value")
-        lines = lines.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at"))).filter(F.col("__n") > skip_lines + int(header))
+        lines = numbered_lines(spark, path).filter(F.col("__n") > skip_lines + int(header))
         rows = lines.select("__file", "__n", F.from_csv("value", schema, {"sep": separator, "mode": "PERMISSIVE"}).alias("r")).select("__file", "__n", "r.*")
         w = Window.partitionBy("__file").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
         return rows.select(*[F.last(c, True).over(w).alias(c) if fill_last else F.col(c) for c in rows.columns[2:]])
@@ -27,8 +33,8 @@ def csv(spark: SparkSession, path: str, schema: str, separator: str = ",", heade
 
 def plain(spark: SparkSession, path: str, columns: dict[str, str], comment: str = "!", skip_lines: int = 0, row_count: bool = False) -> DataFrame:
     """White-space separated columns; comment lines are skipped, and the leading row count if there is one."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"), F.btrim("value").alias("v"))
-    lines = lines.filter((F.col("v") != "") & ~F.col("v").startswith(comment)).withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at")))
+    lines = numbered_lines(spark, path).withColumn("v", F.btrim("value")).filter((F.col("v") != "") & ~F.col("v").startswith(comment))
+    lines = lines.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__n")))
     words = F.split("v", r"\s+")
     kept = lines.filter(F.col("__n") > skip_lines + int(row_count))
     return kept.select((F.col("__n") - 1 - skip_lines - int(row_count)).alias("row"), *[F.get(words, F.lit(i)).try_cast(k).alias(c) for i, (c, k) in enumerate(columns.items())])
