@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,10 +164,16 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: tuple[int, int], x_range:
     return grid.join(rows, ["i", "j"], "left").select(centre("i", bins[0], *x_range).alias(x), centre("j", bins[1], *y_range).alias(y), F.coalesce("f", F.lit(0.0)).alias("frequency"))
 
 
-def correlations(p: Paged, columns: Sequence[str], rank: bool = False) -> DataFrame:
+def correlations(p: Paged, columns: Sequence[str], rank: bool = False, significance: bool = False, outlier: float | None = None, passes: int = 1) -> DataFrame:
     """All pairs of columns, in one aggregation: Correlate1Name, Correlate2Name, CorrelatePair, CorrelationCoefficient
-    (0 if degenerate), CorrelationPoints. Pages of under 3 rows give none."""
+    (0 if degenerate), CorrelationPoints. Pages of under 3 rows give none.
+
+    significance: CorrelationSignificance, the probability that uncorrelated values give as much (-1 for under 4 points).
+    outlier: values further from their column's mean than so many standard deviations do not count, in so many passes.
+    """
     rows = p.rows
+    if outlier is not None:
+        rows = _without_outliers(p, columns, outlier, passes).rows
     if rank:
         for c in columns:
             w = Window.partitionBy(*p.page).orderBy(_x(c))
@@ -175,7 +183,64 @@ def correlations(p: Paged, columns: Sequence[str], rank: bool = False) -> DataFr
     both = lambda a, b, c: F.when(finite(a) & finite(b), _x(c))
     out = [F.struct(F.lit(a).alias("Correlate1Name"), F.lit(b).alias("Correlate2Name"), F.lit(f"{a}.{b}").alias("CorrelatePair"), correlation(both(a, b, a), both(a, b, b)).alias("CorrelationCoefficient"), F.count(both(a, b, a)).alias("CorrelationPoints")) for a, b in pairs]
     done = rows.groupBy(*p.page).agg(F.array(*out).alias("__c"), F.count(F.lit(1)).alias("__n")).filter("__n >= 3")
-    return done.select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
+    found = done.select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
+    if significance:
+        found = found.withColumn("CorrelationSignificance", correlation_significance(F.col("CorrelationCoefficient"), F.col("CorrelationPoints")))
+    return found
+
+
+def _without_outliers(p: Paged, columns: Sequence[str], limit: float, passes: int) -> Paged:
+    """p with outlying values made null: a pass takes the limits of all columns in one aggregation."""
+    rows = p.rows
+    for _ in range(passes):
+        each = [f(_x(c)).alias(f"__{n}{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+        limits = rows.groupBy(*p.page).agg(*each)  # one row a page
+        joined = rows.join(limits, list(p.page)) if p.page else rows.join(limits, F.lit(True))
+        inside = [F.when((F.abs(_x(c) - F.col(f"__m{c}")) <= limit * F.col(f"__s{c}")) | F.col(f"__s{c}").isNull(), F.col(c)).alias(c) for c in columns]
+        rows = joined.select(*[c for c in rows.columns if c not in columns], *inside)
+    return p.with_rows(rows)
+
+
+def correlation_significance(r: Column, n: Column) -> Column:
+    """Two-tailed probability of |r| or more among n uncorrelated normal pairs: the regularised incomplete beta function
+    of 1 - r^2 with (n - 2) / 2 and 1 / 2. -1 for under 4 pairs, which say nothing; 1 for under 2."""
+
+    @F.pandas_udf("double")
+    def probability(r: pd.Series, n: pd.Series) -> pd.Series:
+        square, points = np.minimum(r.to_numpy(float) ** 2, 1.0), n.to_numpy(float)
+        usable = (points >= 4) & (square > 0) & (square < 1)
+        a, x = np.where(usable, (points - 2) / 2, 1.0), np.where(usable, 1 - square, 0.5)
+        direct = x < (a + 1) / (a + 2.5)  # where the fraction of this side converges soon
+        left, right, at = np.where(direct, a, 0.5), np.where(direct, 0.5, a), np.where(direct, x, 1 - x)
+        front = np.exp(_log_gamma(a + 0.5) - _log_gamma(a) - _log_gamma(np.full_like(a, 0.5)) + a * np.log(x) + 0.5 * np.log(1 - x))
+        value = front * _beta_fraction(left, right, at) / left
+        return pd.Series(np.select([points < 2, points < 4, square == 0, square == 1], [1.0, -1.0, 1.0, 0.0], np.where(direct, value, 1 - value)))
+
+    return probability(r, n)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x >= 1/2."""
+    from quire.functions.expression import LANCZOS
+
+    base = x + 6.5
+    return 0.5 * np.log(2 * np.pi) + (x - 0.5) * np.log(base) - base + np.log(LANCZOS[0] + sum(c / (x + k) for k, c in enumerate(LANCZOS[1:])))
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction by Lentz's method, all values at once; the number of steps grows with the root of a."""
+    small = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones_like(a), 1 / small(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    for m in range(1, 200 + 4 * int(np.sqrt(np.maximum(a, b).max(initial=1.0)))):
+        change = np.ones_like(a)
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / small(1 + k * d), small(1 + k / c)
+            change = change * d * c
+            h = h * d * c
+        if np.abs(change - 1).max(initial=0.0) < 1e-15:
+            break
+    return h
 
 
 def shift_correlation(p: Paged, column: str, other: str, shifts: Sequence[int]) -> DataFrame:

@@ -48,9 +48,11 @@ def spot(pixels: DataFrame, keys: Sequence[str], x: str, y: str, value: str, bac
     return p.groupBy(*keys).agg(F.sum("__v").alias("IntegratedSpotIntensity"), F.max("__v").alias("PeakSpotIntensity"), mean("__x").alias("xSpotCentroid"), mean("__y").alias("ySpotCentroid"), sigma("__x").alias("xSpotSigma"), sigma("__y").alias("ySpotSigma"), over.alias("SaturationCount"))
 
 
-def snap_to_grid(p: Paged, column: str, reduce: float = 0.9) -> DataFrame:
+def snap_to_grid(p: Paged, column: str, reduce: float = 0.9, guess: float | None = None, most_bins: int | None = None) -> DataFrame:
     """Snap values to the uniform grid they scatter about: bins are made fewer until no two neighbours are occupied;
-    column, `<column>Interval` and `<column>Dimension`."""
+    column, `<column>Interval` and `<column>Dimension`. It starts with bins of a tenth of `guess`, the grid's supposed
+    interval, with most_bins, or with ten bins a row; bins much finer than the scatter may
+    separate what belongs together. Values that no number of bins separates stay as they are: interval 0, dimension 1."""
 
     def f(c):
         v = c[column].astype(float)
@@ -58,13 +60,13 @@ def snap_to_grid(p: Paged, column: str, reduce: float = 0.9) -> DataFrame:
         if lo == hi:
             return {column: v, f"{column}Interval": 0.0, f"{column}Dimension": 1}
         pad = (hi - lo) / n
-        bins = max(10 * n, 10)
-        while bins > 1:
+        bins = max(int((hi - lo + 2 * pad) / (guess / 10)) if guess else most_bins or 10 * n, 1)
+        while bins >= 1:
             at = np.floor((v - lo + pad) / ((hi - lo + 2 * pad) / bins)).astype(int)
             used = np.unique(at)
-            if len(used) == 1 or np.diff(used).min() > 1:
+            if bins == 1 or len(used) == 1 or np.diff(used).min() > 1:
                 break
-            bins = int(bins * reduce)
+            bins = max(int(bins * reduce), 1)
         centres = np.array([v[at == b].mean() for b in used])
         delta = (centres[-1] - centres[0]) / max(len(centres) - 1, 1)
         return {column: np.floor((v - centres[0]) / delta + 0.5) * delta + centres[0] if delta else v, f"{column}Interval": float(delta), f"{column}Dimension": len(centres)}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.frame import Paged
+from quire.operators.grouped import per_page
 
 
 def sort_rows(df: DataFrame, *by: str) -> DataFrame:
@@ -54,15 +57,44 @@ def pareto(p: Paged, *columns: str) -> Paged:
     return p.with_rows(a.join(b, reduce(and_, [*same, *no_worse, better]), "left_anti"))
 
 
+def pareto_ranks(p: Paged, columns: Sequence[str], maximize: Sequence[str] = ()) -> DataFrame:
+    """page, order columns, columns and Rank: 1 for rows of the front, 2 for the front of the rest, and so on. Less is
+    better but for columns of maximize. Equal rows have one rank. Rows of a page are taken in ascending order; a row belongs
+    to the first front without a row that dominates it. Of two columns that front is found by bisection."""
+
+    def ranks(c):
+        values = np.stack([(-1.0 if x in maximize else 1.0) * c[x].astype(float) for x in columns], 1)
+        out = np.zeros(len(values), np.int64)
+        last: list[tuple[float, float]] = []  # of two columns: each front's last row, ascending
+        fronts: list[list[np.ndarray]] = []
+        for i in np.lexsort(values.T[::-1]):
+            v = values[i]
+            if len(columns) == 2:
+                mark = (v[1], v[0])
+                k = bisect_left(last, mark)
+                last[k : k + 1] = [mark]
+            else:
+                k = next((k for k, f in enumerate(fronts) if not any((u <= v).all() and (u < v).any() for u in f)), len(fronts))
+                fronts[k : k + 1] = [[*(fronts[k] if k < len(fronts) else []), v]]
+            out[i] = k + 1
+        return {x: c[x] for x in [*keys, *columns]} | {"Rank": out}
+
+    keys = [x for x in p.order if x not in (*p.page, *columns)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.rows.select(*keys, *columns).schema)
+    return per_page(p, [*keys, *columns], ranks, f"{kinds}, Rank bigint")
+
+
 def sort_columns(df: DataFrame, decreasing: bool = False, order: Sequence[str] | None = None) -> DataFrame:
     """Columns by name, or those of `order` first."""
     first = [c for c in order or () if c in df.columns]
     return df.select(*first, *sorted((c for c in df.columns if c not in first), reverse=decreasing))
 
 
-def duplicate(df: DataFrame, times: Column) -> DataFrame:
-    """Each row times (truncated) over, with its copy number."""
-    n = F.floor(times).cast("int")
+def duplicate(df: DataFrame, times: Column, draw_by: Sequence[str] = (), seed: int = 1) -> DataFrame:
+    """Each row times (truncated) over, with its copy number. With draw_by, columns that tell rows apart, what truncation
+    takes off is the probability of one more copy; a row's draw is a hash of these columns and the seed, so reruns agree."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), *draw_by), F.lit(1 << 53)) / float(1 << 53) if draw_by else F.lit(0.0)
+    n = F.floor(times + draw).cast("int")
     return df.filter(n > 0).withColumn("Copy", F.explode(F.sequence(F.lit(0), n - 1)))
 
 

@@ -16,6 +16,31 @@ def stream_lines(t):
     return exports.lines(t.customer_pages, ["c_custkey", "c_name", "c_nationkey"], ";", {"c_custkey": "%06d"})
 
 
+@query("""WITH m AS (SELECT 32767 / greatest(max(abs(c_acctbal)), max(abs(c_nationkey * 100 - 1200))) AS m FROM customer) SELECT c_custkey, floor(c_acctbal * m + 0.5)::INT AS "iSample", floor((c_nationkey * 100 - 1200) * m + 0.5)::INT AS "qSample",
+printf('%04X', ((floor(c_acctbal * m + 0.5)::INT + 65536) % 65536)) || printf('%04X', ((floor((c_nationkey * 100 - 1200) * m + 0.5)::INT + 65536) % 65536)) AS sample FROM customer, m""")
+def waveform_samples(t):
+    rows = t.customer.select("c_custkey", F.col("c_acctbal").alias("I"), (F.col("c_nationkey") * 100 - 1200).cast("double").alias("Q"))
+    return exports.iq_samples(rows).select("c_custkey", "iSample", "qSample", F.hex("sample").alias("sample"))
+
+
+_CELLS = "p AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r, n_nationkey * 1.5::DOUBLE AS a, n_nationkey + 0.25::DOUBLE AS b FROM nation), c AS (SELECT n_regionkey, r, 0 AS y, a AS value FROM p UNION ALL SELECT n_regionkey, r, 1, b FROM p)"
+
+
+def _field(t):
+    p = paged(t.nation, "n_regionkey", "n_nationkey").numbered("r")
+    return p.with_rows(p.rows.select("n_regionkey", "r", (F.col("n_nationkey") * 1.5).alias("a"), (F.col("n_nationkey") + 0.25).alias("b")))
+
+
+@query(f"WITH {_CELLS} SELECT n_regionkey, r, y, value FROM c")
+def field_volume(t):
+    return exports.field_volume(_field(t), "r", ["a", "b"])
+
+
+@query(f"WITH {_CELLS} SELECT y, n_regionkey, " + ", ".join(f"max(value) FILTER (WHERE r = {k}) AS x{k}" for k in range(5)) + " FROM c GROUP BY 1, 2")
+def field_planes(t):
+    return exports.field_planes(_field(t), "r", ["a", "b"], range(5))
+
+
 @query("""SELECT p_partkey, '| ' || p_name || ' | ' || p_size || ' |' AS line FROM part""")
 def report_markdown(t):
     return exports.report(paged(t.part, (), "p_partkey"), ["p_name", "p_size"], "markdown")

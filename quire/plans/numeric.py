@@ -28,6 +28,11 @@ def _near(fitted):
 
 _N = "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1"
 
+#: Balances v of a nation, their places i and the whole transform z of v; back(re, im) is the inverse one.
+_WHOLE = f"""s AS (SELECT c_nationkey AS g, c_acctbal AS v, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+k AS (SELECT g, n, unnest(range(n)) AS k FROM s GROUP BY g, n), z AS (SELECT k.g, k.n, k.k, sum(v * cos(2 * pi() * ((k * i) % k.n) / k.n)) AS re, -sum(v * sin(2 * pi() * ((k * i) % k.n) / k.n)) AS im FROM k JOIN s ON k.g = s.g GROUP BY 1, 2, 3)"""
+_BACK = "sum(re * cos(2 * pi() * ((k * i) % s.n) / s.n) - im * sin(2 * pi() * ((k * i) % s.n) / s.n)) / s.n"
+
 
 @query(f"""WITH s AS (SELECT c_nationkey, c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS v, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer), k AS (SELECT c_nationkey AS g, unnest(range(max(n) // 2 + 1)) AS k, max(n) AS m FROM s GROUP BY 1),
 z AS (SELECT g, k, m, sum(v * cos(2 * pi() * ((k * i) % m) / m)) / m AS re, sum(v * sin(2 * pi() * ((k * i) % m) / m)) / m AS im FROM k JOIN s ON g = c_nationkey GROUP BY 1, 2, 3)
@@ -75,10 +80,12 @@ def convolution(t):
     return signal.convolve(t.event_pages, "value", [0.5, 0.3, 0.2], "c").rows.select("event_id", "c")
 
 
-@query()
+@query(f"""WITH {_WHOLE}, q AS (SELECT k.g, k.k, sum(exp(-0.5 * i) * cos(2 * pi() * ((k * i) % k.n) / k.n)) AS a, -sum(exp(-0.5 * i) * sin(2 * pi() * ((k * i) % k.n) / k.n)) AS b FROM k JOIN s ON k.g = s.g GROUP BY 1, 2),
+m AS (SELECT *, a * a + b * b + 1e-6 * max(a * a + b * b) OVER (PARTITION BY g) AS p FROM q), d AS (SELECT g, k, (re * a + im * b) / p AS re, (im * a - re * b) / p AS im FROM z JOIN m USING (g, k))
+SELECT s.g AS c_nationkey, i AS "Row", R({_BACK}) AS d FROM s JOIN d ON s.g = d.g GROUP BY s.g, i, s.n""")
 def deconvolution(t):
-    p = _wave(t)
-    return signal.deconvolve(p.with_rows(p.rows.withColumn("r", F.exp(-20 * F.col("x")))), "y", "r", "d")
+    p = _balances(t)
+    return signal.deconvolve(p.with_rows(p.rows.withColumn("r", F.exp(-0.5 * F.col("i")))), "c_acctbal", "r", "d")
 
 
 @query(f"""WITH s AS (SELECT c_nationkey AS g, c_acctbal AS a, c_custkey % 7 AS b, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
@@ -94,9 +101,9 @@ def digital_filter(t):
     return signal.digital_filter(paged(t.customer, "c_nationkey", "c_custkey").numbered("i"), "i", "c_acctbal", [([0.25], [1.0, -0.75])])
 
 
-@query()
+@query(f"""WITH {_WHOLE} SELECT s.g AS c_nationkey, i::DOUBLE AS i, R({_BACK}) AS low FROM s JOIN z ON s.g = z.g WHERE least(k, z.n - k) <= 0.2013 * z.n GROUP BY s.g, i, s.n""")
 def frequency_filter(t):
-    return signal.frequency_filter(_wave(t), "x", "y", low=8.0, name="low")
+    return signal.frequency_filter(_balances(t), "i", "c_acctbal", low=0.2013, name="low")
 
 
 @query()
@@ -152,10 +159,27 @@ def fit_polynomial_chebyshev(t):
     return fits.polynomial_values(_wave(t), "x", "y", range(8), chebyshev=True)
 
 
-@query()
+#: Parabolas of y and z over x by Cramer's rule, from sums of powers.
+_PARABOLA = """r AS (SELECT c_mktsegment AS g, c_nationkey / 10.0::DOUBLE AS x, c_acctbal / 1000 AS y, (c_custkey % 7)::DOUBLE AS z FROM customer), l AS (SELECT g, x, 'y' AS d, y AS v FROM r UNION ALL SELECT g, x, 'z', z FROM r),
+s AS (SELECT g, d, count(*)::DOUBLE AS a, sum(x) AS b, sum(x * x) AS c, sum(x * x * x) AS e, sum(x * x * x * x) AS f, sum(v) AS u, sum(v * x) AS v, sum(v * x * x) AS w FROM l GROUP BY 1, 2),
+q AS (SELECT *, a * (c * f - e * e) - b * (b * f - c * e) + c * (b * e - c * c) AS det FROM s),
+fit AS (SELECT g, d, (u * (c * f - e * e) - b * (v * f - e * w) + c * (v * e - c * w)) / det AS c0, (a * (v * f - e * w) - u * (b * f - c * e) + c * (b * w - c * v)) / det AS c1, (a * (c * w - e * v) - b * (b * w - c * v) + u * (b * e - c * c)) / det AS c2 FROM q)"""
+
+
+def _parabola(t):
+    rows = t.customer.select("c_mktsegment", "c_custkey", (F.col("c_nationkey") / 10).alias("x"), (F.col("c_acctbal") / 1000).alias("y"), (F.col("c_custkey") % 7).cast("double").alias("z"))
+    return paged(rows, "c_mktsegment", "c_custkey")
+
+
+@query(f'WITH {_PARABOLA} SELECT g AS c_mktsegment, d AS "Dependent", R(c0) AS c0, R(c1) AS c1, R(c2) AS c2 FROM fit')
 def fit_several(t):
-    p = _wave(t)
-    return fits.polynomial(p.with_rows(p.rows.withColumn("z", F.col("y") * 2)), "x", ["y", "z"], [0, 1, 2])
+    got = fits.polynomial(_parabola(t), "x", ["y", "z"], [0, 1, 2])
+    return got.select("c_mktsegment", "Dependent", *[F.get("Coefficients", F.lit(k)).alias(f"c{k}") for k in range(3)])
+
+
+@query(f"""WITH {_PARABOLA} SELECT r.g AS c_mktsegment, R(x) AS x, R(y) AS y, R(c0 + c1 * x + c2 * x * x) AS "yFit", R(y - c0 - c1 * x - c2 * x * x) AS "yResidual" FROM r JOIN fit ON r.g = fit.g AND d = 'y'""")
+def fit_chebyshev_values(t):
+    return fits.polynomial_values(_parabola(t), "x", "y", range(3), chebyshev=True).select("c_mktsegment", "x", "y", "yFit", "yResidual")
 
 
 @query("SELECT p::BIGINT AS page, 1.0::DOUBLE AS \"expfitConstant\", 2.0::DOUBLE AS \"expfitFactor\", -1.5::DOUBLE AS \"expfitRate\" FROM range(3) r(p)")
@@ -218,9 +242,16 @@ def _square(t):
     return paged(rows.withColumn("a", 2 + F.col("r") * 1.0).withColumn("b", F.when(F.col("r") == 1, 5.0).otherwise(1.0 + F.col("page"))).withColumn("c", F.when(F.col("r") == 2, 7.0).otherwise(0.5)), "page", "r")
 
 
-@query()
+#: The matrix of a region is diagonal (2 + the nation's key) plus one of rank one, whose inverse has a closed form.
+_INVERSE = """n AS (SELECT n_regionkey AS g, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r, 2.0::DOUBLE + n_nationkey AS d FROM nation), w AS (SELECT g, 1 + sum((r + 1) * (r + 1) / 10.0 / d) AS w FROM n GROUP BY 1),
+m AS (SELECT a.g, a.r AS i, b.r AS j, CASE WHEN a.r = b.r THEN 1 / a.d ELSE 0 END - (a.r + 1) / a.d * (b.r + 1) / 10.0 / b.d / w AS v FROM n a JOIN n b ON a.g = b.g JOIN w ON w.g = a.g)"""
+
+
+@query(f'WITH {_INVERSE} SELECT g AS n_regionkey, i AS "Row", ' + ", ".join(f"R(max(v) FILTER (WHERE j = {j})) AS c{j}" for j in range(5)) + " FROM m GROUP BY 1, 2")
 def matrix_inverse(t):
-    return matrices.invert(_square(t), ["a", "b", "c"])
+    p = paged(t.nation, "n_regionkey", "n_nationkey").numbered("r")
+    cell = lambda j: (F.when(F.col("r") == j, 2.0 + F.col("n_nationkey")).otherwise(0.0) + (F.col("r") + 1) * ((j + 1) / 10)).alias(f"c{j}")
+    return matrices.invert(p.with_rows(p.rows.select("n_regionkey", "n_nationkey", *[cell(j) for j in range(5)])), [f"c{j}" for j in range(5)])
 
 
 @query("WITH m AS (SELECT p, 1.0 + p AS q FROM range(3) r(p)) SELECT p AS page, R(2 * (5 * 7 - 0.5 * q) - q * (3 * 7 - 0.5 * 4) + 0.5 * (3 * q - 5 * 4)) AS \"Determinant\" FROM m")
@@ -233,6 +264,31 @@ def matrix_pseudo_inverse(t):
     return matrices.pseudo_inverse(_vectors(t), _ALL, 1e-6)
 
 
+#: Two columns of a segment's customers, with the sums of their products.
+_PAIR = """p AS (SELECT c_mktsegment AS g, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r, c_acctbal / 1000 AS a, c_nationkey + 1.0::DOUBLE AS b FROM customer), s AS (SELECT g, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM p GROUP BY 1)"""
+
+
+def _pair(t):
+    rows = t.customer.select("c_mktsegment", "c_custkey", (F.col("c_acctbal") / 1000).alias("a"), (F.col("c_nationkey") + 1.0).alias("b"))
+    return paged(rows, "c_mktsegment", "c_custkey")
+
+
+@query(f"""WITH {_PAIR} SELECT g AS c_mktsegment, 'a' AS "OldColumnName", r::INT AS "Row", R((bb * a - ab * b) / (aa * bb - ab * ab)) AS v FROM p JOIN s USING (g) UNION ALL SELECT g, 'b', r::INT, R((aa * b - ab * a) / (aa * bb - ab * ab)) FROM p JOIN s USING (g)""")
+def matrix_pseudo_inverse_pair(t):
+    return matrices.pseudo_inverse(_pair(t), ["a", "b"]).select("c_mktsegment", "OldColumnName", F.posexplode("Inverse").alias("Row", "v"))
+
+
+@query(f"""WITH {_PAIR} SELECT g AS c_mktsegment, 0 AS "Index", R(sqrt((aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab))) AS "SingularValue" FROM s UNION ALL SELECT g, 1, R(sqrt((aa + bb) / 2 - sqrt(pow((aa - bb) / 2, 2) + ab * ab))) FROM s""")
+def matrix_singular_values_pair(t):
+    return matrices.singular_values(_pair(t), ["a", "b"])
+
+
+@query(f"""WITH {_PAIR} SELECT g AS c_mktsegment, 'a' AS "OldColumnName", r::INT AS "Row", R(a / (aa + bb)) AS "Real", R(-b / (aa + bb)) AS "Imag" FROM p JOIN s USING (g)""")
+def matrix_complex_pseudo_inverse_column(t):
+    cells = F.posexplode(F.arrays_zip("Real", "Imag")).alias("Row", "v")
+    return matrices.complex_pseudo_inverse(_pair(t), ["a"], ["b"]).select("c_mktsegment", "OldColumnName", cells).select("c_mktsegment", "OldColumnName", "Row", "v.Real", "v.Imag")
+
+
 @query()
 def matrix_complex_pseudo_inverse(t):
     return matrices.complex_pseudo_inverse(_square(t), ["a", "b"], ["b", "c"])
@@ -289,10 +345,12 @@ def image_spot(t):
     return images.spot(_pixels(t), ["label"], "Column", "Row", "Image", 0.05, 0.3)
 
 
-@query()
+@query("""WITH p AS (SELECT c_mktsegment AS g, c_nationkey AS k, c_nationkey * 0.5 + sin(c_custkey::DOUBLE) * 0.0001 AS x FROM customer), e AS (SELECT g, min(k) AS lo, max(k) AS hi, count(DISTINCT k) AS n FROM p GROUP BY 1),
+c AS (SELECT e.g, lo, hi, n, avg(x) FILTER (WHERE k = lo) AS first, avg(x) FILTER (WHERE k = hi) AS last FROM p JOIN e USING (g) GROUP BY ALL), d AS (SELECT *, (last - first) / (n - 1) AS d FROM c)
+SELECT g AS c_mktsegment, R(floor((x - first) / d + 0.5) * d + first) AS x, R(d) AS "xInterval", n::INT AS "xDimension" FROM p JOIN d USING (g)""")
 def snap_to_grid(t):
-    rows = t.spark.range(500).select((F.col("id") % 5).alias("page"), "id", (F.floor(F.col("id") / 5) % 10 * 0.5 + F.sin(F.col("id").cast("double")) * 0.01).alias("x"))
-    return images.snap_to_grid(paged(rows, "page", "id"), "x")
+    rows = t.customer.select("c_mktsegment", "c_custkey", (F.col("c_nationkey") * 0.5 + F.sin(F.col("c_custkey").cast("double")) * 0.0001).alias("x"))
+    return images.snap_to_grid(paged(rows, "c_mktsegment", "c_custkey"), "x", guess=0.5)
 
 
 @query("SELECT true AS many, 0.0::DOUBLE AS worst")

@@ -226,6 +226,13 @@ def pareto_front(t):
     return P.pareto(paged(t.part, "p_brand", "p_partkey"), "p_size", "p_retailprice").rows.select("p_partkey")
 
 
+@query("""WITH RECURSIVE p AS (SELECT p_brand AS g, p_partkey AS i, p_size AS a, p_retailprice AS b FROM part),
+w AS (SELECT x.g, x.i, y.i AS j FROM p x JOIN p y ON x.g = y.g AND y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b)),
+r AS (SELECT 1 AS k, g, i FROM p UNION SELECT r.k + 1, w.g, w.i FROM r JOIN w ON w.g = r.g AND w.j = r.i) SELECT g AS p_brand, i AS p_partkey, max(k) AS "Rank" FROM r GROUP BY 1, 2""")
+def pareto_ranks(t):
+    return P.pareto_ranks(paged(t.part, "p_brand", "p_partkey"), ["p_size", "p_retailprice"]).select("p_brand", "p_partkey", "Rank")
+
+
 @query("SELECT n_name, n_nationkey, n_regionkey FROM nation")
 def sort_columns(t):
     return P.sort_columns(t.nation)

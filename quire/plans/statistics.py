@@ -245,6 +245,25 @@ def correlations(t):
     return A.correlations(paged(t.lineitem, "l_returnflag", "l_orderkey"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+#: Two-tailed probability of r among n points, by the finite series of Student's law, of even and of odd degrees of freedom.
+_SIGNIFICANCE = """CASE WHEN n % 2 = 0 THEN 1 - abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) * pow(1 - r * r, k)))
+ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * list_sum(list_transform(range((n - 3) // 2), lambda k: exp(lgamma(k + 1.0::DOUBLE) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * pow(1 - r * r, k)))) END"""
+
+
+@query(f"""WITH x AS (SELECT c_nationkey, c_acctbal AS a, c_custkey::DOUBLE AS b, (c_custkey % 7)::DOUBLE AS c FROM customer),
+l AS (SELECT c_nationkey, 'a' AS p, 'b' AS q, a AS u, b AS v FROM x UNION ALL SELECT c_nationkey, 'a', 'c', a, c FROM x UNION ALL SELECT c_nationkey, 'b', 'c', b, c FROM x), m AS (SELECT c_nationkey, p, q, corr(u, v) AS r, count(*) AS n FROM l GROUP BY 1, 2, 3)
+SELECT c_nationkey, p AS "Correlate1Name", q AS "Correlate2Name", p || '.' || q AS "CorrelatePair", R(r) AS "CorrelationCoefficient", n AS "CorrelationPoints", R({_SIGNIFICANCE}) AS "CorrelationSignificance" FROM m""")
+def correlations_significance(t):
+    rows = t.customer.select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("a"), F.col("c_custkey").cast("double").alias("b"), (F.col("c_custkey") % 7).cast("double").alias("c"))
+    return A.correlations(paged(rows, "c_nationkey", "c_custkey"), ["a", "b", "c"], significance=True)
+
+
+@query("""WITH o AS (SELECT event_type, value AS a, user_id AS b, avg(value) OVER w AS ma, stddev(value) OVER w AS sa, avg(user_id) OVER w AS mb, stddev(user_id) OVER w AS sb FROM events WINDOW w AS (PARTITION BY event_type)),
+k AS (SELECT event_type, a, b FROM o WHERE abs(a - ma) <= 1.5 * sa AND abs(b - mb) <= 1.5 * sb) SELECT event_type, 'value' AS "Correlate1Name", 'user_id' AS "Correlate2Name", 'value.user_id' AS "CorrelatePair", R(corr(a, b)) AS "CorrelationCoefficient", count(*) AS "CorrelationPoints" FROM k GROUP BY 1""")
+def correlations_without_outliers(t):
+    return A.correlations(t.event_pages, ["value", "user_id"], outlier=1.5)
+
+
 @query("""WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value)::DOUBLE AS a, rank() OVER (PARTITION BY event_type ORDER BY user_id)::DOUBLE AS b FROM events)
 SELECT event_type, 'value' AS "Correlate1Name", 'user_id' AS "Correlate2Name", 'value.user_id' AS "CorrelatePair", R(corr(a, b)) AS "CorrelationCoefficient", count(*) AS "CorrelationPoints" FROM r GROUP BY 1""")
 def rank_correlations(t):

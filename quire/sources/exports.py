@@ -56,6 +56,37 @@ def headless(df: DataFrame, columns: Sequence[str], order: Sequence[str], column
     return (m.T if column_major else m).tobytes()
 
 
+def iq_samples(df: DataFrame, i: str = "I", q: str = "Q") -> DataFrame:
+    """df with iSample and qSample, 16 bit samples whose largest of both has the full range, and `sample`, their four
+    big-endian bytes. The scale is one aggregate. A signal of zeros stays zero."""
+    most = df.agg(F.greatest(F.max(F.abs(F.col(i))), F.max(F.abs(F.col(q)))).cast("double").alias("__most"))  # one row
+    scaled = lambda c: F.coalesce(F.floor(F.col(c) * (32767 / F.nullif(F.col("__most"), F.lit(0.0))) + 0.5), F.lit(0)).cast("int")
+    word = lambda c: F.lpad(F.hex(F.pmod(F.col(c), F.lit(65536)).cast("bigint")), 4, "0")
+    rows = df.join(F.broadcast(most), F.lit(True)).withColumn("iSample", scaled(i)).withColumn("qSample", scaled(q)).drop("__most")
+    return rows.withColumn("sample", F.unhex(F.concat(word("iSample"), word("qSample"))))
+
+
+def iq_bytes(df: DataFrame, order: Sequence[str], i: str = "I", q: str = "Q", most_rows: int = 1 << 20) -> bytes:
+    """The samples of a waveform small enough for a generator's memory, in order: refused beyond most_rows."""
+    got = iq_samples(df, i, q).orderBy(*order).select("sample").limit(most_rows + 1).toArrow()
+    if got.num_rows > most_rows:
+        raise ValueError(f"over {most_rows} rows")
+    return b"".join(got.column("sample").to_pylist())
+
+
+def field_volume(p: Paged, row: str, columns: Sequence[str], names: tuple[str, str] = ("y", "value")) -> DataFrame:
+    """A field kept as planes (pages of rows x and columns y) as one row per cell: page, row, number of y from 0 and value."""
+    cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias(*names)
+    return p.rows.select(*p.page, row, cells)
+
+
+def field_planes(p: Paged, row: str, columns: Sequence[str], rows: Sequence[int], prefix: str = "x") -> DataFrame:
+    """The same field cut the other way: y is the page, the old pages are rows, and `<prefix><k>` holds row k's values.
+    (Planes of constant `row` need no work: they are paged(rows, row, page).)"""
+    cells = [F.max(F.when(F.col(row) == k, F.col("value"))).alias(f"{prefix}{k}") for k in rows]
+    return field_volume(p, row, columns).groupBy("y", *p.page).agg(*cells)
+
+
 def stl_bytes(triangles: np.ndarray) -> bytes:
     """A binary mesh of rows of 12 numbers."""
     return b"\0" * 80 + struct.pack("<I", len(triangles)) + b"".join(np.asarray(t, "<f4").tobytes() + b"\0\0" for t in triangles)

@@ -94,6 +94,9 @@ def test_pages(spark):
     front = pages.pareto(paged(spark.createDataFrame([(1, 1, 5.0), (2, 2, 2.0), (3, 3, 3.0), (4, 2, 2.0)], "k int, a int, b double"), (), "k"), "a", "b")
     assert column(front.rows, "k", "k") == [1, 2, 4]
     assert pages.duplicate(spark.createDataFrame([(0.9,), (2.7,), (-1.0,)], "w double"), F.col("w")).count() == 2
+    drawn = pages.duplicate(spark.range(4000), F.lit(1.25), ["id"]).groupBy("Copy").count()
+    few = {r["Copy"]: r["count"] for r in drawn.collect()}
+    assert few[0] == 4000 and 850 < few[1] < 1150
     with pytest.raises(Exception, match="differ in length"):
         pages.regroup(frame(spark, [1, 2, 3], page=[1, 1, 2])).rows.collect()
 
@@ -349,3 +352,35 @@ def test_known_results_of_unwritable_sql(spark):
     q = paged(spark.createDataFrame([(0, i, *map(float, a)) for i, a in enumerate(m)], "p int, i int, a double, b double, c double"), "p", "i")
     found = matrices.singular_values(q, ["a", "b", "c"]).toPandas()
     assert np.allclose(np.sort(found.select_dtypes("float").to_numpy().ravel())[::-1][:3], np.linalg.svd(m)[1])
+
+
+def test_pareto_ranks(spark):
+    rng = np.random.default_rng(4)
+    for columns in (["a", "b"], ["a", "b", "c"]):
+        points = [tuple(map(float, r)) for r in rng.integers(0, 6, (60, len(columns)))]
+        df = spark.createDataFrame([(k % 2, k, *r) for k, r in enumerate(points)], "g int, k int, " + ", ".join(f"{c} double" for c in columns))
+        got = {r["k"]: r["Rank"] for r in pages.pareto_ranks(paged(df, "g", "k"), columns, ["b"]).collect()}
+        for g in (0, 1):
+            left, rank = {k: (r[0], -r[1], *r[2:]) for k, r in enumerate(points) if k % 2 == g}, 0
+            while left:  # fronts are peeled one after another
+                rank += 1
+                front = [k for k, v in left.items() if not any(u != v and all(x <= y for x, y in zip(u, v, strict=True)) for u in left.values())]
+                assert {got[k] for k in front} == {rank}
+                left = {k: v for k, v in left.items() if k not in front}
+
+
+def test_correlation_significance(spark):
+    known = [(0.5, 20, 0.02476), (0.8, 5, 0.10409), (0.0, 30, 1.0), (0.1, 10000, 1.256e-23), (1.0, 9, 0.0), (0.5, 3, -1.0), (0.5, 1, 1.0), (-0.5, 20, 0.02476)]
+    df = spark.createDataFrame([(r, n, p) for r, n, p in known], "r double, n bigint, p double")
+    for row in df.withColumn("got", aggregates.correlation_significance(F.col("r"), F.col("n"))).collect():
+        assert row["got"] == pytest.approx(row["p"], rel=0.05, abs=1e-30), row
+
+
+def test_waveform_bytes(spark):
+    from quire.sources import exports
+
+    df = spark.createDataFrame([(2, -0.5, 0.0), (1, 1.0, -2.0), (3, 2.0, None)], "k int, I double, Q double")
+    assert np.frombuffer(exports.iq_bytes(df, ["k"]), ">i2").tolist() == [16384, -32767, -8192, 0, 32767, 0]
+    assert exports.iq_bytes(df.withColumn("I", F.lit(0.0)).withColumn("Q", F.lit(0.0)), ["k"]) == b"\0" * 12
+    with pytest.raises(ValueError):
+        exports.iq_bytes(df, ["k"], most_rows=2)
