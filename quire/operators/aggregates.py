@@ -98,23 +98,27 @@ def row_statistics(df: DataFrame, columns: Sequence[str], low: float | None = No
     return df.withColumn("RowMinName", name("RowMin")).withColumn("RowMaxName", name("RowMax")).drop("__c", "__v", "__s")
 
 
-def histogram(p: Paged, column: str, bins: int = 20, lower: float | None = None, upper: float | None = None, weight: str | None = None, gate: Column | None = None, normalize: str | None = None) -> DataFrame:
+def histogram(p: Paged, column: str, bins: int = 20, lower: float | None = None, upper: float | None = None, weight: str | None = None, gate: Column | None = None, normalize: str | None = None, size: float | None = None) -> DataFrame:
     """page, `<column>` (bin centre), frequency and `<column>Cdf` of every bin, empty ones too.
 
     Automatic limits are the page's extremes widened by 1e-7 of the range; a value at the top edge is left out.
-    normalize: sum, area or peak.
+    normalize: sum, area or peak. size: width of a bin, instead of bins: the page's range and one bin more, about its middle.
     """
     rows = p.rows.filter(gate) if gate is not None else p.rows
     x, w = _x(column), _x(weight) if weight else F.lit(1.0)
     rows = rows.select(*p.page, x.alias("__x"), w.alias("__w")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
     lo, hi = F.min("__x"), F.max("__x")
-    pad = F.lit(1e-7) * (hi - lo)
+    pad = F.lit(0.0 if size and lower is None and upper is None else 1e-7) * (hi - lo)  # it would not move the middle
     edges = rows.groupBy(*p.page).agg((F.lit(lower) if lower is not None else lo - pad).cast("double").alias("__lo"), (F.lit(upper) if upper is not None else hi + pad).cast("double").alias("__hi"))
-    edges = edges.withColumn("__d", (F.col("__hi") - F.col("__lo")) / bins)
+    if size:
+        middle, span = (F.col("__lo") + F.col("__hi")) / 2, F.col("__hi") - F.col("__lo") + size
+        edges = edges.select(*p.page, (middle - span / 2).alias("__lo"), (middle + span / 2).alias("__hi"), F.lit(float(size)).alias("__d"), F.floor(span / size + 0.5).alias("__bins"))
+    else:
+        edges = edges.withColumn("__d", (F.col("__hi") - F.col("__lo")) / bins).withColumn("__bins", F.lit(bins).cast("bigint"))
     joined = rows.join(edges, list(p.page)) if p.page else rows.join(edges, F.lit(True))  # one row of edges a page
-    binned = joined.withColumn("__b", F.floor((F.col("__x") - F.col("__lo")) / F.nullif(F.col("__d"), F.lit(0.0)))).filter((F.col("__b") >= 0) & (F.col("__b") < bins))
+    binned = joined.withColumn("__b", F.floor((F.col("__x") - F.col("__lo")) / F.nullif(F.col("__d"), F.lit(0.0)))).filter((F.col("__b") >= 0) & (F.col("__b") < F.col("__bins")))
     counted = binned.groupBy(*p.page, "__b").agg(F.sum("__w").alias("__f"))
-    grid = edges.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")))
+    grid = edges.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__bins") - 1)))
     out = grid.join(counted, [*p.page, "__b"], "left").withColumn("__f", F.coalesce("__f", F.lit(0.0)))
     over = Window.partitionBy(*p.page)
     total = F.sum("__f").over(over)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce as fold
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,10 +158,11 @@ def cumulative_integral(p: Paged, y: str, x: str, name: str) -> Paged:
     return p.with_rows(rows.withColumn(name, F.sum("__a").over(p.over().rowsBetween(Window.unboundedPreceding, 0))).drop("__a"))
 
 
-def peaks(p: Paged, column: str, threshold: float | None = None, points: int = 3, change: float | None = None) -> Paged:
+def peaks(p: Paged, column: str, threshold: float | None = None, points: int = 3, change: float | None = None, x: str | None = None, curvature: float | None = None) -> Paged:
     """Rows at local maxima: (up, down), (flat, down) or (up, flat), so a plateau shows both edges; 5 and 7 points also
-    need monotone shoulders. change: least relative fall on both sides."""
-    x, o = _x(column), p.over()
+    need monotone shoulders. change: on one side at least, the outermost point is lower by more than this part of the peak's
+    value (a peak of 0 stays). curvature: least quadratic coefficient, in size, of a parabola over x through the points."""
+    over, x, o = x, _x(column), p.over()
     at = {0: x} | {k: F.lead(x, k).over(o) for k in range(1, points // 2 + 1)} | {-k: F.lag(x, k).over(o) for k in range(1, points // 2 + 1)}
     ok = ((at[-1] < x) & (at[1] < x)) | ((at[-1] == x) & (at[1] < x)) | ((at[-1] < x) & (at[1] == x))
     for k in range(2, points // 2 + 1):
@@ -168,10 +170,23 @@ def peaks(p: Paged, column: str, threshold: float | None = None, points: int = 3
     if threshold is not None:
         ok = ok & (x > threshold)
     if change is not None:
-        ok = ok & ((x - at[-1]) > change * F.abs(x)) & ((x - at[1]) > change * F.abs(x))
+        fall = lambda k: (x - at[k]) / F.nullif(x, F.lit(0.0)) > change
+        ok = ok & ((x == 0) | fall(points // 2) | fall(-(points // 2)))
+    if curvature is not None:
+        ok = ok & (F.abs(_quadratic(at, {k: (_x(over) if k == 0 else F.lead(_x(over), k).over(o) if k > 0 else F.lag(_x(over), -k).over(o)) - _x(over) for k in at})) >= curvature)
     return p.with_rows(p.rows.withColumn("__peak", F.coalesce(ok, F.lit(False))).filter("__peak").drop("__peak"))
 
 
+def _quadratic(y: dict[int, Column], x: dict[int, Column]) -> Column:
+    """Quadratic coefficient of the parabola through (x, y), least squares, from sums of powers."""
+    total = lambda f: fold(add, [f(k) for k in x])
+    n = float(len(x))
+    a, b, c, d = (total(lambda k, e=e: F.pow(x[k], F.lit(e))) for e in (1, 2, 3, 4))
+    u, v, w = (total(lambda k, e=e: F.pow(x[k], F.lit(e)) * y[k]) for e in (0, 1, 2))
+    det = n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b)
+    return (n * (b * w - c * v) - a * (a * w - b * v) + u * (a * c - b * b)) / F.nullif(det, F.lit(0.0))
+
+
 def zero_crossings(p: Paged, y: str, x: str, offset: float = 0.0) -> DataFrame:
     """x of each pair of rows where y + offset changes sign or touches 0 (a zero sample counts for both its pairs),
     `<y>` = -offset, and `<y>Slope`."""

@@ -98,6 +98,12 @@ def find_peaks(t):
     return O.peaks(t.event_pages, "value", 60.0).rows.select("event_id", "value")
 
 
+@query("""WITH s AS (SELECT c_custkey, c_acctbal AS x, lag(c_acctbal) OVER w AS a, lead(c_acctbal) OVER w AS b, c_custkey - lag(c_custkey) OVER w AS l, lead(c_custkey) OVER w - c_custkey AS r FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_custkey))
+SELECT c_custkey FROM s WHERE ((a < x AND b < x) OR (a = x AND b < x) OR (a < x AND b = x)) AND abs(((b - x) / r - (x - a) / l) / (l + r)) >= 50 AND (x = 0 OR (x - a) / nullif(x, 0) > 0.5 OR (x - b) / nullif(x, 0) > 0.5)""")
+def find_peaks_curved(t):
+    return O.peaks(t.customer_pages, "c_acctbal", change=0.5, x="c_custkey", curvature=50.0).rows.select("c_custkey")
+
+
 @query(f"""WITH s AS (SELECT event_id, value AS x, lag(value) OVER w AS a, lead(value) OVER w AS b, lag(value, 2) OVER w AS a2, lead(value, 2) OVER w AS b2 FROM events {_W})
 SELECT event_id, x AS value FROM s WHERE ((a < x AND b < x) OR (a = x AND b < x) OR (a < x AND b = x)) AND a2 < a AND b2 < b""")
 def find_peaks_five_point(t):

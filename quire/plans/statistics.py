@@ -206,6 +206,13 @@ def histogram(t):
     return A.histogram(t.event_pages, "value")
 
 
+@query("""WITH m AS (SELECT event_type, (min(value) + max(value)) / 2 AS m, max(value) - min(value) + 2.5 AS s FROM events GROUP BY 1), e AS (SELECT event_type, m - s / 2 AS lo, floor(s / 2.5 + 0.5)::BIGINT AS n FROM m),
+b AS (SELECT event_type, floor((value - lo) / 2.5) AS b, count(*)::DOUBLE AS f FROM events JOIN e USING (event_type) GROUP BY 1, 2), g AS (SELECT event_type, lo, unnest(range(n)) AS b FROM e), j AS (SELECT g.event_type, lo, g.b, coalesce(f, 0) AS f FROM g LEFT JOIN b ON g.event_type = b.event_type AND g.b = b.b)
+SELECT event_type, R(lo + (b + 0.5) * 2.5) AS value, f AS frequency, R(sum(f) OVER (PARTITION BY event_type ORDER BY b) / sum(f) OVER (PARTITION BY event_type)) AS "valueCdf" FROM j""")
+def histogram_bin_size(t):
+    return A.histogram(t.event_pages, "value", size=2.5)
+
+
 @query("""WITH b AS (SELECT c_mktsegment, floor((c_acctbal - 0) / 1000) AS b, sum(c_nationkey)::DOUBLE AS f FROM customer WHERE c_nationkey > 3 AND c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY 1, 2),
 g AS (SELECT c_mktsegment, unnest(range(10)) AS b FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_nationkey > 3)), j AS (SELECT g.c_mktsegment, g.b, coalesce(f, 0) AS f FROM g LEFT JOIN b ON g.c_mktsegment = b.c_mktsegment AND g.b = b.b)
 SELECT c_mktsegment, R((b + 0.5) * 1000) AS c_acctbal, R(f / sum(f) OVER (PARTITION BY c_mktsegment)) AS frequency, R(sum(f) OVER (PARTITION BY c_mktsegment ORDER BY b) / sum(f) OVER (PARTITION BY c_mktsegment)) AS "c_acctbalCdf" FROM j""")

@@ -161,6 +161,52 @@ def plot_text(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark, path, parse_plot, "x double, y double")
 
 
+def parse_column_text(raw: bytes, plain_names: bool = False) -> dict:
+    """Legacy column text: the numbers of columns, lines a row and auxiliary values; a line per column (name, unit,
+    description and format between backslashes), title, label, a line per auxiliary value (its format is the value), the
+    number of rows, and rows of numbers. Lines that begin with `!` are comments; incomplete rows are left out."""
+    lines = iter(x for x in raw.decode("latin-1").splitlines() if not x.startswith("!"))
+    columns, per_row, auxiliaries = (int(v) for v in (next(lines).split() + ["1", "0"])[:3]) if raw.strip() else (0, 1, 0)
+
+    def described(line: str) -> list[str]:
+        parts = [x.strip() for x in re.split(r"(?<!\\)\\(?!\\)", line, maxsplit=3)] + [""] * 3
+        return [parts[0].replace("$", "") if plain_names else parts[0], *parts[1:4]]
+
+    out: dict[str, list] = {"kind": [], "name": [], "unit": [], "Row": [], "value": []}
+
+    def add(kind: str, head: list[str], row: int | None, value: float) -> None:
+        for key, v in zip(out, (kind, head[0], head[1], row, value), strict=True):
+            out[key].append(v)
+
+    heads = [described(next(lines)) for _ in range(columns)]
+    if columns:
+        next(lines), next(lines)  # title and label
+    for _ in range(auxiliaries):
+        head = described(next(lines))
+        add("parameter", head, None, float(head[3].split()[0]) if head[3] else 0.0)
+    count, row = int(next(lines).split()[0]) if columns else 0, 0
+    while row < count:
+        values: list[float] = []
+        for _ in range(per_row):
+            for word in next(lines, "").split():
+                try:
+                    values.append(float(word))
+                except ValueError:
+                    break  # the rest of the line is the row's label
+        if not values:
+            break
+        if len(values) >= columns:
+            for head, v in zip(heads, values, strict=False):
+                add("column", head, row, v)
+            row += 1
+    return out
+
+
+def column_text(spark: SparkSession, path: str, plain_names: bool = False) -> DataFrame:
+    """path, kind (column or parameter), name, unit, Row (null for parameters) and value; plain_names: without `$`."""
+    return parsed(spark, path, lambda raw: parse_column_text(raw, plain_names), "kind string, name string, unit string, Row bigint, value double")
+
+
 def parse_scope_text(raw: bytes) -> dict:
     """Oscilloscope text dump: header words name=value; then comma or line separated samples, scaled by the header."""
     text = raw.decode("latin-1")

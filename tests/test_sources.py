@@ -144,3 +144,13 @@ def test_instrument_files(spark, tmp_path):
     (tmp_path / "a.tdms").write_bytes(one + two)
     got = imports.tdms(spark, str(tmp_path / "a.tdms")).filter("channel LIKE '%a%'").orderBy("Index").collect()
     assert [r["value"] for r in got] == [1.5, 2.5, 3.5, 4.5, 3.5, 4.5] and [r["segment"] for r in got] == [0, 0, 1, 1, 1, 1]
+
+
+def test_column_text(spark, tmp_path):
+    lines = ["! a comment", "3 2 1", r"$gx$r \ m \ place \ %g", "y \\ \\", "z", "a title", "a label", r"Q \ C \ charge \ 2.5", "3", "1 2", "3 first row", "4 5", "! between", "6", "7 8", "9.5e1"]
+    (tmp_path / "a.col").write_text("\n".join(lines))
+    rows = imports.column_text(spark, str(tmp_path / "a.col"), plain_names=True).collect()
+    assert [(r["name"], r["unit"], r["value"]) for r in rows if r["kind"] == "parameter"] == [("Q", "C", 2.5)]
+    assert {(r["name"], r["Row"]): r["value"] for r in rows if r["kind"] == "column"} == {("gxr", 0): 1, ("y", 0): 2, ("z", 0): 3, ("gxr", 1): 4, ("y", 1): 5, ("z", 1): 6, ("gxr", 2): 7, ("y", 2): 8, ("z", 2): 95}
+    assert imports.parse_column_text("2\nx\ny\n\n\n2\n1\n3 4\n5 6".encode())["value"] == [3, 4, 5, 6]  # an incomplete row
+    assert imports.parse_column_text(b"")["value"] == []
