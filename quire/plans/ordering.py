@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from quire.frame import paged
+from quire.operators import blocks
 from quire.operators import ordered as O
 from quire.operators import pages as P
-from quire.plans.registry import TIMED, query
+from quire.plans.registry import SQL, TIMED, query
 
 _W = "WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"
 _R = 'row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1'
@@ -353,3 +354,20 @@ def array_to_column(t):
 def alarm_durations(t):
     df = t.timed.withColumn("n_nationkey", F.col("user_id") % 25)
     return P.alarm_durations(df, t.nation, "n_nationkey", "n_name", "t").select("event_id", "n_name", "Duration")
+
+
+@query(SQL["derivative"])
+def derivative_in_blocks(t):
+    """The pages of events in blocks of 1,024 rows, of which they have many at each size."""
+    p = blocks.in_blocks(t.event_pages, lambda q: O.derivative(q, "value", "t"), 1, 1024)
+    return p.rows.select("event_id", "valueDeriv", "valueDerivPosition")
+
+
+@query(SQL["smooth_boxcar"])
+def smooth_in_blocks(t):
+    return blocks.in_blocks(t.event_pages, lambda q: O.smooth(q, "value", 5, 2), 4, 1024).rows.select("event_id", "value")
+
+
+@query(SQL["cumulative_integral"])
+def integral_in_blocks(t):
+    return blocks.cumulative_integral(t.event_pages, "value", "t", "i", 1024).rows.select("event_id", "i")

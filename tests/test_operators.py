@@ -384,3 +384,25 @@ def test_waveform_bytes(spark):
     assert exports.iq_bytes(df.withColumn("I", F.lit(0.0)).withColumn("Q", F.lit(0.0)), ["k"]) == b"\0" * 12
     with pytest.raises(ValueError):
         exports.iq_bytes(df, ["k"], most_rows=2)
+
+
+def test_blocks(spark):
+    """Pages in small blocks give what whole pages give: ties in the first order column, missing keys, a page of one row."""
+    from quire.operators import blocks
+
+    rng = np.random.default_rng(6)
+    data = [(None if k % 3 == 0 else k % 3, float(rng.integers(0, 9)) if k % 11 else None, k, float(v)) for k, v in enumerate(rng.normal(size=400))] + [(7, 1.0, 400, 2.0)]
+    p = paged(spark.createDataFrame(data, "g int, t double, k int, y double"), "g", ("t", "k"))
+    rows = lambda q, c: sorted((repr(tuple(r[x] for x in ("g", "k", c)))) for r in q.rows.select("g", "k", F.round(c, 9).alias(c)).collect())
+    assert rows(blocks.numbered_in_chunks(p), "__row") == rows(p.numbered(), "__row")
+    for f, name, halo in ((lambda q: ordered.derivative(q, "y", "k", 6), "yDeriv", 3), (lambda q: signal.convolve(q, "y", [0.5, 0.25, 0.125], "c"), "c", 2), (lambda q: ordered.peaks(q, "y", points=5), "y", 2)):
+        for size in (5, 16, 1000):
+            assert rows(blocks.in_blocks(p, f, halo, size), name) == rows(f(p), name)
+    for size in (1, 7, 1000):
+        assert rows(blocks.cumulative_integral(p, "y", "k", "i", size), "i") == rows(ordered.cumulative_integral(p, "y", "k", "i"), "i")
+    empty = paged(p.rows.limit(0), "g", ("t", "k"))
+    assert blocks.in_blocks(empty, lambda q: ordered.derivative(q, "y", "k"), 1).rows.count() == 0
+    with pytest.raises(ValueError):
+        blocks.in_blocks(p, lambda q: q, 9, 8)
+    with pytest.raises(ValueError):
+        blocks.numbered_in_chunks(paged(p.rows.withColumn("s", F.lit("x")), "g", "s"))
