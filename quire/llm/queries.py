@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, embed_dedup, jaccard, language_model, mixing, packing, quality_model, quality_rules, sharding, toxicity
+from quire.llm import bpe, chat, embed_dedup, jaccard, language_model, mixing, packing, quality_model, quality_rules, sharding, toxicity
 from quire.llm.common import materialize, split_remainder, table
 
 #: A conversation that tries to leave its template.
@@ -64,6 +64,11 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.with_smallest_id(jaccard.similar_groups(jaccard.numbered(table(spark, sf_dir, "documents"))))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tile_dedup": op8_tile_dedup,
     "op9_pack": op9_pack,
     "op10_shingle_join": op10_shingle_join,
+    "op11_bpe": op11_bpe,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
