@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, embed_dedup, jaccard, language_model, mixing, packing, quality_model, quality_rules, sharding, toxicity
+from quire.llm import bpe, chat, embed_dedup, jaccard, language_model, lexical, mixing, packing, quality_model, quality_rules, sharding, toxicity
 from quire.llm.common import materialize, split_remainder, table
 
 #: A conversation that tries to leave its template.
@@ -69,6 +69,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_shingle_join": op10_shingle_join,
     "op11_bpe": op11_bpe,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -156,4 +161,16 @@ l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+f AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+g AS (SELECT t, count(*)::BIGINT AS df FROM f GROUP BY t),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+t AS (SELECT i, unnest(w) AS t FROM q),
+w AS (SELECT i, t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM t JOIN g USING (t), c),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w)::BIGINT * n_docs) // n_terms) AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM w JOIN f USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN q USING (i) WHERE rank <= 10""",
 }
