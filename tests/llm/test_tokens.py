@@ -33,7 +33,7 @@ def test_encoder_gives_the_librarys_ids(encoder, text):
     ids = np.frombuffer(encoder.encode(text), np.int32)
     assert ids.tolist() == library_ids(text)
     assert np.frombuffer(encoder.ordinary(text), np.int32).tolist() == library_ids(text, special=False)
-    assert encoder.decode(ids).decode() == text == B.library(encoder.path).decode(ids.tolist(), skip_special_tokens=False)
+    assert B.decoder_of(encoder.path).decode(ids).decode() == text == B.library(encoder.path).decode(ids.tolist(), skip_special_tokens=False)
 
 
 def test_one_last_token_for_every_prefix(encoder):
@@ -53,7 +53,7 @@ def test_long_pieces_and_split_characters(encoder):
     for text in ("a" * 20_000, "".join(rng.choice(list("abcdehilnorst"), 20_000)), " " * 5000 + "x", "\n " * 3000):
         assert np.frombuffer(encoder.encode(text), np.int32).tolist() == library_ids(text)
     half = library_ids("日")[:1]
-    assert encoder.decode(np.array([*half, 99_999, -1], np.int32)).decode("utf-8", "replace") == B.library(encoder.path).decode(half, skip_special_tokens=False)
+    assert B.decoder_of(encoder.path).decode(np.array([*half, 99_999, -1], np.int32)).decode("utf-8", "replace") == B.library(encoder.path).decode(half, skip_special_tokens=False)
 
 
 def test_memory_of_units_is_bounded():
