@@ -66,25 +66,34 @@ def token_bytes(described: dict) -> tuple[dict[int, bytes], dict[str, int]]:
     return {i: bytes(map(spelt.__getitem__, t)) if t not in special or all(c in spelt for c in t) else t.encode() for t, i in ids.items()}, special
 
 
-class Decoder:
-    """The text that ids stand for."""
+class Spelling:
+    """Bytes of tokens by id."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            bytes_of, _ = token_bytes(json.load(f))
-        spelt = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+    def __init__(self, spelt: list[bytes]):
         self.lengths = np.array([*map(len, spelt)], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(spelt), np.uint8)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' bytes one after another; ids that the vocabulary lacks have none."""
-        ids = ids[(ids >= 0) & (ids < len(self.lengths))]
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes one after another."""
         n = self.lengths[ids]
         ends = np.cumsum(n)
         return self.flat[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
+class Decoder(Spelling):
+    """The text that ids stand for."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            bytes_of, _ = token_bytes(json.load(f))
+        super().__init__([bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes one after another; ids that the vocabulary lacks have none."""
+        return self.spelt(ids[(ids >= 0) & (ids < len(self.lengths))])
+
+
 class Vocabulary:
     """Tokens as bytes, merges by ranks, and the compatibility of pairs."""
 
@@ -149,8 +158,9 @@ class Known(dict):
 
     def __missing__(self, text: str) -> bytes:
         found = self.older.get(text)
-        if found is None:
-            found = self.compute(text)
+        return self.keep(text, self.compute(text) if found is None else found)
+
+    def keep(self, text: str, found: bytes) -> bytes:
         if len(text) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)

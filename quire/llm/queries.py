@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, embed_dedup, jaccard, language_model, lexical, mixing, packing, quality_model, quality_rules, sharding, toxicity
+from quire.llm import alignment, bpe, chat, embed_dedup, jaccard, language_model, lexical, mixing, packing, quality_model, quality_rules, sharding, toxicity
 from quire.llm.common import materialize, split_remainder, table
 
 #: A conversation that tries to leave its template.
@@ -73,6 +73,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shingle_join": op10_shingle_join,
     "op11_bpe": op11_bpe,
     "op12_lexical_search": op12_lexical_search,
+    "op13_align": op13_align,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
