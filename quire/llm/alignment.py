@@ -192,7 +192,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     counts = materialize(lists.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair-counts")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # a row for each id of B's vocabulary at most
     counts = counts.join(F.broadcast(highest), "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
-    facts = lists.drop("n").join(counts, ["a", "b"]).select("block", "place", "count", "best")
+    facts = lists.drop("n").join(counts, ["a", "b"]).select(F.col("block").alias("of_block"), "place", "count", "best")
 
     def add_up(mine: pa.Table, facts: pa.Table) -> pa.Table:
         count, best = np.zeros((2, len(facts)), np.int64)
@@ -207,4 +207,4 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         return mine.select([c.split()[0] for c in RESULT.split(", ")])
 
     rows = found.filter("place IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times")
-    return rows.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(add_up, RESULT)
+    return rows.groupBy("block").cogroup(facts.groupBy("of_block")).applyInArrow(add_up, RESULT)
