@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +36,13 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import Known, Spelling, decoder_of, encoder_of, vocabulary_path
 from quire.llm.common import materialize, text_of
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 MARK = "▁"
 BLOCKS = "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, places binary, times binary, a int, b int, n bigint, place int"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
-OVERLAPS = """
-WITH covering AS MATERIALIZED (SELECT a.n, a.id AS a, a.e, b.id AS b, b.e AS b_end FROM a ASOF JOIN b ON a.s >= b.s),
-longer AS (SELECT n, a, e, b_end FROM covering WHERE b_end < e)
-SELECT n, a, b FROM covering UNION ALL
-SELECT longer.n, a, b.id FROM longer JOIN b ON b.s >= longer.b_end AND b.s < longer.e"""
+COVERING = "SELECT a.n, a.id AS a, a.e, b.id AS b, b.e AS b_end FROM a ASOF JOIN b ON a.s >= b.s"
+FURTHER = "SELECT longer.n, longer.a, b.id AS b FROM longer JOIN b ON b.s >= longer.b_end AND b.s < longer.e"
 
 #: Number of cuts before each token of a table, its group; ends of both tokenizers' tokens are the cuts.
 GROUPS = """
@@ -109,6 +107,16 @@ def tokens(texts: list[str], path_a: str, path_b: str) -> list[tuple[np.ndarray,
     return out
 
 
+def overlaps(con) -> pa.Table:
+    """(n, a, b) of each pair of tokens of the tables a and b that overlap. The range join is a statement of its own: as
+    part of one with the ASOF join it is planned without the number of its rows, as a loop over all of b."""
+    covering = con.sql(COVERING).to_arrow_table()
+    con.register("longer", covering.filter(pc.less(covering.column("b_end"), covering.column("e"))))
+    further = con.sql(FURTHER).to_arrow_table()
+    con.unregister("longer")
+    return pa.concat_tables([covering.select(["n", "a", "b"]), further])
+
+
 def align_block(block: int, doc_ids: list, texts: list[str], path_a: str, path_b: str) -> pa.RecordBatch:
     """BLOCKS: a row for each document, then a row for each id pair."""
     sides = tokens(texts, path_a, path_b)
@@ -117,7 +125,7 @@ def align_block(block: int, doc_ids: list, texts: list[str], path_a: str, path_b
     for name, ids, length in (("a", a, a_len), ("b", b, b_len)):
         e = np.cumsum(length)
         con.register(name, pa.table({"n": np.arange(len(ids), dtype=np.int32), "id": ids, "s": (e - length).astype(np.int32), "e": e.astype(np.int32)}))
-    links = con.sql(OVERLAPS).to_arrow_table() if len(a) else pa.table({c: pa.array([], pa.int32()) for c in "nab"})
+    links = overlaps(con) if len(a) else pa.table({c: pa.array([], pa.int32()) for c in "nab"})
     group = []
     for x, y in ("ab", "ba"):
         g = np.zeros(len(a) if x == "a" else len(b), np.int64)
