@@ -174,6 +174,7 @@ def correlations(p: Paged, columns: Sequence[str], rank: bool = False, significa
 
     significance: CorrelationSignificance, the probability that uncorrelated values give as much (-1 for under 4 points).
     outlier: values further from their column's mean than so many standard deviations do not count, in so many passes.
+    rank: of ranks instead of values; equal values have the mean of their ranks.
     """
     rows = p.rows
     if outlier is not None:
@@ -181,10 +182,10 @@ def correlations(p: Paged, columns: Sequence[str], rank: bool = False, significa
     if rank:
         for c in columns:
             w = Window.partitionBy(*p.page).orderBy(_x(c))
-            rows = rows.withColumn(c, F.rank().over(w).cast("double"))
-    finite = lambda c: _x(c).isNotNull() & ~F.isnan(_x(c)) & (F.abs(_x(c)) < float("inf"))
+            equal = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+            rows = rows.withColumn(c, F.when(_finite(_x(c)), F.rank().over(w) + (equal - 1) / 2))
     pairs = list(combinations(columns, 2))
-    both = lambda a, b, c: F.when(finite(a) & finite(b), _x(c))
+    both = lambda a, b, c: F.when(_finite(_x(a)) & _finite(_x(b)), _x(c))
     out = [F.struct(F.lit(a).alias("Correlate1Name"), F.lit(b).alias("Correlate2Name"), F.lit(f"{a}.{b}").alias("CorrelatePair"), correlation(both(a, b, a), both(a, b, b)).alias("CorrelationCoefficient"), F.count(both(a, b, a)).alias("CorrelationPoints")) for a, b in pairs]
     done = rows.groupBy(*p.page).agg(F.array(*out).alias("__c"), F.count(F.lit(1)).alias("__n")).filter("__n >= 3")
     found = done.select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
@@ -193,6 +194,10 @@ def correlations(p: Paged, columns: Sequence[str], rank: bool = False, significa
     return found
 
 
+def _finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
 def _without_outliers(p: Paged, columns: Sequence[str], limit: float, passes: int) -> Paged:
     """p with outlying values made null: a pass takes the limits of all columns in one aggregation."""
     rows = p.rows
@@ -248,11 +253,13 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def shift_correlation(p: Paged, column: str, other: str, shifts: Sequence[int]) -> DataFrame:
-    """Correlation of column with other, `ShiftAmount` rows later, for each shift: `<column>ShiftedCor`."""
-    o = p.over()
-    moved = {s: F.lead(_x(other), s).over(o) if s >= 0 else F.lag(_x(other), -s).over(o) for s in shifts}
+    """Correlation of column with other as it was `ShiftAmount` rows before, for each shift: `<column>ShiftedCor`. Pairs
+    of which one is null or not finite do not count."""
+    o, x = p.over(), F.col("__x")
+    moved = {s: F.lag(_x(other), s).over(o) if s >= 0 else F.lead(_x(other), -s).over(o) for s in shifts}
     rows = p.rows.select(*p.page, _x(column).alias("__x"), *[v.alias(f"__s{i}") for i, v in enumerate(moved.values())])
-    out = F.array(*[F.struct(F.lit(s).alias("ShiftAmount"), correlation(F.when(F.col(f"__s{i}").isNotNull(), F.col("__x")), F.col(f"__s{i}")).alias(f"{column}ShiftedCor")) for i, s in enumerate(moved)])
+    both = lambda y: correlation(F.when(_finite(x) & _finite(y), x), F.when(_finite(x) & _finite(y), y))
+    out = F.array(*[F.struct(F.lit(s).alias("ShiftAmount"), both(F.col(f"__s{i}")).alias(f"{column}ShiftedCor")) for i, s in enumerate(moved)])
     return rows.groupBy(*p.page).agg(out.alias("__c")).select(*p.page, F.explode("__c").alias("__c")).select(*p.page, "__c.*")
 
 

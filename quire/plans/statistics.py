@@ -271,14 +271,14 @@ def correlations_without_outliers(t):
     return A.correlations(t.event_pages, ["value", "user_id"], outlier=1.5)
 
 
-@query("""WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value)::DOUBLE AS a, rank() OVER (PARTITION BY event_type ORDER BY user_id)::DOUBLE AS b FROM events)
+@query("""WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0::DOUBLE AS b FROM events)
 SELECT event_type, 'value' AS "Correlate1Name", 'user_id' AS "Correlate2Name", 'value.user_id' AS "CorrelatePair", R(corr(a, b)) AS "CorrelationCoefficient", count(*) AS "CorrelationPoints" FROM r GROUP BY 1""")
 def rank_correlations(t):
     return A.correlations(t.event_pages, ["value", "user_id"], rank=True)
 
 
 @query("""WITH s AS (SELECT event_type, value AS x, unnest([-2, 0, 3]) AS s, user_id, ts, event_id FROM events), l AS (SELECT event_type, x, s,
-CASE s WHEN -2 THEN lag(user_id, 2) OVER w WHEN 3 THEN lead(user_id, 3) OVER w ELSE user_id END AS y FROM s WINDOW w AS (PARTITION BY event_type, s ORDER BY ts, event_id))
+CASE s WHEN -2 THEN lead(user_id, 2) OVER w WHEN 3 THEN lag(user_id, 3) OVER w ELSE user_id END AS y FROM s WINDOW w AS (PARTITION BY event_type, s ORDER BY ts, event_id))
 SELECT event_type, s AS "ShiftAmount", R(corr(x, y)) AS "valueShiftedCor" FROM l GROUP BY 1, 2""")
 def shift_correlation(t):
     return A.shift_correlation(t.event_pages, "value", "user_id", [-2, 0, 3])
