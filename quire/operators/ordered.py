@@ -159,16 +159,18 @@ def cumulative_integral(p: Paged, y: str, x: str, name: str) -> Paged:
 
 
 def peaks(p: Paged, column: str, threshold: float | None = None, points: int = 3, change: float | None = None, x: str | None = None, curvature: float | None = None) -> Paged:
-    """Rows at local maxima: (up, down), (flat, down) or (up, flat), so a plateau shows both edges; 5 and 7 points also
-    need monotone shoulders. change: on one side at least, the outermost point is lower by more than this part of the peak's
+    """Rows at local maxima of at least threshold: (up, down), (flat, down) or (up, flat), so a plateau shows both edges; 5
+    and 7 points also need monotone shoulders, and 7 points (up, down). change: on one side at least, the outermost point is lower by more than this part of the peak's
     value (a peak of 0 stays). curvature: least quadratic coefficient, in size, of a parabola over x through the points."""
     over, x, o = x, _x(column), p.over()
     at = {0: x} | {k: F.lead(x, k).over(o) for k in range(1, points // 2 + 1)} | {-k: F.lag(x, k).over(o) for k in range(1, points // 2 + 1)}
-    ok = ((at[-1] < x) & (at[1] < x)) | ((at[-1] == x) & (at[1] < x)) | ((at[-1] < x) & (at[1] == x))
+    ok = (at[-1] < x) & (at[1] < x)
+    if points < 7:
+        ok = ok | ((at[-1] == x) & (at[1] < x)) | ((at[-1] < x) & (at[1] == x))
     for k in range(2, points // 2 + 1):
         ok = ok & (at[-k] < at[-k + 1]) & (at[k] < at[k - 1])
     if threshold is not None:
-        ok = ok & (x > threshold)
+        ok = ok & (x >= threshold)
     if change is not None:
         fall = lambda k: (x - at[k]) / F.nullif(x, F.lit(0.0)) > change
         ok = ok & ((x == 0) | fall(points // 2) | fall(-(points // 2)))
@@ -348,21 +350,37 @@ def despike(p: Paged, column: str, neighbors: int = 4, passes: int = 1, average_
     return per_page(p, [*p.order, column], f, f"{kinds}, `{column}` double")
 
 
-def remove_offsets(p: Paged, column: str, pattern: int = 2) -> Paged:
-    """Remove the alternating offset: each phase of the commutation pattern gets the page's mean."""
-    q = p.numbered()
-    phase = Window.partitionBy(*p.page, F.col("__row") % pattern)
-    fixed = _x(column) - F.avg(_x(column)).over(phase) + F.avg(_x(column)).over(p.whole())
-    return p.with_rows(q.rows.withColumn(column, fixed).drop("__row"))
-
-
-def clip_tails(p: Paged, column: str, fraction: float) -> Paged:
-    """Zero what lies outside the first and last row with column >= fraction * maximum."""
-    q = p.numbered()
-    high = _x(column) >= fraction * F.max(_x(column)).over(p.whole())
-    rows = q.rows.withColumn("__h", F.when(high, F.col("__row")))
-    inside = F.col("__row").between(F.min("__h").over(p.whole()), F.max("__h").over(p.whole()))
-    return p.with_rows(rows.withColumn(column, F.when(inside, _x(column)).otherwise(0.0)).drop("__h", "__row"))
+def remove_offsets(p: Paged, column: str, pattern: int = 2, head: float = 1.0, commutation_only: bool = False) -> Paged:
+    """Subtract the offsets of a signal that is switched between two states, every half a pattern of rows. The pattern
+    starts at a page's first row, or at its second if these two differ. Each state's offset is the mean of its rows among
+    the page's first `head` part; fewer than half a pattern of a state there is an error. commutation_only: the mean of
+    both offsets is left in the data."""
+    q, half, i, w = p.numbered().counted(), pattern // 2, F.col("__row"), p.whole()
+    at = lambda k: F.max(F.when(i == k, _x(column))).over(w)
+    rows = q.rows.withColumn("__late", F.coalesce(at(0) != at(1), F.lit(False)).cast("int"))
+    rows = rows.withColumn("__first", F.pmod(i - F.col("__late"), F.lit(pattern)) < half)
+    first, used = F.col("__first"), i < head * F.col("__rows")
+    rows = rows.withColumns({k: F.avg(F.when(used & state, _x(column))).over(w) for k, state in (("__a", first), ("__b", ~first))})
+    enough = F.least(*[F.count(F.when(used & state, 1)).over(w) for state in (first, ~first)]) >= half
+    fixed = F.when(enough, _x(column) - F.when(first, F.col("__a")).otherwise(F.col("__b")) + ((F.col("__a") + F.col("__b")) / 2 if commutation_only else 0.0))
+    fixed = fixed.otherwise(F.raise_error(F.lit("too few head rows for both offsets")).cast("double"))
+    return p.with_rows(rows.withColumn(column, fixed).drop("__row", "__rows", "__late", "__first", "__a", "__b"))
+
+
+def clip_tails(p: Paged, column: str, fraction: float | None = None, limit: float | None = None, in_tail: bool = False) -> Paged:
+    """From the page's first maximum outwards, either way: from the first value under the limit on, all is 0. The limit is
+    `fraction` of the maximum, `limit`, or the lower of both. Pages of under three rows, or with a maximum of 0 or a limit
+    below it, stay as they are. in_tail: InTail is 1 for the rows that were clipped."""
+    q = p.numbered().counted()
+    x, i, w, top, under, peak = _x(column), F.col("__row"), p.whole(), F.col("__top"), F.col("__limit"), F.col("__peak")
+    rows = q.rows.withColumn("__top", F.max(x).over(w))
+    bounds = [b for b in (None if fraction is None else fraction * top, None if limit is None else F.lit(float(limit))) if b is not None]
+    rows = rows.withColumn("__limit", fold(F.least, bounds)).withColumn("__peak", F.min(F.when(x == top, i)).over(w))
+    low = (F.col("__rows") >= 3) & (top != 0) & (under >= 0) & (x < under)
+    rows = rows.withColumn("__from", F.max(F.when(low & (i < peak), i)).over(w)).withColumn("__to", F.min(F.when(low & (i > peak), i)).over(w))
+    rows = rows.withColumn("InTail" if in_tail else "__tail", F.coalesce((i <= F.col("__from")) | (i >= F.col("__to")), F.lit(False)).cast("int"))
+    clipped = F.col("InTail" if in_tail else "__tail") == 1
+    return p.with_rows(rows.withColumn(column, F.when(clipped, 0.0).otherwise(x)).drop("__row", "__rows", "__top", "__limit", "__peak", "__from", "__to", "__tail"))
 
 
 def normalize(p: Paged, column: str, by: str = "maximum", name: str | None = None) -> Paged:

@@ -94,7 +94,7 @@ def cumulative_integral(t):
 
 
 @query(f"""WITH s AS (SELECT event_id, value AS x, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events {_W})
-SELECT event_id, x AS value FROM s WHERE ((a < x AND b < x) OR (a = x AND b < x) OR (a < x AND b = x)) AND x > 60""")
+SELECT event_id, x AS value FROM s WHERE ((a < x AND b < x) OR (a = x AND b < x) OR (a < x AND b = x)) AND x >= 60""")
 def find_peaks(t):
     return O.peaks(t.event_pages, "value", 60.0).rows.select("event_id", "value")
 
@@ -185,17 +185,37 @@ def subtract_baseline(t):
     return O.subtract_baseline(t.event_pages, "value", 20).rows.select("event_id", "value")
 
 
-@query(f"""WITH s AS (SELECT *, ({_R}) % 2 AS h FROM events) SELECT event_id, R(value - avg(value) OVER (PARTITION BY event_type, h) + avg(value) OVER (PARTITION BY event_type)) AS value FROM s""")
+#: Where each page's pattern starts.
+_STATES = f"s AS (SELECT *, {_R} AS r, {_N} AS n FROM events), d AS (SELECT *, (max(value) FILTER (WHERE r = 0) OVER w <> max(value) FILTER (WHERE r = 1) OVER w)::INT AS d FROM s WINDOW w AS (PARTITION BY event_type))"
+
+
+@query(f"""WITH {_STATES}, h AS (SELECT *, (r - d + 2) % 2 < 1 AS h FROM d) SELECT event_id, R(value - avg(value) OVER (PARTITION BY event_type, h)) AS value FROM h""")
 def remove_offsets(t):
     return O.remove_offsets(t.event_pages, "value").rows.select("event_id", "value")
 
 
-@query(f"""WITH s AS (SELECT *, {_R} AS r, max(value) OVER (PARTITION BY event_type) AS m FROM events), b AS (SELECT event_type AS e, min(r) AS lo, max(r) AS hi FROM s WHERE value >= 0.5 * m GROUP BY 1)
-SELECT event_id, CASE WHEN r BETWEEN lo AND hi THEN value ELSE 0 END AS value FROM s JOIN b ON e = event_type""")
+@query(f"""WITH {_STATES}, h AS (SELECT *, (r - d + 4) % 4 < 2 AS h, r < 0.5 * n AS head FROM d), o AS (SELECT event_type AS e, avg(value) FILTER (WHERE head AND h) AS a, avg(value) FILTER (WHERE head AND NOT h) AS b FROM h GROUP BY 1)
+SELECT event_id, R(value - CASE WHEN h THEN a ELSE b END + (a + b) / 2) AS value FROM h JOIN o ON e = event_type""")
+def remove_commutation(t):
+    return O.remove_offsets(t.event_pages, "value", 4, head=0.5, commutation_only=True).rows.select("event_id", "value")
+
+
+#: Rows, and the place of each page's first maximum.
+_TOP = f"s AS (SELECT *, {_R} AS r, max(value) OVER (PARTITION BY event_type) AS m FROM events), a AS (SELECT event_type AS e, min(r) FILTER (WHERE value = m) AS top FROM s GROUP BY 1)"
+
+
+@query(f"""WITH {_TOP}, b AS (SELECT e, max(r) FILTER (WHERE r < top AND value < 0.5 * m) AS lo, min(r) FILTER (WHERE r > top AND value < 0.5 * m) AS hi FROM s JOIN a ON e = event_type GROUP BY 1)
+SELECT event_id, CASE WHEN r <= coalesce(lo, -1) OR r >= coalesce(hi, r + 1) THEN 0 ELSE value END AS value FROM s JOIN b ON e = event_type""")
 def clip_tails(t):
     return O.clip_tails(t.event_pages, "value", 0.5).rows.select("event_id", "value")
 
 
+@query(f"""WITH {_TOP}, b AS (SELECT e, max(r) FILTER (WHERE r < top AND value < 1) AS lo, min(r) FILTER (WHERE r > top AND value < 1) AS hi FROM s JOIN a ON e = event_type GROUP BY 1),
+c AS (SELECT event_id, value, r <= coalesce(lo, -1) OR r >= coalesce(hi, r + 1) AS c FROM s JOIN b ON e = event_type) SELECT event_id, CASE WHEN c THEN 0 ELSE value END AS value, c::INT AS "InTail" FROM c""")
+def clip_tails_below(t):
+    return O.clip_tails(t.event_pages, "value", 0.9, limit=1.0, in_tail=True).rows.select("event_id", "value", "InTail")
+
+
 @query("SELECT event_id, R(value / (max(value) OVER w - min(value) OVER w)) AS a, R(value / sqrt(avg(value * value) OVER w)) AS b FROM events WINDOW w AS (PARTITION BY event_type)")
 def normalize_columns(t):
     p = O.normalize(t.event_pages, "value", "spread", "a")
