@@ -28,9 +28,14 @@ def _near(fitted):
 
 _N = "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1"
 
-#: Balances v of a nation, their places i and the whole transform z of v; back(re, im) is the inverse one.
-_WHOLE = f"""s AS (SELECT c_nationkey AS g, c_acctbal AS v, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+
+def _whole(padding=1):
+    """SQL: balances v of a nation, their places i and the whole transform z of v, padded to n; _BACK is the inverse one."""
+    return f"""s AS (SELECT c_nationkey AS g, c_acctbal AS v, {_N} AS i, {padding} * count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
 k AS (SELECT g, n, unnest(range(n)) AS k FROM s GROUP BY g, n), z AS (SELECT k.g, k.n, k.k, sum(v * cos(2 * pi() * ((k * i) % k.n) / k.n)) AS re, -sum(v * sin(2 * pi() * ((k * i) % k.n) / k.n)) AS im FROM k JOIN s ON k.g = s.g GROUP BY 1, 2, 3)"""
+
+
+_WHOLE = _whole()
 _BACK = "sum(re * cos(2 * pi() * ((k * i) % s.n) / s.n) - im * sin(2 * pi() * ((k * i) % s.n) / s.n)) / s.n"
 
 
@@ -80,19 +85,20 @@ def convolution(t):
     return signal.convolve(t.event_pages, "value", [0.5, 0.3, 0.2], "c").rows.select("event_id", "c")
 
 
-@query(f"""WITH {_WHOLE}, q AS (SELECT k.g, k.k, sum(exp(-0.5 * i) * cos(2 * pi() * ((k * i) % k.n) / k.n)) AS a, -sum(exp(-0.5 * i) * sin(2 * pi() * ((k * i) % k.n) / k.n)) AS b FROM k JOIN s ON k.g = s.g GROUP BY 1, 2),
-m AS (SELECT *, a * a + b * b + 1e-6 * max(a * a + b * b) OVER (PARTITION BY g) AS p FROM q), d AS (SELECT g, k, (re * a + im * b) / p AS re, (im * a - re * b) / p AS im FROM z JOIN m USING (g, k))
-SELECT s.g AS c_nationkey, i AS "Row", R({_BACK}) AS d FROM s JOIN d ON s.g = d.g GROUP BY s.g, i, s.n""")
+@query(f"""WITH {_whole(2)}, q AS (SELECT k.g, k.k, sum(exp(-0.5 * i) * cos(2 * pi() * ((k * i) % k.n) / k.n)) AS a, -sum(exp(-0.5 * i) * sin(2 * pi() * ((k * i) % k.n) / k.n)) AS b FROM k JOIN s ON k.g = s.g GROUP BY 1, 2),
+m AS (SELECT *, greatest(a * a + b * b, 0.1 * max(a * a + b * b) OVER (PARTITION BY g)) AS p FROM q), d AS (SELECT g, k, (re * a + im * b) / p AS re, (im * a - re * b) / p AS im FROM z JOIN m USING (g, k))
+SELECT s.g AS c_nationkey, i AS "Row", R({_BACK} / 0.25) AS d FROM s JOIN d ON s.g = d.g GROUP BY s.g, i, s.n""")
 def deconvolution(t):
     p = _balances(t)
-    return signal.deconvolve(p.with_rows(p.rows.withColumn("r", F.exp(-0.5 * F.col("i")))), "c_acctbal", "r", "d")
+    return signal.deconvolve(p.with_rows(p.rows.withColumns({"r": F.exp(-0.5 * F.col("i")), "x": F.col("i") / 4})), "c_acctbal", "r", "d", noise=0.1, t="x")
 
 
-@query(f"""WITH s AS (SELECT c_nationkey AS g, c_acctbal AS a, c_custkey % 7 AS b, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
-SELECT x.g AS c_nationkey, k AS "Row", R(sum(x.a * y.b)) AS c FROM (SELECT g, i, n, a, unnest(range(n)) AS k FROM s) x JOIN s y ON x.g = y.g AND x.i = (y.i + k) % x.n GROUP BY 1, 2""")
+@query(f"""WITH s AS (SELECT c_nationkey AS g, c_acctbal AS a, c_custkey % 7 AS b, {_N} AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer), k AS (SELECT g, unnest(range(max(n))) AS k FROM s GROUP BY 1)
+SELECT k.g AS c_nationkey, k AS "Row", R(0.5 * sum(x.a * y.b)) AS c FROM k JOIN s x ON x.g = k.g JOIN s y ON x.g = y.g AND (x.i = y.i - 2 + k) GROUP BY 1, 2""")
 def cross_correlation(t):
+    """The response begins two rows before 0."""
     p = _balances(t)
-    return signal.correlate(p.with_rows(p.rows.withColumn("r", F.col("c_custkey") % 7)), "c_acctbal", "r", "c")
+    return signal.correlate(p.with_rows(p.rows.withColumns({"r": F.col("c_custkey") % 7, "x": (F.col("i") - 2) / 2})), "c_acctbal", "r", "c", t="x")
 
 
 @query("""WITH RECURSIVE s AS (SELECT c_nationkey AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
