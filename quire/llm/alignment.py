@@ -44,10 +44,10 @@ RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint
 COVERING = "SELECT a.n, a.id AS a, a.e, b.id AS b, b.e AS b_end FROM a ASOF JOIN b ON a.s >= b.s"
 FURTHER = "SELECT longer.n, longer.a, b.id AS b FROM longer JOIN b ON b.s >= longer.b_end AND b.s < longer.e"
 
-#: Number of cuts before each token of a table, its group; ends of both tokenizers' tokens are the cuts.
+#: Number of cuts before each token, its group; ends of both tokenizers' tokens are the cuts.
 GROUPS = """
-WITH cut AS (SELECT x.n, x.e, (y.e IS NOT NULL)::INT AS cut FROM {x} x LEFT JOIN {y} y ON x.e = y.e)
-SELECT n, (sum(cut) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - cut)::BIGINT AS g FROM cut"""
+WITH cut AS (SELECT a.n AS n_a, b.n AS n_b, coalesce(a.e, b.e) AS e, (a.e IS NOT NULL AND b.e IS NOT NULL)::INT AS cut FROM a FULL JOIN b ON a.e = b.e)
+SELECT n_a, n_b, (sum(cut) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - cut)::INT AS g FROM cut"""
 
 
 class Pieces(Spelling):
@@ -66,10 +66,11 @@ class Pieces(Spelling):
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [t.split(" ") if self.by_word and MARK not in t else [""] for t in texts]
         units = [[] if "" in u else u for u in units]  # texts with spaces side by side are encoded whole
-        new = [*set().union(*units).difference(self.words)]
+        ids_of = {w: self.words.get(w) or self.words.older.get(w) for w in set().union(*units)}
+        new = [w for w, ids in ids_of.items() if ids is None]
         for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            self.words.keep(w, array("i", ids).tobytes())
-        return [b"".join(map(self.words.__getitem__, u)) if u else array("i", self.model.encode(t)).tobytes() for t, u in zip(texts, units, strict=True)]
+            ids_of[w] = self.words.keep(w, array("i", ids).tobytes())
+        return [b"".join(map(ids_of.__getitem__, u)) if u else array("i", self.model.encode(t)).tobytes() for t, u in zip(texts, units, strict=True)]
 
 
 @lru_cache(1)
@@ -126,13 +127,12 @@ def align_block(block: int, doc_ids: list, texts: list[str], path_a: str, path_b
         e = np.cumsum(length)
         con.register(name, pa.table({"n": np.arange(len(ids), dtype=np.int32), "id": ids, "s": (e - length).astype(np.int32), "e": e.astype(np.int32)}))
     links = overlaps(con) if len(a) else pa.table({c: pa.array([], pa.int32()) for c in "nab"})
-    group = []
-    for x, y in ("ab", "ba"):
-        g = np.zeros(len(a) if x == "a" else len(b), np.int64)
-        if len(g):
-            found = con.sql(GROUPS.format(x=x, y=y)).to_arrow_table()
-            g[found.column("n").to_numpy()] = found.column("g").to_numpy()
-        group.append(g)
+    group = [np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)]
+    if len(a):
+        found = con.sql(GROUPS).to_arrow_table()
+        for g, name in zip(group, ("n_a", "n_b"), strict=True):
+            of = found.filter(pc.is_valid(found.column(name)))
+            g[of.column(name).to_numpy()] = of.column("g").to_numpy()
     for name in "ab":
         con.unregister(name)
 
