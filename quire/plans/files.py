@@ -110,21 +110,77 @@ def dependency_tree(t):
     return J.descendants(e, t.spark.range(1), "p", "c")
 
 
-@query("SELECT 3 AS pages, 75 AS rows, 'ok' AS verdict")
+@query("SELECT count(DISTINCT c_mktsegment) AS pages, count(*) AS rows, 'ok' AS verdict FROM customer")
 def write_and_read_files(t):
-    """The paged format through its writer and reader, in the folder that the workers share (tasks write with open(), so
-    it must be a mounted one)."""
+    """A file a page, through the writer and reader of whole files, in the folder that the workers share (tasks write with
+    open(), so it must be a mounted one)."""
     from quire.sources import paged_file
 
-    rows = t.spark.range(75).select((F.col("id") % 3).alias("page"), F.col("id").alias("i"), (F.col("id") / 7).alias("x"), F.concat(F.lit('a "b" '), F.col("id").cast("string")).alias("s"))
+    columns = ["c_custkey", "c_acctbal", "c_name"]
+    rows = t.customer.select("c_mktsegment", *columns)
     folder = shared_folder(t.spark).removeprefix("file://")
-    paged_file.write(paged(rows, "page", "i"), folder, "ABCD5").collect()
+    paged_file.write(paged(rows, "c_mktsegment", "c_custkey"), folder, "ABCD5").collect()
     back, _ = paged_file.read(t.spark, f"{folder}/*.paged")
-    same = back.rows.join(rows.withColumnRenamed("x", "x0").withColumnRenamed("s", "s0"), "i").filter("x = x0 AND s = s0")
+    same = back.rows.join(rows.withColumnsRenamed({"c_name": "name", "c_acctbal": "balance"}), "c_custkey").filter("c_acctbal = balance AND c_name = name")
     verdict = paged_file.verdicts(t.spark, f"{folder}/*.paged").agg(F.min("verdict").alias("verdict"))
     return same.agg(F.countDistinct("__file").alias("pages"), F.count(F.lit(1)).alias("rows")).join(verdict, F.lit(True))
 
 
+def _files(t, rows, page, order, files=2):
+    """rows in a few files of many pages each, by their index."""
+    from quire.sources import paged_index
+
+    folder = shared_folder(t.spark)
+    paged_index.write_files(paged(rows, page, order), folder, "ABCD5", files)
+    return paged_index.open_files(t.spark, f"{folder}/*.paged")
+
+
+def _event_files(t):
+    return _files(t, t.timed.select("event_type", "t", "event_id", "value"), "event_type", ("t", "event_id"))
+
+
+_PLACED = "e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
+
+
+def _with_parameters(files, rows, page):
+    return rows.rows.join(files.parameters(), ["__file", "__page"]).select(page, F.col("__row").alias("r"), *[c for c in rows.rows.columns if not c.startswith("__")])
+
+
+@query("SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r, c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def paged_files_round_trip(t):
+    """Texts and numbers of all pages, written as files of many pages and read by runs of rows."""
+    files = _files(t, t.customer.select("c_mktsegment", "c_custkey", "c_name", "c_acctbal", "c_nationkey"), "c_mktsegment", "c_custkey")
+    return _with_parameters(files, files.rows(), "c_mktsegment")
+
+
+@query("SELECT o_orderdate::VARCHAR AS day, count(*) AS n FROM orders GROUP BY 1")
+def paged_files_index(t):
+    """Rows of each of thousands of pages, from the index alone."""
+    files = _files(t, t.orders.select(F.col("o_orderdate").cast("string").alias("day"), "o_orderkey", "o_totalprice"), "day", "o_orderkey")
+    return files.parameters().select("day", F.col("__rows").alias("n"))
+
+
+@query(f"WITH {_PLACED} SELECT event_type, r, value FROM e WHERE r % 10 = 3")
+def paged_files_sparse(t):
+    """One column of every tenth row."""
+    files = _event_files(t)
+    return _with_parameters(files, files.rows(["value"], every=10, offset=3), "event_type")
+
+
+@query(f"WITH {_PLACED} SELECT event_type, r, event_id, value FROM e WHERE r >= n - 20")
+def paged_files_last_rows(t):
+    """The last rows of each page; runs before them are not read."""
+    files = _event_files(t)
+    return _with_parameters(files, files.rows(["event_id", "value"], last=20), "event_type")
+
+
+@query(f"WITH {_PLACED} SELECT event_type, r, event_id, value FROM e WHERE event_type >= 'p'")
+def paged_files_chosen_pages(t):
+    """Pages chosen by a parameter before their data is read."""
+    files = _event_files(t)
+    return _with_parameters(files, files.rows(["event_id", "value"], where=F.col("event_type") >= "p"), "event_type")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
 def import_delimited(t):
     """A table written as delimited text, with a header line in each file, and read back."""

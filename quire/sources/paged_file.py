@@ -12,7 +12,7 @@ import io
 import re
 import shlex
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -102,7 +102,7 @@ def read_header(raw: bytes) -> Layout:
             raise FormatError(f"unknown command {name!r}")
 
 
-def _text_value(word: str, kind: str):
+def text_value(word: str, kind: str):
     if kind in ("string", "character"):
         return word
     return float(word) if kind in ("float", "double", "longdouble") else int(word)
@@ -113,21 +113,56 @@ def split_row(line: str) -> list[str]:
     return [re.sub(r"\\(.)", r"\1", m[1]) if m[1] is not None else m[2] for m in re.finditer(r'"((?:[^"\\]|\\.)*)"|(\S+)', line)]
 
 
-def _text_pages(raw: bytes, layout: Layout) -> Iterator[dict]:
-    lines = (x for x in raw[layout.end :].decode("utf-8", "replace").splitlines() if not x.startswith("!"))
+class Lines:
+    """The lines of a file that are not comments; at is where the next one begins."""
+
+    def __init__(self, f: io.BufferedIOBase):
+        self.f, self.at, self.taken = f, f.tell(), 0
+
+    def __iter__(self) -> Lines:
+        return self
+
+    def __next__(self) -> str:
+        while raw := self.f.readline():
+            self.at += len(raw)
+            if not raw.startswith(b"!"):
+                return raw.decode("utf-8", "replace").rstrip("\r\n")
+        raise StopIteration
+
+    def grouped(self, n: int, layout: Layout) -> Iterator[str]:
+        """The next n rows of a table."""
+        per = max(1, int(layout.data.get("lines_per_row", "1")))
+        for _ in range(n):
+            found = [x for _, x in zip(range(per), self, strict=False)]
+            if len(found) < per:
+                raise FormatError("the file ends inside a page")
+            yield " ".join(found)
+
+    def block(self) -> Iterator[str]:
+        """Rows up to a blank line, counted in taken."""
+        self.taken = 0
+        for line in self:
+            if not line.strip():
+                return
+            self.taken += 1
+            yield line
+
+
+def text_pages(lines: Lines, layout: Layout, table: Callable[[Iterator[str]], list]) -> Iterator[dict]:
+    """Pages whose rows are what table makes of the lines of a page's table."""
 
     def content() -> str | None:
         return next((x for x in lines if x.strip()), None)
 
     moving = [p for p in layout.parameters if "fixed_value" not in p]
     while True:
-        page = {"parameters": {p["name"]: _text_value(p["fixed_value"], p["type"]) for p in layout.parameters if "fixed_value" in p}, "arrays": {}, "rows": []}
+        page = {"parameters": {p["name"]: text_value(p["fixed_value"], p["type"]) for p in layout.parameters if "fixed_value" in p}, "arrays": {}, "rows": []}
         for i, p in enumerate(moving):
             line = content() if p["type"] != "string" or i == 0 else next(lines, None)
             if line is None:
                 return
             words = split_row(line)
-            page["parameters"][p["name"]] = (" ".join(words) if p["type"] == "string" else _text_value(words[0], p["type"])) if words else ""
+            page["parameters"][p["name"]] = (" ".join(words) if p["type"] == "string" else text_value(words[0], p["type"])) if words else ""
         for a in layout.arrays:
             line = content()
             if line is None:
@@ -138,32 +173,36 @@ def _text_pages(raw: bytes, layout: Layout) -> Iterator[dict]:
             need, words = int(np.prod(dims)) if dims else 0, []
             while len(words) < need:
                 words += split_row(next(lines))
-            page["arrays"][a["name"]] = (dims, [_text_value(w, a["type"]) for w in words])
+            page["arrays"][a["name"]] = (dims, [text_value(w, a["type"]) for w in words])
         if layout.columns:
             if layout.flag("no_row_counts"):
-                rows = []
-                for line in lines:
-                    if not line.strip():
-                        break
-                    rows.append(line)
-                if not rows:
+                page["rows"] = table(lines.block())
+                if not lines.taken:
                     return
             else:
                 line = content()
                 if line is None:
                     return
-                n, per = int(line.split()[0]), max(1, int(layout.data.get("lines_per_row", "1")))
-                rows = [" ".join(next(lines) for _ in range(per)) for _ in range(n)]
-            for r in rows:
-                words = split_row(r)
-                if len(words) < len(layout.columns):
-                    raise FormatError("a row is short")
-                page["rows"].append([_text_value(w, c["type"]) for w, c in zip(words, layout.columns, strict=False)])
+                page["rows"] = table(lines.grouped(int(line.split()[0]), layout))
         elif not moving and not layout.arrays:
             return
         yield page
 
 
+def _text_pages(raw: bytes, layout: Layout) -> Iterator[dict]:
+    def table(rows: Iterator[str]) -> list:
+        out = []
+        for words in map(split_row, rows):
+            if len(words) < len(layout.columns):
+                raise FormatError("a row is short")
+            out.append([text_value(w, c["type"]) for w, c in zip(words, layout.columns, strict=False)])
+        return out
+
+    f = io.BytesIO(raw)
+    f.seek(layout.end)
+    return text_pages(Lines(f), layout, table)
+
+
 def _binary_pages(raw: bytes, layout: Layout) -> Iterator[dict]:
     order = ">" if layout.big_endian else "<"
     at = layout.end
@@ -194,7 +233,7 @@ def _binary_pages(raw: bytes, layout: Layout) -> Iterator[dict]:
             at += 8
         page = {"parameters": {}, "arrays": {}, "rows": []}
         for p in layout.parameters:
-            page["parameters"][p["name"]] = _text_value(p["fixed_value"], p["type"]) if "fixed_value" in p else values(p["type"], 1)[0]
+            page["parameters"][p["name"]] = text_value(p["fixed_value"], p["type"]) if "fixed_value" in p else values(p["type"], 1)[0]
         for a in layout.arrays:
             dims = [integer() for _ in range(int(a.get("dimensions", "1")))]
             if any(d < 0 for d in dims):
@@ -266,17 +305,22 @@ def _quoted(x) -> str:
     return '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"' if not s or re.search(r'[\s"\\!,&]', s) else s
 
 
+def header_bytes(magic: str, layout: Layout) -> bytes:
+    lines = [magic]
+    if layout.binary:
+        lines.append("!# big-endian" if layout.big_endian else "!# little-endian")
+    for kind in ("parameters", "arrays", "columns"):
+        for item in getattr(layout, kind):
+            lines.append(f"&{kind[:-1]} " + ", ".join(f"{k}={_quoted(v)}" for k, v in item.items()) + ", &end")
+    lines.append("&data " + ", ".join(f"{k}={v}" for k, v in layout.data.items()) + ", &end")
+    return "".join(x + "\n" for x in lines).encode()
+
+
 def write_bytes(magic: str, layout: Layout, pages: list[dict]) -> bytes:
     """A file of the given pages; magic is its first word."""
     out = io.BytesIO()
     line = lambda s: out.write((s + "\n").encode())
-    line(magic)
-    if layout.binary:
-        line("!# big-endian" if layout.big_endian else "!# little-endian")
-    for kind in ("parameters", "arrays", "columns"):
-        for item in getattr(layout, kind):
-            line(f"&{kind[:-1]} " + ", ".join(f"{k}={_quoted(v)}" for k, v in item.items()) + ", &end")
-    line("&data " + ", ".join(f"{k}={v}" for k, v in layout.data.items()) + ", &end")
+    out.write(header_bytes(magic, layout))
     order = ">" if layout.big_endian else "<"
 
     def put(kind: str, x) -> None:
