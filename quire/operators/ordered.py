@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.frame import EMPTY_VALUE, Paged
 from quire.functions.expression import ONE
+from quire.operators import selection
 
 RUNNING = {"Mean": F.avg, "Min": F.min, "Max": F.max, "Sum": F.sum, "StDev": F.stddev_samp}
 
@@ -219,7 +220,7 @@ def outliers(p: Paged, column: str, sigmas: float | None = 2.0, passes: int = 1,
     chance to see it in as many Gaussian values is under `chance`. remove, mark (IsOutlier), or replace by the last or
     next good value ('last', 'next') or on the line between them ('interpolate')."""
     x, w = _x(column), p.whole()
-    rows = p.rows.withColumn("__bad", F.lit(False)).withColumn("__all", F.count(F.lit(1)).over(w))
+    rows = selection.with_page_values(p, p.rows.groupBy(*p.page).agg(F.count(F.lit(1)).alias("__all"))).withColumn("__bad", F.lit(False))
     bad = lambda test: F.col("__bad") | F.coalesce((F.col("__all") >= 3) & test, F.lit(False))
     if unpopular:
         low, width = F.min(x).over(w), (F.max(x).over(w) - F.min(x).over(w)) / unpopular
@@ -229,10 +230,9 @@ def outliers(p: Paged, column: str, sigmas: float | None = 2.0, passes: int = 1,
         fullest = F.max(F.when(inside.isNotNull(), F.struct("__n", -F.col("__bin")))).over(w)
         rows = rows.withColumn("__bad", bad(F.col("__bin") != -fullest["col2"])).drop("__low", "__width", "__bin", "__n")
     if percentiles:
-        order = Window.partitionBy(*p.page).orderBy(x)
-        rows = rows.withColumn("__k", F.row_number().over(order) - 1)
-        low, high = (F.max(F.when(F.col("__k") == F.floor((F.col("__all") - 1) * (q / 100)), x)).over(w) for q in percentiles)
-        rows = rows.withColumn("__bad", bad((x < low) | (x > high))).drop("__k")
+        ends = dict(zip(("__low", "__high"), map(selection.percentile, percentiles), strict=True))
+        rows = selection.with_page_values(p.with_rows(rows), selection.elements(p, column, ends))
+        rows = rows.withColumn("__bad", bad((x < F.col("__low")) | (x > F.col("__high")))).drop("__low", "__high")
     for _ in range(passes):
         if deviation is not None:
             good = F.when(~F.col("__bad"), x)

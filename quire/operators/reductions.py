@@ -1,7 +1,7 @@
 """Reductions of a page's column to a value: every analysis of the process operator.
 
-Plain sums and extremes are aggregates with partial sums before the shuffle. Order statistics take element k of the
-ascending order by a window, so a page's values are never held in one array. Widths at levels and Gill-Miller integrals
+Plain sums and extremes are aggregates with partial sums before the shuffle. Order statistics are selected
+by brackets, so a page is neither sorted nor held. Widths at levels and Gill-Miller integrals
 need the whole ordered page and run per page in numpy.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.frame import EMPTY_VALUE, Paged
 from quire.frame import correlation as pearson
 from quire.functions.wildcard import matches
+from quire.operators import selection
 
 SIMPLE = {
     "average": lambda x: F.avg(x), "sum": lambda x: F.sum(x), "rms": lambda x: F.sqrt(F.avg(x * x)), "minimum": lambda x: F.min(x), "maximum": lambda x: F.max(x),
@@ -102,15 +103,7 @@ def mean_absolute_deviation(p: Paged, column: str, name: str) -> DataFrame:
 
 def order_statistics(p: Paged, column: str, percentiles: dict[str, float | str]) -> DataFrame:
     """name -> percentile, or 'median'. No interpolation and no averaging: always one of the values."""
-    by = Window.partitionBy(*p.page).orderBy("__x")
-    rows = p.rows.select(*p.page, _x(column).alias("__x")).withColumn("__k", F.row_number().over(by) - 1).withColumn("__n", F.count(F.lit(1)).over(p.whole()))
-
-    def at(spec: float | str) -> Column:
-        if spec == "median":
-            return F.floor(F.col("__n") / 2)
-        return F.floor((F.col("__n") - 1) * (float(spec) / 100))
-
-    return rows.groupBy(*p.page).agg(*[F.max(F.when(F.col("__k") == at(spec), F.col("__x"))).alias(name) for name, spec in percentiles.items()])
+    return selection.elements(p, column, {name: selection.median() if spec == "median" else selection.percentile(float(spec)) for name, spec in percentiles.items()})
 
 
 def percentile_range(p: Paged, column: str, low: float, high: float, name: str) -> DataFrame:
