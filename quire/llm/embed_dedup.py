@@ -50,6 +50,8 @@ class Codes:
     """Quantised vectors: q, scale and error norm, and the vectors themselves where they are at hand."""
 
     def __init__(self, q: np.ndarray, scale: np.ndarray, error: np.ndarray, vectors: np.ndarray | None = None):
+        if vectors is not None:  # by powers of two, exactly, so that squares neither overflow nor vanish
+            vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0.0))[1][:, None])
         self.q, self.scale, self.error, self.vectors = q, scale, error, vectors
         self.norm = None if vectors is None else np.sqrt((vectors * vectors).sum(1))
 

@@ -260,3 +260,10 @@ def test_dotted_column_names(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
     out = T.keep_below(docs, T.learn(docs, labels, F.lit(True)), 0.7)
     assert out.columns == docs.columns and out.count() > 0
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324 * 2**40, 1.7e308])
+def test_open_pairs_of_any_magnitude(size):
+    v = np.array([[1.0, 1.0], [1.0, 1.0], [1.0, -1.0]]) * size
+    c = E.Codes(np.zeros((3, 2)), np.zeros(3), np.zeros(3), v)
+    assert E.exact_links(c, c, np.array([0, 0, 1]), np.array([1, 2, 2]), 0.9).tolist() == [True, False, False]
