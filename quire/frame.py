@@ -27,6 +27,11 @@ class Paged:
         """Rows of a page in order."""
         return Window.partitionBy(*self.page).orderBy(*self.order)
 
+    def back(self) -> WindowSpec:
+        """Rows of a page from the last to the first. What follows a row is the part before it here: a frame that ends at
+        the row grows with it, while Spark reads one from the row to the page's end anew for each row."""
+        return Window.partitionBy(*self.page).orderBy(*[F.col(c).desc() for c in self.order])
+
     def whole(self) -> WindowSpec:
         """All rows of a page."""
         return Window.partitionBy(*self.page)

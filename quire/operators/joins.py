@@ -136,9 +136,9 @@ def interpolate(data: Paged, x: str, y: str, at: DataFrame, value: str, outside:
         wanted = _wrapped(wanted, points, page)
     none = F.lit(None).cast("struct<__x:double,__y:double>")
     merged = points.select(*page, "__x", "__pt", "__prev", "__next", F.lit(0).alias("__is"), F.lit(None).cast("double").alias("__asked")).unionByName(wanted.select(*page, "__x", "__asked", none.alias("__pt"), none.alias("__prev"), none.alias("__next"), F.lit(1).alias("__is")))
-    w = Window.partitionBy(*page).orderBy("__x", "__is")
+    w, back = Window.partitionBy(*page).orderBy("__x", "__is"), Window.partitionBy(*page).orderBy(F.col("__x").desc(), F.col("__is").desc())
     node = F.when(F.col("__is") == 0, F.struct("__pt", "__prev", "__next"))
-    merged = merged.withColumn("__before", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.first(node, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    merged = merged.withColumn("__before", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__after", F.last(node, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     b, a = F.col("__before.__pt"), F.col("__after.__pt")
     line = lambda p, q: p["__y"] + (F.col("__x") - p["__x"]) * (q["__y"] - p["__y"]) / F.nullif(q["__x"] - p["__x"], F.lit(0.0))
     below, above = b.isNull(), a.isNull()

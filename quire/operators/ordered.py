@@ -253,16 +253,16 @@ def outliers(p: Paged, column: str, sigmas: float | None = 2.0, passes: int = 1,
         return p.with_rows(rows.filter("NOT __bad").drop("__bad"))
     if mode == "mark":
         return p.with_rows(rows.withColumn("IsOutlier", F.col("__bad").cast("int")).drop("__bad"))
-    up_to, from_here = p.over().rowsBetween(Window.unboundedPreceding, 0), p.over().rowsBetween(0, Window.unboundedFollowing)
+    up_to, from_here = p.over().rowsBetween(Window.unboundedPreceding, 0), p.back().rowsBetween(Window.unboundedPreceding, 0)
     if mode == "interpolate":
         rows = p.with_rows(rows).numbered().rows
         point = F.when(~F.col("__bad"), F.struct(F.col("__row").alias("i"), x.alias("v")))
-        rows = rows.withColumn("__a", F.last(point, True).over(up_to)).withColumn("__b", F.first(point, True).over(from_here))
+        rows = rows.withColumn("__a", F.last(point, True).over(up_to)).withColumn("__b", F.last(point, True).over(from_here))
         a, b = F.col("__a"), F.col("__b")
         line = F.when(a["i"] == b["i"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) / F.nullif(b["i"] - a["i"], F.lit(0)) * (F.col("__row") - a["i"]))
         return p.with_rows(rows.withColumn(column, F.coalesce(line, a["v"], b["v"])).drop("__bad", "__row", "__a", "__b"))
     good = F.when(~F.col("__bad"), F.col(column))
-    before, after = F.last(good, True).over(up_to), F.first(good, True).over(from_here)
+    before, after = F.last(good, True).over(up_to), F.last(good, True).over(from_here)
     value = F.coalesce(before, after) if mode == "last" else F.coalesce(after, before)
     return p.with_rows(rows.withColumn("__v", value).withColumn(column, F.col("__v")).drop("__bad", "__v"))
 
