@@ -111,7 +111,7 @@ def find_peaks_five_point(t):
     return O.peaks(t.event_pages, "value", points=5).rows.select("event_id", "value")
 
 
-@query(f"""WITH {TIMED}, s AS (SELECT event_type, t AS x, value - 50 AS y, lag(t) OVER w AS x0, lag(value - 50) OVER w AS y0 FROM t {_W}), k AS (SELECT *, (y - y0) / (x - x0) AS m FROM s WHERE (y0 <= 0 AND y >= 0) OR (y0 >= 0 AND y <= 0))
+@query(f"""WITH {TIMED}, s AS (SELECT event_type, t AS x, value - 50 AS y, lag(t) OVER w AS x0, lag(value - 50) OVER w AS y0 FROM t {_W}), k AS (SELECT *, CASE WHEN x = x0 THEN 1.7976931348623157e308::DOUBLE ELSE (y - y0) / (x - x0) END AS m FROM s WHERE (y0 <= 0 AND y >= 0) OR (y0 >= 0 AND y <= 0))
 SELECT event_type, R(CASE WHEN m = 0 THEN x0 ELSE x0 - y0 / m END) AS t, 50.0::DOUBLE AS value, R(m) AS "valueSlope" FROM k""")
 def find_zeros(t):
     return O.zero_crossings(t.event_pages, "value", "t", -50.0)

@@ -1,5 +1,6 @@
 """Work that must grow no faster than the rows: frames that Spark reads anew for each row, and pages that one task would hold."""
 
+import pandas as pd
 import pytest
 
 from quire.frame import paged
@@ -26,3 +27,33 @@ def test_interpolation_reads_no_frame_to_the_end(spark):
     got = joins.interpolate(data, "x", "y", at, "v")
     assert "currentrow$(), unboundedfollowing$()" not in plan(got)
     assert sorted(tuple(r) for r in got.collect()) == [(-1.0, 0.0), (0.0, 0.0), (0.5, 5.0), (2.0, 20.0), (2.0, 20.0), (9.0, 40.0)]
+
+
+def same_as_sql(spark, folder, name, events):
+    """A query and its SQL over events (event_type, microseconds, value)."""
+    import duckdb
+    from compare import same_rows
+
+    from quire.plans.all_queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    rows = pd.DataFrame(events, columns=["event_type", "us", "value"])
+    con.register("rows", rows)
+    con.execute(f"""copy (select row_number() over () - 1 as event_id, TIMESTAMP '2024-01-01' + to_microseconds(us::BIGINT) as ts, 1::BIGINT as user_id, event_type, value::DOUBLE as value, '' as props from rows)
+        to '{folder}/events.parquet'""")
+    con.execute(f"create view events as select * from '{folder}/events.parquet'")
+    same_rows(QUERIES[name](spark, str(folder)), con, SQL[name])
+
+
+def test_zeros_between_rows_of_one_time(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "find_zeros", [("a", 1, 40.0), ("a", 1, 60.0), ("a", 2, 50.0), ("a", 2, 50.0), ("a", 3, 50.0), ("a", 9, 20.0)])
+
+
+def test_peaks_with_a_zone_of_several_rows(spark, tmp_path):
+    """Peaks of 25,000 rows, so a zone of 5; few values, so that many are equal, and falling runs, where one settles the next."""
+    import random
+
+    rng = random.Random(8)
+    events = [("a", i, float(rng.randrange(8))) for i in range(24800)] + [("a", 30000 + i, float(i % 2) * (1000 - i)) for i in range(200)]
+    same_as_sql(spark, tmp_path, "peaks_with_exclusion", events)
