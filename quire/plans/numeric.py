@@ -145,11 +145,15 @@ def gill_miller_integral(t):
     return signal.gill_miller(t.customer_pages, "c_custkey", "c_acctbal").rows.select("c_mktsegment", "c_custkey", (F.col("Integral") / 1e3).alias("Integral"))
 
 
-@query("""WITH p AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, (epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6) AS t FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
-k AS (SELECT * FROM p WHERE a <= value AND b <= value AND (a < value OR b < value)), z AS (SELECT *, floor(0.0004 / 2 * n + 0.5) AS zone FROM k)
-SELECT event_type, R(t) AS t, value FROM z WHERE zone <= 1 OR NOT EXISTS (SELECT 1 FROM k WHERE k.event_type = z.event_type AND k.i <> z.i AND abs(k.i - z.i) <= z.zone AND k.value >= z.value)""")
+#: A round settles the peaks that no earlier, unsettled one can still put out; then later ones put out those that they reach.
+@query("""WITH RECURSIVE p AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, (epoch_us(ts - TIMESTAMP '2024-01-01') / 1e6) AS t FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+d AS (SELECT 0 AS round, event_type, i, t, value, floor(0.0004 / 2 * n + 0.5)::BIGINT AS zone, NULL::BOOLEAN AS alive FROM p WHERE a <= value AND b <= value AND (a < value OR b < value)
+UNION ALL SELECT round + 1, event_type, i, t, value, zone, CASE WHEN alive IS NOT NULL THEN alive WHEN max(value) FILTER (alive) OVER z >= value THEN false WHEN max(value) FILTER (alive IS NULL) OVER z >= value THEN NULL ELSE true END
+FROM (SELECT *, bool_or(alive IS NULL) OVER () AS open FROM d) WHERE open WINDOW z AS (PARTITION BY event_type ORDER BY i RANGE BETWEEN zone PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max(value) FILTER (alive) OVER (PARTITION BY event_type ORDER BY i RANGE BETWEEN 1 FOLLOWING AND zone FOLLOWING) AS later FROM d WHERE round = (SELECT max(round) FROM d))
+SELECT event_type, R(t) AS t, value FROM l WHERE alive AND NOT coalesce(later >= value, false)""")
 def peaks_with_exclusion(t):
-    """A zone of one row at this size: of two rows that share a peak the first stays, others have no peak beside them."""
+    """The zone grows with the page: one row at 5,000 rows, 240 at 1,200,000."""
     return signal.exclude_near_peaks(t.event_pages, "t", "value", 0.0004)
 
 
