@@ -54,11 +54,48 @@ def running_slope(p: Paged, y: str, x: str, points: int) -> DataFrame:
 
 def running_by_value(p: Paged, column: str, by: str, width: float, statistics: list[str]) -> DataFrame:
     """Statistics of the rows whose `by` lies within width above the row's own; EMPTY_VALUE never occurs, as the row
-    itself counts."""
-    sql = {"Mean": "avg", "Min": "min", "Max": "max", "Sum": "sum", "StDev": "stddev_samp"}
-    page = ", ".join(f"`{c}`" for c in p.page)
-    over = f"OVER ({'PARTITION BY ' + page if page else ''} ORDER BY CAST(`{by}` AS DOUBLE) RANGE BETWEEN CURRENT ROW AND {float(width)!r}D FOLLOWING)"
-    return p.rows.select(*p.page, *p.order, *[F.expr(f"{sql[s]}(CAST(`{column}` AS DOUBLE)) {over}").alias(column + s) for s in statistics])
+    itself counts. Rows without a finite `by` count with those that have the same.
+
+    The page is cut into cells of three quarters of the width, so a row's window is the end of its cell from the row on,
+    the whole cells between, and the beginning of the cell where the window ends: running statistics of cells, put
+    together. No window is walked, so the work does not grow with the number of rows in it, and a cell is a task."""
+    if not width >= 0 or math.isinf(width):
+        raise ValueError("the width must be finite and not negative")
+    at, page, x = _x(by), list(p.page), F.col("__x")
+    parts = lambda over: F.struct(*[f.alias(n) if over is None else f.over(over).alias(n) for n, f in (("n", F.count(x)), ("sum", F.sum(x)), ("min", F.min(x)), ("max", F.max(x)), ("mean", F.avg(x)), ("var", F.var_pop(x)))])
+    finite = F.abs(at) < float("inf")
+    size = 0.75 * width
+    where = at / size if size else at
+    cell = F.when(finite, F.when(F.abs(where) < 2.0**50, F.floor(where).cast("double")).otherwise(F.raise_error(F.lit("the width is too small for these values")).cast("double")) if size else at)
+    kept = [c for c in p.order if c not in page]
+    rows = p.rows.select(*page, *kept, _x(column).alias("__x"), at.alias("__at"), cell.alias("__cell"), F.when(~finite, at).alias("__odd"))
+    keys = [*page, "__cell", "__odd"]
+    rows = rows.withColumn("__own", parts(Window.partitionBy(*keys).orderBy(F.col("__at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = [F.col("__own")]
+    if size:
+        to = F.col("__at") + float(width)
+        asked = rows.filter(F.col("__cell").isNotNull()).select(*page, to.alias("__at")).distinct().withColumn("__cell", F.floor(F.col("__at") / size).cast("double"))
+        none = F.lit(None).cast("double")
+        points = rows.filter(F.col("__cell").isNotNull()).select(*page, "__cell", "__at", "__x", F.lit(False).alias("__ask")).unionByName(asked.select(*page, "__cell", "__at", none.alias("__x"), F.lit(True).alias("__ask")))
+        up_to = Window.partitionBy(*page, "__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        begun = points.withColumn("__begun", parts(up_to)).filter("__ask")
+        whole = rows.filter(F.col("__cell").isNotNull()).groupBy(*page, "__cell").agg(parts(None).alias("__whole"))  # a row a cell
+        begun = begun.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(page)], F.col("__at").alias("__to"), F.col("__cell").alias("__end"), "__begun")
+        whole = whole.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(page)], F.col("__cell").alias("__between"), "__whole")
+        same = lambda k, last: fold(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{k}{i}")) for i, c in enumerate(page)], last)
+        rows = rows.join(begun, same("__p", F.col("__cell").isNotNull() & (to == F.col("__to"))), "left")
+        # a window of four thirds of a cell ends in the next cell or in the one after it
+        rows = rows.join(whole, same("__w", (F.col("__cell") + 1 == F.col("__between")) & (F.col("__end") == F.col("__cell") + 2)), "left")
+        found += [F.col("__whole"), F.col("__begun")]
+    total = lambda k: fold(add, [F.coalesce(f[k], F.lit(0)) for f in found])
+    n, one = total("n"), len(found) == 1
+    some = F.nullif(n, F.lit(0))
+    sum_ = F.when(n > 0, total("sum"))
+    mean = sum_ / some
+    spread = fold(add, [F.coalesce(f["n"] * (f["var"] + (f["mean"] - mean) * (f["mean"] - mean)), F.lit(0.0)) for f in found])
+    least = lambda f, k: found[0][k] if one else f(*[c[k] for c in found])
+    values = {"Mean": mean, "Sum": sum_, "Min": least(F.least, "min"), "Max": least(F.greatest, "max"), "StDev": F.sqrt(spread / F.when(n > 1, n - 1))}
+    return rows.select(*page, *kept, *[values[s].alias(column + s) for s in statistics])
 
 
 def smooth(p: Paged, column: str, points: int, passes: int = 1) -> Paged:

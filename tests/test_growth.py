@@ -1,5 +1,6 @@
 """Work that must grow no faster than the rows: frames that Spark reads anew for each row, and pages that one task would hold."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -57,3 +58,23 @@ def test_peaks_with_a_zone_of_several_rows(spark, tmp_path):
     rng = random.Random(8)
     events = [("a", i, float(rng.randrange(8))) for i in range(24800)] + [("a", 30000 + i, float(i % 2) * (1000 - i)) for i in range(200)]
     same_as_sql(spark, tmp_path, "peaks_with_exclusion", events)
+
+
+def test_running_by_value_against_each_window(spark):
+    """Ties, gaps, ends of windows on rows and on ends of cells, nulls; no range frame with an end of its own is left."""
+    rng = np.random.default_rng(2)
+    at = [float(a) for a in rng.integers(-40, 60, 300) * 0.25] + [1000.0, float("nan"), float("nan"), float("inf"), None, None]
+    rows = [(i % 2, i, a, None if i % 11 == 0 else float(v)) for i, (a, v) in enumerate(zip(at, rng.normal(1e3, 1, len(at)), strict=True))]
+    p = paged(spark.createDataFrame(rows, "p int, i int, t double, v double"), "p", "i")
+    for width in (3.0, 0.25, 0.1, 0.0):
+        df = ordered.running_by_value(p, "v", "t", width, ["Mean", "Min", "Max", "Sum", "StDev"])
+        assert f"{width} following" not in plan(df).lower() and f"currentrow$(), {width}" not in plan(df)
+        got = {r["i"]: r for r in df.collect()}
+        assert len(got) == len(rows)
+        for q, i, t, _ in rows:
+            same = lambda u: u is None if t is None else u is not None and (np.isnan(u) if np.isnan(t) else t <= u <= t + width)  # noqa: B023, E731
+            v = np.array([w for g, _, u, w in rows if g == q and same(u) and w is not None])
+            want = [v.mean(), v.min(), v.max(), v.sum(), v.std(ddof=1) if len(v) > 1 else None] if len(v) else [None] * 5
+            have = [got[i]["v" + s] for s in ("Mean", "Min", "Max", "Sum", "StDev")]
+            assert [w is None for w in want] == [h is None for h in have], (width, i, t, want, have)
+            assert all(w is None or abs(w - h) < 1e-6 for w, h in zip(want, have, strict=True)), (width, i, t, want, have)
