@@ -94,22 +94,88 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([t for t in triangles if max(t) < n]).reshape(-1, 3)
 
 
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull, counterclockwise, without points on its edges."""
+    order = np.lexsort((y, x))
+    order = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]]
+    angles = np.linspace(0, 2 * np.pi, 64, endpoint=False)
+    ends = order[[int(np.argmax(x[order] * np.cos(a) + y[order] * np.sin(a))) for a in angles]]
+    ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
+    inner = np.ones(len(order), bool)  # strictly inside the polygon of these extreme points
+    for a, b in zip(ends, np.roll(ends, -1), strict=True):
+        inner &= (x[b] - x[a]) * (y[order] - y[a]) - (y[b] - y[a]) * (x[order] - x[a]) > 0
+    order = order[~inner] if len(ends) > 2 else order
+
+    def half(points: np.ndarray) -> list[int]:
+        out: list[int] = []
+        for k in points.tolist():
+            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[k] - y[out[-2]]) - (y[out[-1]] - y[out[-2]]) * (x[k] - x[out[-2]]) <= 0:
+                out.pop()
+            out.append(k)
+        return out[:-1]
+
+    return np.array(half(order) + half(order[::-1]), int)
+
+
+def _weights(a: np.ndarray, b: np.ndarray, t: Sequence[int]) -> np.ndarray | None:
+    """Barycentric coordinates of the origin in the triangle t of points (a, b); none if it is flat."""
+    i, j, k = t
+    d = (b[j] - b[k]) * (a[i] - a[k]) + (a[k] - a[j]) * (b[i] - b[k])
+    if abs(d) < 1e-300:
+        return None
+    u, w = ((b[k] - b[j]) * a[k] + (a[j] - a[k]) * b[k]) / d, ((b[i] - b[k]) * a[k] + (a[k] - a[i]) * b[k]) / d
+    return np.array([u, w, 1 - u - w])
+
+
+def delaunay_triangle(a: np.ndarray, b: np.ndarray, hull: np.ndarray) -> tuple[tuple[int, ...], np.ndarray] | None:
+    """The Delaunay triangle of points (a, b) around the origin, with its weights; none outside the hull. From a triangle
+    of hull corners on, the point deepest inside the circumcircle takes the place of a corner, such that the triangle
+    still holds the origin and is the lowest there on the paraboloid, until the circle is empty."""
+    inside = lambda w: w is not None and bool((w >= -1e-12).all())
+    at, weights = None, None
+    for j, k in zip(hull[1:-1].tolist(), hull[2:].tolist(), strict=True):
+        w = _weights(a, b, (int(hull[0]), j, k))
+        if inside(w):
+            at, weights = (int(hull[0]), j, k), w
+            break
+    if at is None:
+        return None
+    r2, seen = a * a + b * b, set()
+    while at not in seen:
+        seen.add(at)
+        t = list(at)
+        plane = np.linalg.solve(np.column_stack([a[t], b[t], np.ones(3)]), r2[t])
+        above = r2 - (plane[0] * a + plane[1] * b + plane[2])
+        p = int(np.argmin(above))
+        if p in at or above[p] >= -1e-12 * (r2[t].max() + abs(plane[2])):
+            break
+        options = []
+        for drop in range(3):
+            new = tuple(sorted((*(q for n, q in enumerate(at) if n != drop), p)))
+            w = _weights(a, b, new)
+            if inside(w):
+                options.append((float(w @ r2[list(new)]), new, w))
+        if not options:
+            break
+        _, at, weights = min(options, key=lambda o: o[0])
+    return at, weights
+
+
 def interpolate_scattered(p: Paged, x: str, y: str, z: str, shape: tuple[int, int]) -> DataFrame:
-    """Scattered points to a grid over their range, linear in each Delaunay triangle; outside the hull is left out."""
+    """Scattered points to a grid over their range, linear in each Delaunay triangle; outside the hull is left out. Only
+    the triangles around grid points are looked for, each by a few passes over the page's points. Of points at one place
+    the first counts."""
 
     def f(c):
         a, b, v = (c[k].astype(float) for k in (x, y, z))
-        t = triangulate(a, b)
+        hull = _hull(a, b)
         gx, gy = (g.ravel() for g in np.meshgrid(np.linspace(a.min(), a.max(), shape[0]), np.linspace(b.min(), b.max(), shape[1]), indexing="ij"))
         out = np.full(len(gx), np.nan)
-        for i, j, k in t:
-            d = (b[j] - b[k]) * (a[i] - a[k]) + (a[k] - a[j]) * (b[i] - b[k])
-            if abs(d) < 1e-300:
-                continue
-            u = ((b[j] - b[k]) * (gx - a[k]) + (a[k] - a[j]) * (gy - b[k])) / d
-            w = ((b[k] - b[i]) * (gx - a[k]) + (a[i] - a[k]) * (gy - b[k])) / d
-            inside = (u >= -1e-12) & (w >= -1e-12) & (u + w <= 1 + 1e-12)
-            out[inside] = u[inside] * v[i] + w[inside] * v[j] + (1 - u[inside] - w[inside]) * v[k]
+        for i in range(len(gx)):
+            found = delaunay_triangle(a - gx[i], b - gy[i], hull)
+            if found:
+                t, w = found
+                out[i] = w @ v[list(t)]
         ok = ~np.isnan(out)
         return {x: gx[ok], y: gy[ok], z: out[ok]}
 

@@ -78,3 +78,52 @@ def test_running_by_value_against_each_window(spark):
             have = [got[i]["v" + s] for s in ("Mean", "Min", "Max", "Sum", "StDev")]
             assert [w is None for w in want] == [h is None for h in have], (width, i, t, want, have)
             assert all(w is None or abs(w - h) < 1e-6 for w, h in zip(want, have, strict=True)), (width, i, t, want, have)
+
+
+@pytest.mark.parametrize("n", [5, 40, 300])
+def test_triangles_around_points_are_those_of_all_triangles(n):
+    from quire.operators import images
+
+    rng = np.random.default_rng(n)
+    a, b, z = rng.uniform(0, 25, n), rng.uniform(-1, 10, n), rng.normal(size=n)
+    triangles, hull = images.triangulate(a, b), images._hull(a, b)
+    for x, y in rng.uniform((0, -1), (25, 10), (60, 2)):
+        want = [z[t] @ w for t in triangles.tolist() if (w := images._weights(a - x, b - y, t)) is not None and (w >= 0).all()]
+        got = images.delaunay_triangle(a - x, b - y, hull)
+        assert (got is None) == (not want)
+        assert got is None or abs(got[1] @ z[list(got[0])] - want[0]) < 1e-9
+
+
+def test_paged_file_parts_cross_pages_and_pages_cross_parts(spark, tmp_path):
+    """Files are the same however the rows were cut into parts; no part is left behind."""
+    import os
+
+    from quire.sources import paged_index
+
+    sizes = {"a": 1, "b": 700, "c": 3, "d": 400}
+    rows = [(k, i, f"{k}{i}" * (i % 3)) for k, n in sizes.items() for i in range(n)]
+    p = paged(spark.createDataFrame(rows, "k string, i bigint, s string").repartition(3), "k", "i")
+    found = []
+    for size in (50, 1 << 19):
+        folder = f"{tmp_path}/{size}"
+        paged_index.write_files(p, folder, "ABCD5", 2, part_rows=size)
+        names = sorted(os.listdir(folder))
+        assert names and all(n.endswith(".paged") or n.endswith(".crc") for n in names)
+        files = paged_index.open_files(spark, f"file://{folder}/*.paged")
+        back = files.rows().rows.join(files.parameters(), ["__file", "__page"]).select("k", "__row", "i", "s").collect()
+        assert sorted(map(tuple, back)) == sorted((k, i, i, s) for k, i, s in rows)
+        found.append([open(f"{folder}/{n}", "rb").read() for n in names if n.endswith(".paged")])
+    assert found[0] == found[1]
+
+
+def test_tolerance_lookup_joins_each_value_once(spark):
+    left = paged(spark.createDataFrame([(i, i % 2, float(i // 20)) for i in range(400)] + [(400, None, 1.0), (401, 0, None)], "i int, k int, v double"), (), "i")
+    right = paged(spark.createDataFrame([(i, i % 2, float(i // 20) + 0.5) for i in range(400)], "j int, r int, w double"), (), "j")
+    df = joins.tolerance_lookup(left, right, {"k": "r"}, ("v", "w"), 1.5, ["j"])
+    want = {}
+    for i in range(400):
+        near = [j for j in range(400) if j % 2 == i % 2 and abs(float(i // 20) - float(j // 20) - 0.5) <= 1.5]
+        want[i] = min(near)
+    assert {r["i"]: r["j"] for r in df.collect()} == want and df.count() == 400
+    grouped = [line for line in plan(df).splitlines() if "Aggregate [" in line]
+    assert not any("Aggregate [i#" in line for line in grouped)  # left rows, whole, are not grouped
