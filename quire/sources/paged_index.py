@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -32,6 +33,7 @@ from quire.sources.shared import shared_folder
 ARROW = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "decimal(20,0)": pa.decimal128(20, 0)}
 RUN = 1 << 16  # rows
 TASK_BYTES = 128 << 20
+PIECES = "__f bigint, __part bigint, __i bigint, __named binary, __path string, __at bigint, __n bigint, __size bigint"
 INDEX = "__file string, __page int, __first bigint, __n bigint, __rows bigint, __at array<bigint>, __to array<bigint>"
 
 
@@ -322,10 +324,11 @@ def open_files(spark: SparkSession, path: str, whole: bool = True, run: int = RU
     return PagedFiles(layout, spark.read.parquet(folder))
 
 
-def write_files(p: Paged, folder: str, magic: str, files: int = 8) -> None:
-    """All pages of p in `files` binary files under folder, each page whole in one file, rows in order and streamed: a task holds
-    one batch. Rows are counted before, as a page begins with their number. Nulls are refused in numbers and become empty
-    texts."""
+def write_files(p: Paged, folder: str, magic: str, files: int = 8, part_rows: int = 1 << 19) -> None:
+    """All pages of p in `files` binary files under folder, each page whole in one file, rows in order. Parts of the sorted
+    rows, about part_rows each however long a page is, are first written by a task each; then a task for each file streams
+    its pages together from the parts, as a page begins with its number of rows. Nulls are refused in numbers and become
+    empty texts."""
     page, order = list(p.page), list(p.order)
     columns = [c for c in p.rows.columns if c not in page]
     kinds = dict(p.rows.dtypes)
@@ -333,10 +336,10 @@ def write_files(p: Paged, folder: str, magic: str, files: int = 8) -> None:
     layout = Layout([item(c) for c in columns], [item(c) for c in page], [], {"mode": "binary"})
     head = header_bytes(magic, layout)
     fixed = all(c["type"] != "string" for c in layout.columns)
-    counts = p.rows.groupBy(*page).agg(F.count(F.lit(1)).alias("__rows"))
-    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in page])
-    rows = p.rows.alias("p").join(counts.alias("c"), same).select(*[F.col(f"p.{c}") for c in (*page, *columns)], "__rows", F.pmod(F.xxhash64(*[F.col(f"p.{c}") for c in page]), F.lit(files)).alias("__f"))
-    rows = rows.repartition(files, "__f").sortWithinPartitions("__f", *page, *order)
+    rows = p.rows.select(*page, *columns, F.pmod(F.xxhash64(*page), F.lit(files)).alias("__f"))
+    parts = max(files, -(-rows.count() // part_rows))
+    rows = rows.repartitionByRange(parts, "__f", *page, *order).sortWithinPartitions("__f", *page, *order)
+    scratch = f"{folder}/.parts-{uuid.uuid4().hex}"
 
     def cell(kind: str, x) -> bytes:
         if kind == "string":
@@ -362,34 +365,72 @@ def write_files(p: Paged, folder: str, magic: str, files: int = 8) -> None:
                 parts.append([raw[i : i + w] for i in range(0, len(raw), w)])
         return b"".join(b"".join(r) for r in zip(*parts, strict=True))
 
-    def save(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the rows of a part; of each piece of a page in it, where it lies and the page's head without the number."""
+        from pyspark import TaskContext
+
+        part, path, out, at, pieces = TaskContext.get().partitionId(), f"{scratch}/{uuid.uuid4().hex}", None, 0, []
+        for batch in it:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("__f", *page)], strict=True))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if out is None:
+                    system, base = _located(path)
+                    system.create_dir(base.rsplit("/", 1)[0], recursive=True)
+                    out = system.open_output_stream(base)
+                raw = put(batch.slice(i, j - i))
+                out.write(raw)
+                if pieces and pieces[-1][0] == keys[i]:
+                    pieces[-1][2] += j - i
+                    pieces[-1][3] += len(raw)
+                else:
+                    pieces.append([keys[i], at, j - i, len(raw)])
+                at += len(raw)
+        if out is not None:
+            out.close()
+        named = [b"".join(cell(c["type"], x) for c, x in zip(layout.parameters, k[1:], strict=True)) for k, *_ in pieces]
+        cells = [[k[0] for k, *_ in pieces], [part] * len(pieces), list(range(len(pieces))), named, [path] * len(pieces), *([x[i] for x in pieces] for i in (1, 2, 3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), *[pa.int64()] * 3), strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
+    def save(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _located(folder)
-        system.create_dir(base, recursive=True)
-        number, key, out, part = None, None, None, None
+        number, out, name = None, None, None
 
         def close() -> None:
             if out is not None:
                 out.close()
-                system.move(part, f"{base}/{number:05d}.paged")  # a task that runs twice leaves one whole file
+                system.move(name, f"{base}/{number:05d}.paged")  # a task that runs twice leaves one whole file
 
         for batch in it:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("__f", *page)], strict=True))
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                if keys[i][0] != number:
+            for r in batch.to_pylist():
+                if r["__f"] != number:
                     close()
-                    number, key = keys[i][0], None
-                    part = f"{base}/.{number}-{uuid.uuid4().hex}"
-                    out = system.open_output_stream(part)
+                    number = r["__f"]
+                    name = f"{base}/.{number}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(name)
                     out.write(head)
-                if keys[i] != key:
-                    key, n = keys[i], batch.column("__rows")[i].as_py()
-                    out.write(struct.pack("<i", n) if n < 1 << 31 else struct.pack("<iq", -(1 << 31), n))
-                    out.write(b"".join(cell(c["type"], x) for c, x in zip(layout.parameters, key[1:], strict=True)))
-                out.write(put(batch.slice(i, j - i)))
+                if r["__starts"]:
+                    n = r["__rows"]
+                    out.write((struct.pack("<i", n) if n < 1 << 31 else struct.pack("<iq", -(1 << 31), n)) + r["__named"])
+                with system.open_input_file(_located(r["__path"])[1]) as piece:
+                    piece.seek(r["__at"])
+                    left = r["__size"]
+                    while left:
+                        raw = piece.read(min(left, 1 << 22))
+                        if not raw:
+                            raise FormatError("a part ended early")
+                        out.write(raw)
+                        left -= len(raw)
         close()
         yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
 
-    rows.mapInArrow(save, "done int").agg(F.sum("done")).collect()
+    index = shared_folder(rows.sparkSession, "pieces")
+    rows.mapInArrow(split, PIECES).write.parquet(index)  # written, as a part that ran again would name other files
+    pieces = rows.sparkSession.read.parquet(index)
+    lengths = pieces.groupBy("__f", "__named").agg(F.sum("__n").alias("__rows"), F.min(F.struct("__part", "__i")).alias("__first"))
+    pieces = pieces.join(lengths, ["__f", "__named"]).withColumn("__starts", F.struct("__part", "__i") == F.col("__first")).drop("__first")
+    pieces = pieces.repartition(files, "__f").sortWithinPartitions("__f", "__part", "__i")
+    pieces.mapInArrow(save, "done int").agg(F.sum("done")).collect()
+    system, base = _located(scratch)
+    if system.get_file_info(base).type.name == "Directory":
+        system.delete_dir(base)
