@@ -77,18 +77,22 @@ def wildcard_lookup(left: Paged, right: Paged, column: str, pattern: str, take:
 
 def tolerance_lookup(left: Paged, right: Paged, equal: dict[str, str], near: tuple[str, str], tolerance: float, take: Sequence[str]) -> DataFrame:
     """The first right row, in order, of equal keys whose value is within tolerance (equal, if that is 0): a join on cells
-    of the tolerance's width, so only neighbours meet. Right rows may serve several left rows; equal left rows, which
-    find the same, are looked up once and come out as often as they were."""
+    of the tolerance's width, so only neighbours meet. Right rows may serve several left rows. What is joined on cells is
+    each value of the left keys once, and of the right rows of one value the first; left rows, whole, only fetch what
+    their value found."""
     a, b = near
     names = left.rows.columns
     cell = lambda c: F.floor(F.col(c).cast("double") / tolerance) if tolerance else F.col(c).cast("double")
-    l = left.rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    l = l.withColumn("__cell", F.explode(F.array(cell(a) - 1, cell(a), cell(a) + 1)) if tolerance else cell(a))
-    r = right.rows.select(*[F.col(c).alias(f"__r_{c}") for c in equal.values()], F.col(b).alias("__near"), cell(b).alias("__rcell"), F.struct(*right.order).alias("__order"), F.struct(*take).alias("__take"))
-    same = reduce(lambda x, y: x & y, [F.col(x) == F.col(f"__r_{y}") for x, y in equal.items()], F.col("__cell") == F.col("__rcell"))
-    hits = l.join(r, same & (F.abs(F.col(a) - F.col("__near")) <= tolerance))
-    best = hits.groupBy(*names, "__n").agg(F.min_by("__take", "__order").alias("__take"))
-    return _repeated(best, "__n").select(*names, "__take.*")
+    asked = left.rows.select(*[F.col(c).alias(f"__l{i}") for i, c in enumerate(equal)], F.col(a).alias("__a")).distinct()
+    keys = asked.columns
+    asked = asked.withColumn("__cell", F.explode(F.array(cell("__a") - 1, cell("__a"), cell("__a") + 1)) if tolerance else cell("__a"))
+    r = right.rows.select(*[F.col(c).alias(f"__r_{c}") for c in equal.values()], F.col(b).alias("__near"), F.struct(*right.order).alias("__order"), F.struct(*take).alias("__take"))
+    r = r.groupBy(*[f"__r_{c}" for c in equal.values()], "__near").agg(F.min("__order").alias("__order"), F.min_by("__take", "__order").alias("__take")).withColumn("__rcell", cell("__near"))
+    same = reduce(lambda x, y: x & y, [F.col(f"__l{i}") == F.col(f"__r_{y}") for i, y in enumerate(equal.values())], F.col("__cell") == F.col("__rcell"))
+    hits = asked.join(r, same & (F.abs(F.col("__a") - F.col("__near")) <= tolerance))
+    best = hits.groupBy(*keys).agg(F.min_by("__take", "__order").alias("__take"))
+    back = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__l{i}") for i, c in enumerate(equal)], F.col(a) == F.col("__a"))
+    return left.rows.join(best, back).select(*names, "__take.*")
 
 
 def _repeated(df: DataFrame, times: str) -> DataFrame:
