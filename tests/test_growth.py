@@ -127,3 +127,25 @@ def test_tolerance_lookup_joins_each_value_once(spark):
     assert {r["i"]: r["j"] for r in df.collect()} == want and df.count() == 400
     grouped = [line for line in plan(df).splitlines() if "Aggregate [" in line]
     assert not any("Aggregate [i#" in line for line in grouped)  # left rows, whole, are not grouped
+
+
+def test_layer_peeling_in_halves_is_peeling_layer_by_layer(spark):
+    from quire.operators import signal
+
+    rng = np.random.default_rng(4)
+    pages = {0: 0.2 + 0.1 * np.sin(np.arange(3000) / 40) * np.exp(-np.arange(3000) / 300), 1: 0.1 + rng.normal(0, 0.002, 1201), 2: np.array([0.2, 1.16, 0.1, 0.3]), 3: np.array([0.1, 0.2, np.nan, 0.1])}
+    pages[4] = np.r_[pages[1][:700], np.nan, pages[1][701:]]
+    df = spark.createDataFrame([(p, i, float(x)) for p, v in pages.items() for i, x in enumerate(v)], "p int, i int, v double")
+    got = signal.peel_impedance(paged(df, "p", "i"), "v", 1.0).toPandas()
+    for p, up in pages.items():
+        down, g = np.ones(len(up)), np.zeros(len(up))
+        with np.errstate(all="ignore"):
+            for k in range(len(g)):
+                r = g[k] = up[0]
+                down, up = (down - r * up)[:-1] / (1 - r * r), (up - r * down)[1:] / (1 - r * r)
+            want = 50 * np.cumprod((1 + g) / (1 - g))
+        have = got[got["p"] == p].sort_values("Row")["PeeledImpedance"].to_numpy()
+        assert np.array_equal(np.isfinite(want), np.isfinite(have)), p
+        ok = np.isfinite(want)
+        assert np.allclose(have[ok], want[ok], rtol=1e-9), p
+    assert hasattr(signal, "_peeled")  # the loop over all layers took the square of a page's rows
