@@ -10,8 +10,10 @@ These rows are written once. Spark adds up the partial counts of all blocks, fin
 most as many rows as B's vocabulary, so these are broadcast), brings the counts back to the blocks' lists, and each
 block's documents meet their own list only.
 
-A is a byte-level vocabulary (operator 11's encoder; special tokens' strings are text), B a sentencepiece model. No B
-piece has a word mark after other characters, so words between single spaces are encoded one by one, and once.
+A is a byte-level vocabulary (operator 9's encoder, or operator 11's for runs of spaces that the former's pattern cannot
+take in; special tokens' strings are text), B a sentencepiece model. No B piece has a word mark after other characters,
+so words between single spaces are encoded one by one, each once a block. No ids are kept from block to block: most
+distinct words of a block are new, and a memory of them is larger than the block.
 
 Defined cases: texts that are null, empty, or that the tokens of either do not spell out byte for byte (after a space)
 have zeros and an empty digest, as has a text with U+2581, which B reads as a space; null ids and repeated rows have a row
@@ -22,6 +24,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import Known, Spelling, decoder_of, encoder_of, vocabulary_path
+from quire.llm import bpe, packing
+from quire.llm.bpe import Spelling, decoder_of, vocabulary_path
 from quire.llm.common import materialize, text_of
 
 BLOCK_BYTES = 3 << 20
@@ -60,17 +64,24 @@ class Pieces(Spelling):
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         spelt = [bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(names)]
         self.by_word = not any(MARK in t.lstrip(MARK) for t in names)
-        self.words = Known(lambda w: array("i", self.model.encode(w)).tobytes(), 200_000)
         super().__init__(spelt)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [t.split(" ") if self.by_word and MARK not in t else [""] for t in texts]
-        units = [[] if "" in u else u for u in units]  # texts with spaces side by side are encoded whole
-        ids_of = {w: self.words.get(w) or self.words.older.get(w) for w in set().union(*units)}
-        new = [w for w, ids in ids_of.items() if ids is None]
-        for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-            ids_of[w] = self.words.keep(w, array("i", ids).tobytes())
-        return [b"".join(map(ids_of.__getitem__, u)) if u else array("i", self.model.encode(t)).tobytes() for t, u in zip(texts, units, strict=True)]
+        """Ids of each text, of its distinct words in a block where they are encoded apart."""
+        apart = [self.by_word and t != "" and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " for t in texts]
+        words = pc.split_pattern(pa.array([t for t, x in zip(texts, apart, strict=True) if x], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        found = self.model.encode(coded.dictionary.to_pylist(), num_threads=1)
+        sizes = np.array([*map(len, found)], np.int64)
+        flat, starts = np.fromiter(itertools.chain.from_iterable(found), np.int32, sizes.sum()), np.cumsum(sizes) - sizes
+        del found
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[word] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][np.asarray(words.offsets)].tolist()
+        of = (ids[x:y].tobytes() for x, y in itertools.pairwise(bounds))
+        return [next(of) if x else array("i", self.model.encode(t)).tobytes() for t, x in zip(texts, apart, strict=True)]
 
 
 @lru_cache(1)
@@ -91,10 +102,18 @@ def database():
     return duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
 
 
+def ordinary(path: str, text: str) -> bytes:
+    """A's ids of a text."""
+    try:
+        return packing.encoder_of(path).ordinary(text)
+    except ValueError:  # a run of spaces longer than tiktoken's pattern can go back over
+        return bpe.encoder_of(path).ordinary(text)
+
+
 def tokens(texts: list[str], path_a: str, path_b: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For A and B: ids, byte lengths of tokens, and number of tokens of each text; none of texts that they do not spell."""
-    a, b = encoder_of(path_a), pieces_of(path_b)
-    both = [[a.ordinary(" " + t) if t else b"" for t in texts], b.encode(texts)]
+    b = pieces_of(path_b)
+    both = [[ordinary(path_a, " " + t) if t else b"" for t in texts], b.encode(texts)]
     source = [(" " + t).encode() if t else b"" for t in texts]
     for part, table in zip(both, (decoder_of(path_a), b), strict=True):
         if table.spelt(np.frombuffer(b"".join(part), np.int32)) != b"".join(source):

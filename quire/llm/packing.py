@@ -66,6 +66,22 @@ class Encoder:
         ranks = {bytes(spelt[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special}
         return tiktoken.Encoding("latin", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def plain(self):
+        """As tokenizer, but strings of special tokens are text like any other."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text in which strings of special tokens are text like any other."""
+        if not text.isascii() and max(text) >= LATIN_END:
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.latin.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""

@@ -114,3 +114,24 @@ def test_only_rows_without_tokens(spark):
 def test_query_equals_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(Q.op13_align(spark, small)) == brute(docs)
+
+
+def test_blocks_leave_no_ids_behind():
+    """A worker holds no more after many blocks than after one."""
+    import tracemalloc
+
+    block = lambda k: A.align_block(k, [0], [" ".join(f"w{k}x{i * 7919 % 99991:x}" for i in range(8000))], B.vocabulary_path(), PATH_B)
+    block(0)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for k in (1, 2):
+            block(k)
+        assert tracemalloc.get_traced_memory()[0] - before < 1 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_of_spaces_that_the_pattern_cannot_go_back_over():
+    text = "a" + " " * 1_200_000 + "b"
+    assert A.ordinary(B.vocabulary_path(), text) == B.encoder_of(B.vocabulary_path()).ordinary(text)
