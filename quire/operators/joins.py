@@ -13,6 +13,8 @@ from quire.frame import Paged
 from quire.functions.wildcard import to_regex
 from quire.sources.shared import shared_folder
 
+#: Rows of a level that are broadcast at most.
+FEW = 1 << 16
 _ZERO = {"string": "", "boolean": False}
 
 
@@ -289,21 +291,32 @@ def interpolate_by_model(data: Paged, model: DataFrame, x: str, y: str, at: Data
 
 def descendants(edges: DataFrame, roots: DataFrame, parent: str, child: str, most_levels: int = 100) -> DataFrame:
     """root, node and level of everything under each root of a dependency table; a cycle ends where it meets itself.
-    Each level is one join with the edges; it is checkpointed in the shared folder, so plans stay
-    short and a lost executor costs no level again."""
+    The edges are made distinct once. Each level is one join with them, by broadcast of the level's nodes where these are at
+    most FEW and never of the edges; it is checkpointed in the shared folder, so plans stay short and a lost executor costs
+    no level again."""
     found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("level"))
-    edge = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct()
+    spark = found.sparkSession
+    folder = shared_folder(spark, "edges")
+    edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct().write.parquet(folder)
+    edge = spark.read.parquet(folder)
     _checkpoint_dir(found)
-    level, all_ = found, found
+    level, all_, n, total = found, found, found.count(), 0
     for k in range(1, most_levels + 1):
-        level = level.join(edge, F.col("node") == F.col("__p")).select("root", F.col("__c").alias("node"), F.lit(k).alias("level")).distinct()
-        level = level.join(all_.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
-        if level.isEmpty():
+        total += n
+        level = _few(level, n).join(edge, F.col("node") == F.col("__p"))
+        level = level.select("root", F.col("__c").alias("node"), F.lit(k).alias("level")).distinct()
+        level = level.join(_few(all_.select("root", "node"), total), ["root", "node"], "left_anti").checkpoint()
+        n = level.count()
+        if not n:
             return all_
         all_ = all_.unionByName(level)
     raise RuntimeError("the dependency table is too deep")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df.hint("shuffle_merge")
+
+
 def _checkpoint_dir(df: DataFrame) -> None:
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))

@@ -149,3 +149,26 @@ def test_layer_peeling_in_halves_is_peeling_layer_by_layer(spark):
         ok = np.isfinite(want)
         assert np.allclose(have[ok], want[ok], rtol=1e-9), p
     assert hasattr(signal, "_peeled")  # the loop over all layers took the square of a page's rows
+
+
+@pytest.mark.parametrize("few", [3, 1 << 16])
+def test_descendants_make_the_edges_once_and_join_few_nodes(spark, monkeypatch, few):
+    """Levels are broadcast up to `few` nodes and shuffled beyond; the edges' rows are made once, not at each level."""
+    monkeypatch.setattr(joins, "FEW", few)
+    pairs = [(p, 2 * p + k) for p in range(40) for k in (0, 1)] + [(5, 2), (77, 0)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(pair):
+        made.add(1)
+        return pair
+
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 3).map(counted), "p bigint, c bigint")
+    got = {tuple(r) for r in joins.descendants(edges, spark.createDataFrame([(0,), (1,)], "r bigint"), "p", "c").collect()}
+    want, level = set(), {(0, 0), (1, 1)}
+    k = 0
+    while level:
+        want |= {(r, n, k) for r, n in level}
+        held = {(r, n) for r, n, _ in want}
+        level, k = {(r, c) for r, n in level for p, c in pairs if p == n} - held, k + 1
+    assert got == want
+    assert made.value == len(pairs)
