@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.frame import paged
 from quire.operators import fits, images, matrices, signal
+from quire.operators.blocks import numbered_in_chunks
 from quire.plans.registry import TIMED, query
 
 
@@ -62,8 +63,8 @@ def fourier_power(t):
 def fourier_inverse(t):
     """All events as two pages of one length, there and back."""
     rows = t.events.select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page"), "value").withColumn("value", F.col("value") * (F.col("page") + 1))
-    z = signal.fft(paged(rows, "page", "event_id").numbered("i"), "i", "value", subtract_mean=False, full=True)
-    return signal.inverse_fft(paged(z, "page", "f"), "RealFFTvalue", "ImagFFTvalue", rows.filter("page = 0").count())
+    z = signal.fft(numbered_in_chunks(paged(rows, "page", "event_id"), "i"), "i", "value", subtract_mean=False, full=True, row="i")
+    return signal.inverse_fft(paged(z, "page", "f"), "RealFFTvalue", "ImagFFTvalue", t.events.count(), row="i")
 
 
 #: Components of an embedding.

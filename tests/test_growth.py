@@ -172,3 +172,28 @@ def test_descendants_make_the_edges_once_and_join_few_nodes(spark, monkeypatch,
         level, k = {(r, c) for r, n in level for p, c in pairs if p == n} - held, k + 1
     assert got == want
     assert made.value == len(pairs)
+
+
+@pytest.mark.parametrize("n", [240, 241, 2 * 127])
+def test_transforms_in_parts_are_those_of_whole_pages(spark, n):
+    """Sizes with factors, a prime, and twice a prime; no task is given a page, of which some are short."""
+    from quire.operators import signal
+
+    rng = np.random.default_rng(n)
+    rows = [(p, i, i * 0.25, float(x)) for p, m in ((0, n), (None, n), (2, 7)) for i, x in enumerate(rng.normal(size=m))]
+    p = paged(spark.createDataFrame(rows, "p int, i int, t double, v double"), "p", "i")
+    for options in ({"full": True, "subtract_mean": False, "row": "i"}, {"psd": True, "window": "hanning"}, {"pad": True, "full": True}):
+        frames = [signal.fft(p, "t", "v", **options, whole=most) for most in (64, 1 << 20)]
+        assert frames[0].dtypes == frames[1].dtypes
+        got, want = (df.toPandas().sort_values(["p", "f"]).reset_index(drop=True) for df in frames)
+        for c in want.columns:
+            x, y = got[c].to_numpy(float), want[c].to_numpy(float)
+            if c.startswith("Arg"):
+                x, y = (np.exp(1j * np.radians(a)) * np.minimum(want["FFTv"] * 1e6, 1) for a in (x, y))
+            assert np.allclose(x, y, atol=1e-9, equal_nan=True), (options, c)
+        if "row" in options:
+            z = paged(frames[1].filter("p IS NULL OR p = 0"), "p", "f")
+            for row in ("i", None):
+                back = signal.inverse_fft(z, "RealFFTv", "ImagFFTv", n, row=row, whole=64).toPandas().sort_values(["p", "Row"])
+                assert np.allclose(back["value"].to_numpy(), [v for q in (0, None) for k, _, _, v in rows if k == q], atol=1e-9)
+                assert back["Row"].tolist() == [*range(n)] * 2
