@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +72,31 @@ class Vocabulary:
     tail_words: np.ndarray  # of each tail class, N_k
     tail_kinds: np.ndarray  # and V_k
 
+    @cached_property
+    def directory(self) -> tuple[np.ndarray, int, int]:
+        """For each value of the first bits of a token, how many known ones are below all tokens that begin so; the shift
+        that leaves these bits; the most known tokens that begin alike."""
+        bits = max(1, len(self.token).bit_length())
+        alike = np.bincount((self.token >> (64 - bits)) + (1 << bits - 1), minlength=1 << bits)
+        return np.r_[0, np.cumsum(alike)[:-1]], 64 - bits, int(alike.max())
+
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token among the known ones, and whether it is one."""
         if not len(self.token):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.searchsorted(self.token, tokens)
-        at[at == len(self.token)] = 0
-        return at, self.token[at] == tokens
+        if len(tokens) < 1 << 12 or self.directory[2] > 64:
+            at = np.searchsorted(self.token, tokens)
+        else:  # hashes are spread evenly: a step or two from where the directory points
+            below, shift, _ = self.directory
+            at = below.take((tokens >> shift) + (len(below) >> 1))
+            last = len(self.token) - 1
+            rest = np.flatnonzero(self.token.take(at, mode="clip") < tokens)
+            while len(rest):
+                at[rest] += 1
+                rest = rest[at[rest] <= last]
+                rest = rest[self.token[at[rest]] < tokens[rest]]
+        at[at >= len(self.token)] = 0
+        return at, self.token.take(at) == tokens
 
     def units(self, tokens: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         unit = HEAD + tail_of(tokens)
@@ -137,8 +156,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.clip(x, -30, 30, out=x)
+    """In place. Where exp overflows, the result is zero, as it should be."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -173,17 +191,22 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.x, self.u, self.wc, self.bc, self.wo, self.bo]
 
-    def step(self, unit: np.ndarray, h: np.ndarray) -> np.ndarray:
-        a = self.x[unit]
-        g = h @ self.u
-        zr = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        _sigmoid(zr)
-        n = g[:, 2 * HIDDEN :]
-        n *= zr[:, HIDDEN:]
-        n += a[:, 2 * HIDDEN :]
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """x and u apart by gate (update, reset, new), so that each gate's values lie together."""
+        return by_gate(self.x), by_gate(self.u)
+
+    def step(self, unit: np.ndarray, h: np.ndarray, gates: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        x, u = gates or self.gates()
+        a, g = x.take(unit, axis=1), np.matmul(h, u)
+        zr, n = g[:2], g[2]
+        zr += a[:2]
+        with np.errstate(over="ignore"):
+            z, r = _sigmoid(zr)
+        n *= r
+        n += a[2]
         np.tanh(n, out=n)
         h = h - n
-        h *= zr[:, :HIDDEN]
+        h *= z
         h += n
         return h
 
@@ -215,41 +238,55 @@ class Network:
         return out
 
 
+def by_gate(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
+
+
 def class_of(unit: np.ndarray) -> np.ndarray:
     return np.where(unit < HEAD, unit // HEAD_CLASS, unit - HEAD + HEAD // HEAD_CLASS)
 
 
 def output_gradients(net: Network, h: np.ndarray, y: np.ndarray, block: int = BLOCK_ROWS) -> tuple[np.ndarray, ...]:
     """Of the mean of -ln P(y | h): gradients with respect to h, wc, bc, wo and bo."""
-    n = len(y)
-    dh, dwc, dbc, dwo, dbo = np.empty_like(h), np.zeros_like(net.wc), np.zeros_like(net.bc), np.zeros_like(net.wo), np.zeros_like(net.bo)
-    cls, ones = class_of(y), np.ones(max(block, len(dbc)), h.dtype)
-    for at in range(0, n, block):
-        some = slice(at, at + block)
-        p = h[some] @ net.wc
-        p += net.bc
-        np.minimum(p, 80, out=p)  # in single precision exp has no more room
+    n, H, kind = len(y), HIDDEN, h.dtype
+    cls, ones = class_of(y), np.ones(max(HEAD_CLASS, len(net.bc)), kind)
+    h1 = np.ones((n, H + 1), kind)  # the last column's weights are the biases
+    h1[:, :H] = h
+    wc = np.vstack([net.wc, net.bc])
+    large = (np.abs(net.wc).sum(0) + net.bc).max() > 80  # states are below one
+    dh, dwc = np.empty_like(h), np.zeros_like(wc)
+
+    def less_the_goals(p: np.ndarray, goals: np.ndarray) -> None:
+        """From logits, the gradient with respect to them."""
         np.exp(p, out=p)
         p *= (1 / (n * (p @ ones[: p.shape[1]])))[:, None]
-        p[np.arange(len(p)), cls[some]] -= 1 / n
+        p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + goals] -= 1 / n
+
+    for at in range(0, n, block):
+        some = slice(at, at + block)
+        p = h1[some] @ wc
+        if large:
+            np.minimum(p, 80, out=p)  # in single precision exp has no more room
+        less_the_goals(p, cls[some])
         np.matmul(p, net.wc.T, out=dh[some])
-        dwc += h[some].T @ p
-        dbc += ones[: len(p)] @ p
+        dwc += h1[some].T @ p
     order = np.argsort(y.astype(np.int16), kind="stable")
-    sorted_y = y[order]
-    ends = np.searchsorted(sorted_y, np.arange(0, HEAD + 1, HEAD_CLASS))
-    hs, dhs = h[order[: ends[-1]]], np.empty((ends[-1], HIDDEN), h.dtype)
-    for k in np.flatnonzero(np.diff(ends)):
-        some, part = slice(ends[k], ends[k + 1]), slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
-        q = hs[some] @ net.wo[part].T
-        q += net.bo[part] - net.bo[part].max()
-        np.exp(q, out=q)
-        q *= (1 / (n * q.sum(1)))[:, None]
-        q[np.arange(len(q)), sorted_y[some] - k * HEAD_CLASS] -= 1 / n
-        np.matmul(q, net.wo[part], out=dhs[some])
-        dwo[part], dbo[part] = q.T @ hs[some], q.sum(0)
-    dh[order[: ends[-1]]] += dhs
-    return dh, dwc, dbc, dwo, dbo
+    ends = np.searchsorted(y[order], np.arange(0, HEAD + 1, HEAD_CLASS))
+    order = order[: ends[-1]]
+    h1, goals = h1[order], y[order] % HEAD_CLASS
+    bo = net.bo.reshape(-1, HEAD_CLASS)
+    wo, dwo = np.column_stack([net.wo, (bo - bo.max(1, keepdims=True)).reshape(-1)]), np.zeros((HEAD, H + 1), kind)
+    groups = [(slice(ends[k], ends[k + 1]), slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)) for k in np.flatnonzero(np.diff(ends))]
+    q, dhs = np.empty((len(order), HEAD_CLASS), kind), np.empty((len(order), H), kind)
+    for some, part in groups:
+        np.matmul(h1[some], wo[part].T, out=q[some])
+    for at in range(0, len(order), block):
+        less_the_goals(q[at : at + block], goals[at : at + block])
+    for some, part in groups:
+        np.matmul(q[some], net.wo[part], out=dhs[some])
+        np.matmul(q[some].T, h1[some], out=dwo[part])
+    dh[order] += dhs
+    return dh, dwc[:H], dwc[H], dwo[:, :H], dwo[:, H]
 
 
 def gradients(net: Network, unit: np.ndarray, goal: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -257,55 +294,81 @@ def gradients(net: Network, unit: np.ndarray, goal: np.ndarray, fresh: np.ndarra
     state h and is in state zero where `fresh` says so; and the state after it."""
     steps, streams = unit.shape
     H, kind = HIDDEN, net.x.dtype
-    keep = (~fresh).astype(kind)[:, :, None]
-    was, new, linear, after = (np.empty((steps, streams, H), kind) for _ in range(4))
-    gates = np.empty((steps, streams, 2 * H), kind)
-    a = net.x[unit]
-    for s in range(steps):
-        np.multiply(h, keep[s], out=was[s])
-        g = was[s] @ net.u
-        np.add(a[s, :, : 2 * H], g[:, : 2 * H], out=gates[s])
-        _sigmoid(gates[s])
-        linear[s] = g[:, 2 * H :]
-        np.multiply(gates[s, :, H:], linear[s], out=new[s])
-        new[s] += a[s, :, 2 * H :]
-        np.tanh(new[s], out=new[s])
-        h = np.subtract(was[s], new[s], out=after[s])
-        h *= gates[s, :, :H]
-        h += new[s]
+    x, u = net.gates()
+    begin = [np.flatnonzero(f) for f in fresh]
+    flat = unit.reshape(-1)
+    a = x.take(flat, axis=1).reshape(3, steps, streams, H)
+    was, after, update = (np.empty((steps, streams, H), kind) for _ in range(3))
+    # what a change of the state is multiplied by to give those of the inputs of gate `new` (its x part), of `update`, of
+    # `reset` and of the h part of `new`
+    factor = np.empty((4, steps, streams, H), kind)
+    g, rest = np.empty((3, streams, H), kind), np.empty((streams, H), kind)
+    zr, linear = g[:2], g[2]
+    with np.errstate(over="ignore"):
+        for s in range(steps):
+            was[s] = h
+            was[s][begin[s]] = 0
+            np.matmul(was[s], u, out=g)
+            zr += a[:2, s]
+            z, r = _sigmoid(zr)
+            update[s] = z
+            new = np.multiply(r, linear, out=after[s])
+            new += a[2, s]
+            np.tanh(new, out=new)
+            into_new, into_update, into_reset, into_linear = (f[s] for f in factor)
+            np.subtract(1, z, out=rest)
+            np.multiply(rest, z, out=into_update)
+            np.multiply(new, new, out=into_new)
+            np.subtract(1, into_new, out=into_new)
+            into_new *= rest
+            np.multiply(into_new, r, out=into_linear)
+            np.subtract(1, r, out=into_reset)
+            into_reset *= linear
+            into_reset *= into_linear
+            np.subtract(was[s], new, out=rest)
+            into_update *= rest
+            rest *= z
+            h = np.add(new, rest, out=after[s])
     dh, *outputs = output_gradients(net, after.reshape(-1, H), goal.reshape(-1))
     dh = dh.reshape(steps, streams, H)
-    dx, dg, carry = a, np.empty_like(a), np.zeros((streams, H), kind)  # a's memory is free
+    back, carry, parts = np.ascontiguousarray(u.swapaxes(1, 2)), np.zeros((streams, H), kind), g
     for s in range(steps - 1, -1, -1):
-        d, z, r, n = dh[s], gates[s, :, :H], gates[s, :, H:], new[s]
+        d = dh[s]
         d += carry
-        rest = 1 - z
-        dn = d * rest
-        rest *= z
-        rest *= was[s] - n
-        np.multiply(rest, d, out=dg[s, :, :H])
-        dn *= 1 - n * n
-        dx[s, :, 2 * H :] = dn
-        np.multiply(dn, r, out=dg[s, :, 2 * H :])
-        rest = 1 - r
-        rest *= linear[s]
-        np.multiply(rest, dg[s, :, 2 * H :], out=dg[s, :, H : 2 * H])
-        carry = dg[s] @ net.u.T
-        d *= z
-        carry += d
-        carry *= keep[s]
-    dx[:, :, : 2 * H] = dg[:, :, : 2 * H]
-    flat = unit.reshape(-1).astype(np.int16)
-    order = np.argsort(flat, kind="stable")
-    sorted_units = flat[order]
-    first = np.flatnonzero(np.r_[True, sorted_units[1:] != sorted_units[:-1]])
-    dxs = np.zeros_like(net.x)
-    dxs[sorted_units[first]] = np.add.reduceat(dx.reshape(-1, 3 * H)[order], first)
-    return [dxs, was.reshape(-1, H).T @ dg.reshape(-1, 3 * H), *outputs], h
+        changes = factor[:, s]
+        changes *= d
+        np.matmul(changes[1:], back, out=parts)
+        np.multiply(d, update[s], out=carry)
+        for part in parts:
+            carry += part
+        carry[begin[s]] = 0
+    found = factor.reshape(4, -1, H)
+    du = np.matmul(was.reshape(-1, H).T, found[1:])
+    new, update, reset = found[:3]
+    return [sums_by_unit(np.concatenate([update, reset, new], 1), flat, len(net.x)), np.concatenate(list(du), 1), *outputs], h
+
+
+def sums_by_unit(rows: np.ndarray, unit: np.ndarray, units: int, several: int = 16) -> np.ndarray:
+    """Sums of the rows of each unit. Of all units the first rows are added at once, then the second ones, up to `several`;
+    few units have more."""
+    out = np.zeros((units, rows.shape[1]), rows.dtype)
+    order, times = np.argsort(unit.astype(np.int16), kind="stable"), np.bincount(unit, minlength=units)
+    first, frequent, ones = np.cumsum(times) - times, np.argsort(-times, kind="stable"), np.ones(len(unit), rows.dtype)
+    more = np.searchsorted(-times[frequent], -np.arange(several + 1), "left")  # how many units have more than 0, 1, ... rows
+    frequent, first = frequent[: more[0]], first[frequent[: more[0]]]
+    sums = rows.take(order[first], axis=0)
+    for k, n in enumerate(more[1:several], 1):
+        sums[:n] += rows.take(order[first[:n] + k], axis=0)
+    for i in range(more[several]):
+        rest = order[first[i] + several : first[i] + times[frequent[i]]]
+        sums[i] += ones[: len(rest)] @ rows.take(rest, axis=0)
+    out[frequent] = sums
+    return out
 
 
 class Adam:
-    """Adam with a rate that falls to nothing over `total` steps; parameters are changed in place."""
+    """Adam with a rate that falls to nothing over `total` steps; parameters are changed in place. Its two averages are kept
+    as sums of falling powers, without their constant factors."""
 
     def __init__(self, parameters: list[np.ndarray], rate: float, total: int):
         self.parameters, self.rate, self.total, self.t = parameters, rate, total, 0
@@ -313,17 +376,16 @@ class Adam:
 
     def step(self, found: list[np.ndarray]) -> None:
         self.t += 1
-        step = self.rate * (1 - self.t / (self.total + 1)) * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        step = self.rate * (1 - self.t / (self.total + 1)) * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) * 0.1 / math.sqrt(0.001)
         for p, g, m, v, spare in zip(self.parameters, found, self.first, self.second, self.spare, strict=True):
-            np.clip(g, -0.1, 0.1, out=g)
+            if max(g.max(), -g.min()) > 0.1:
+                np.clip(g, -0.1, 0.1, out=g)
             m *= 0.9
-            m += np.multiply(g, 0.1, out=spare)
+            m += g
             v *= 0.999
-            np.multiply(g, g, out=g)
-            g *= 0.001
-            v += g
+            v += np.multiply(g, g, out=spare)
             np.sqrt(v, out=spare)
-            spare += 1e-7
+            spare += 1e-7 / math.sqrt(0.001)
             np.divide(m, spare, out=spare)
             spare *= step
             p -= spare
@@ -352,7 +414,7 @@ def train(net: Network, documents: list[np.ndarray], streams: int = 64, window:
     return net
 
 
-def score_units(net: Network, units: np.ndarray, ends: np.ndarray, end_unit: int, block: int = 1 << 14) -> np.ndarray:
+def score_units(net: Network, units: np.ndarray, ends: np.ndarray, end_unit: int, block: int = 1 << 16) -> np.ndarray:
     """Natural log-probabilities of documents whose units lie one after another; the state runs through each whole
     document while shorter ones drop out."""
     starts = np.r_[0, ends[:-1]]
@@ -361,6 +423,7 @@ def score_units(net: Network, units: np.ndarray, ends: np.ndarray, end_unit: int
     total = np.zeros(len(ends))
     h = np.zeros((len(ends), HIDDEN), np.float32)
     previous = np.full(len(ends), end_unit)
+    gates = net.gates()
     states, goals, owners, held = [], [], [], 0
     alive = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")
 
@@ -374,8 +437,8 @@ def score_units(net: Network, units: np.ndarray, ends: np.ndarray, end_unit: int
             held = 0
 
     for t, n in enumerate(alive):
-        h = net.step(previous[:n], h[:n])
-        goal = units[starts[:n] + t]
+        h = net.step(previous[:n], h[:n], gates)
+        goal = units.take(starts[:n] + t)
         states.append(h)
         goals.append(goal)
         owners.append(np.arange(n))

@@ -269,3 +269,29 @@ def test_features_are_chosen_as_by_brute_force(spark):
         z = got.w0 + sum(got.w[k] for k in at) + sum(got.v[a] @ got.v[b] for i, a in enumerate(at) for b in at[:i])
         plain.append(1 / (1 + math.exp(-z)))
     assert np.allclose(got.scores([t for _, t, _ in rows[:20]], {}), plain, atol=1e-4)
+
+
+@pytest.mark.parametrize("known", [1, 7, 3000])
+def test_tokens_are_found_by_their_first_bits(monkeypatch, known):
+    """op7: many tokens are looked up in a directory of their first bits, not by halving the whole table."""
+    rng = np.random.default_rng(5)
+    token = np.unique(np.r_[np.iinfo(np.int64).min, rng.integers(-(1 << 63), 1 << 63, known, dtype=np.int64), np.iinfo(np.int64).max])
+    v = L.Vocabulary(token, np.zeros(len(token)), np.zeros(len(token), int), 1, 1, 0, np.zeros(0), np.zeros(L.TAIL), np.zeros(L.TAIL))
+    asked = np.r_[rng.choice(token, 6000), rng.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64), token - 1, token + 1]
+    monkeypatch.setattr(L.np, "searchsorted", None)
+    for wanted in (token, token[1:-1]):  # the second without the least and the largest
+        v.token = wanted
+        v.__dict__.pop("directory", None)
+        at, found = v.find(asked)
+        assert (found == np.isin(asked, wanted)).all() and (wanted[at[found]] == asked[found]).all()
+
+
+def test_rows_are_summed_by_unit():
+    """op7: gradients of the inputs, for units with no, one, some and many tokens."""
+    rng = np.random.default_rng(6)
+    unit = np.r_[np.full(100, 3), np.full(17, 8), np.full(16, 5), rng.integers(9, 40, 60)]
+    rng.shuffle(unit)
+    rows = rng.normal(0, 1, (len(unit), 6))
+    want = np.zeros((50, 6))
+    np.add.at(want, unit, rows)
+    assert np.allclose(L.sums_by_unit(rows, unit, 50), want) and np.allclose(L.sums_by_unit(rows, unit, 50, several=2), want)
