@@ -116,6 +116,27 @@ def test_paged_file_parts_cross_pages_and_pages_cross_parts(spark, tmp_path):
     assert found[0] == found[1]
 
 
+def test_paged_files_are_sorted_in_parts_of_a_page(spark, tmp_path, monkeypatch):
+    """One long page of few files: no task that sorts and writes gets much more than a part's rows."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import paged_index
+
+    rows = spark.range(30_000, numPartitions=3).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.col("id") * 0.5).alias("x"))
+    most, plain = [], type(rows).mapInArrow
+
+    def counted(df, *args):
+        most.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return plain(df, *args)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", counted)
+    paged_index.write_files(paged(rows, "k", "i"), str(tmp_path), "ABCD5", 2, part_rows=1500)
+    assert most[0] < 3 * 1500 and len(most) == 2 and most[1] < 100  # rows to sort; places of pieces
+    monkeypatch.undo()
+    back = paged_index.open_files(spark, f"file://{tmp_path}/*.paged").rows().rows
+    assert back.filter("__row = i AND x = i * 0.5").count() == back.count() == 30_000
+
+
 def test_tolerance_lookup_joins_each_value_once(spark):
     left = paged(spark.createDataFrame([(i, i % 2, float(i // 20)) for i in range(400)] + [(400, None, 1.0), (401, 0, None)], "i int, k int, v double"), (), "i")
     right = paged(spark.createDataFrame([(i, i % 2, float(i // 20) + 0.5) for i in range(400)], "j int, r int, w double"), (), "j")
