@@ -137,6 +137,20 @@ def test_paged_files_are_sorted_in_parts_of_a_page(spark, tmp_path, monkeypatch)
     assert back.filter("__row = i AND x = i * 0.5").count() == back.count() == 30_000
 
 
+def test_last_rows_of_pages_written_in_parts(spark, tmp_path):
+    """The last rows of a page may lie in several parts and runs, and a page may have fewer."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import paged_index
+
+    sizes = {"a": 7, "b": 1000, "c": 333}
+    rows = spark.createDataFrame([(k, i, i * 0.5) for k, n in sizes.items() for i in range(n)], "k string, i bigint, x double").repartition(3)
+    paged_index.write_files(paged(rows, "k", "i"), str(tmp_path), "ABCD5", 2, part_rows=15)
+    files = paged_index.open_files(spark, f"file://{tmp_path}/*.paged", run=16)
+    last = files.rows(["i", "x"], last=20).rows.join(files.parameters(), ["__file", "__page"]).select("k", F.col("__row"), "i", "x").collect()
+    assert sorted(map(tuple, last)) == sorted((k, i, i, i * 0.5) for k, n in sizes.items() for i in range(max(0, n - 20), n))
+
+
 def test_tolerance_lookup_joins_each_value_once(spark):
     left = paged(spark.createDataFrame([(i, i % 2, float(i // 20)) for i in range(400)] + [(400, None, 1.0), (401, 0, None)], "i int, k int, v double"), (), "i")
     right = paged(spark.createDataFrame([(i, i % 2, float(i // 20) + 0.5) for i in range(400)], "j int, r int, w double"), (), "j")
