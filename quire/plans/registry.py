@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.frame import Paged, paged
@@ -40,7 +40,16 @@ class Tables:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes])
+    return df.select(*[_round(F.col(f"`{c}`"), kind, digits).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
+def _round(x: Column, kind: str, digits: int) -> Column:
+    """Doubles as DuckDB rounds them: the scaled number, half away from 0. Spark rounds a number's shortest decimals instead,
+    which puts some of those near a half on the other side."""
+    if kind == "float":
+        return F.round(x, digits)
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
 
 
 #: The same tables for SQL: t(...) is events with seconds, and every SQL query may use it.

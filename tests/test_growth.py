@@ -51,6 +51,21 @@ def test_zeros_between_rows_of_one_time(spark, tmp_path):
     same_as_sql(spark, tmp_path, "find_zeros", [("a", 1, 40.0), ("a", 1, 60.0), ("a", 2, 50.0), ("a", 2, 50.0), ("a", 3, 50.0), ("a", 9, 20.0)])
 
 
+def test_zeros_half_a_microsecond_off_are_rounded_as_in_sql(spark, tmp_path):
+    """To the last digit, years after the start: zeros in the middle of an odd number of microseconds."""
+    import duckdb
+
+    from quire.plans.all_queries import QUERIES, SQL
+
+    events = [("a", 10**14 + 10**12 * k + 7919 * k + w * (2 * k + 1), 40.0 if (k + w) % 2 else 60.0) for k in range(300) for w in (0, 1)]
+    same_as_sql(spark, tmp_path, "find_zeros", events)
+    got = sorted(tuple(r) for r in QUERIES["find_zeros"](spark, str(tmp_path)).select("event_type", "t", "value", "valueSlope").collect())
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert got == sorted(con.execute(SQL["find_zeros"]).fetchall())
+
+
 def test_peaks_with_a_zone_of_several_rows(spark, tmp_path):
     """Peaks of 25,000 rows, so a zone of 5; few values, so that many are equal, and falling runs, where one settles the next."""
     import random
