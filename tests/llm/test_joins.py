@@ -1,5 +1,7 @@
 """Similarity joins against brute force."""
 
+import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -267,3 +269,51 @@ def test_open_pairs_of_any_magnitude(size):
     v = np.array([[1.0, 1.0], [1.0, 1.0], [1.0, -1.0]]) * size
     c = E.Codes(np.zeros((3, 2)), np.zeros(3), np.zeros(3), v)
     assert E.exact_links(c, c, np.array([0, 0, 1]), np.array([1, 2, 2]), 0.9).tolist() == [True, False, False]
+
+
+def test_rows_are_kept_by_bits(spark):
+    """Many partitions and numbers, on both sides of a bitmap's end; none, some, all; repeated numbers; a shuffled join."""
+    numbers = spark.range(0, 100_000, 1, 3).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("v"))
+    rows = C.materialize(numbers, "t")
+    for some in ("false", "v % 7 = 3 OR v IN (0, 32767, 32768, 33333, 33334, 99999)", "true"):
+        wanted = rows.filter(some).select(F.col("row").alias("w"))
+        assert C.keep_rows(rows, "row", wanted.unionByName(wanted)).agg(F.count("v"), F.sum("v")).first() == rows.filter(some).agg(F.count("v"), F.sum("v")).first()
+
+
+def test_texts_stay_where_they_are_beyond_the_broadcast_of_rows(spark, monkeypatch):
+    """However many documents are kept, no plan shuffles their texts."""
+    monkeypatch.setattr(C.small_side, "__defaults__", (0,))
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0, raising=False)
+    docs = spark.createDataFrame(list(enumerate(near_copies())), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = J.keep_one(docs, 4, 85)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept.count() == len(set(brute_groups(near_copies(), 4, 85)[0].values()))
+
+
+def test_a_written_step_leaves_no_shuffle(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    before, conf = shuffles(), spark.conf.get(key)
+    written = C.materialize(spark.range(1000).repartition(3, "id"), "t")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)  # they are deleted in the background
+    assert not shuffles() - before and spark.conf.get(key) == conf
+    assert written.count() == 1000
+
+
+def test_files_of_a_step_go_after_use(spark):
+    mark = C.scratch_mark()
+    groups = J.similar_groups(J.numbered(spark.createDataFrame(list(enumerate(near_copies())), "doc_id bigint, text string")))
+    gone = {f.split("/quire-")[1].split("-")[0] for f in C.scratch_since(mark) if not os.path.exists(f.removeprefix("file://"))}
+    assert {"jaccard", "single", "sets"} <= gone
+    assert groups.count() == len(near_copies())
