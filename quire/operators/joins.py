@@ -78,23 +78,75 @@ def wildcard_lookup(left: Paged, right: Paged, column: str, pattern: str, take:
 
 
 def tolerance_lookup(left: Paged, right: Paged, equal: dict[str, str], near: tuple[str, str], tolerance: float, take: Sequence[str]) -> DataFrame:
-    """The first right row, in order, of equal keys whose value is within tolerance (equal, if that is 0): a join on cells
-    of the tolerance's width, so only neighbours meet. Right rows may serve several left rows. What is joined on cells is
-    each value of the left keys once, and of the right rows of one value the first; left rows, whole, only fetch what
-    their value found."""
+    """The first right row, in order, of equal keys whose value is within tolerance (equal, if that is 0). Right rows may
+    serve several left rows. What is looked up is each value of the left keys once, and of the right rows of one value the
+    first; left rows, whole, only fetch what their value found. Doubles and integers are looked up in running minima, other
+    kinds in pairs."""
     a, b = near
     names = left.rows.columns
-    cell = lambda c: F.floor(F.col(c).cast("double") / tolerance) if tolerance else F.col(c).cast("double")
     asked = left.rows.select(*[F.col(c).alias(f"__l{i}") for i, c in enumerate(equal)], F.col(a).alias("__a")).distinct()
+    r = right.rows.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(equal.values())], F.col(b).alias("__near"), F.struct(*right.order).alias("__order"), F.struct(*take).alias("__take"))
+    r = r.groupBy(*[f"__r{i}" for i in range(len(equal))], "__near").agg(F.min("__order").alias("__order"), F.min_by("__take", "__order").alias("__take"))
+    if 0 < tolerance < 1e300 and {dict(asked.dtypes)["__a"], dict(r.dtypes)["__near"]} <= {"double", "bigint", "int", "smallint", "tinyint"}:
+        size, most = F.abs(F.col("__a").cast("double")), tolerance * 2.0**49  # beyond, cells are no finer than the doubles there
+        far = asked.filter((size >= most) & (size < float("inf")))
+        best = _first_in_windows(asked.filter(size < most), r, tolerance).unionByName(_first_of_pairs(far, r, tolerance))
+    else:
+        best = _first_of_pairs(asked, r, tolerance)
+    back = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__l{i}") for i, c in enumerate(equal)], F.col(a) == F.col("__a"))
+    return left.rows.join(best, back).select(*names, "__take.*")
+
+
+def _first_of_pairs(asked: DataFrame, r: DataFrame, tolerance: float) -> DataFrame:
+    """asked with __take of the first r, by a join on cells of the tolerance's width, so only neighbours meet."""
     keys = asked.columns
+    cell = lambda c: F.floor(F.col(c).cast("double") / tolerance) if tolerance else F.col(c).cast("double")
     asked = asked.withColumn("__cell", F.explode(F.array(cell("__a") - 1, cell("__a"), cell("__a") + 1)) if tolerance else cell("__a"))
-    r = right.rows.select(*[F.col(c).alias(f"__r_{c}") for c in equal.values()], F.col(b).alias("__near"), F.struct(*right.order).alias("__order"), F.struct(*take).alias("__take"))
-    r = r.groupBy(*[f"__r_{c}" for c in equal.values()], "__near").agg(F.min("__order").alias("__order"), F.min_by("__take", "__order").alias("__take")).withColumn("__rcell", cell("__near"))
-    same = reduce(lambda x, y: x & y, [F.col(f"__l{i}") == F.col(f"__r_{y}") for i, y in enumerate(equal.values())], F.col("__cell") == F.col("__rcell"))
+    r = (r.filter(F.abs(F.col("__near").cast("double")) < float("inf")) if tolerance else r).withColumn("__rcell", cell("__near"))
+    same = reduce(lambda x, y: x & y, [F.col(f"__l{i}") == F.col(f"__r{i}") for i in range(len(keys) - 1)], F.col("__cell") == F.col("__rcell"))
     hits = asked.join(r, same & (F.abs(F.col("__a") - F.col("__near")) <= tolerance))
-    best = hits.groupBy(*keys).agg(F.min_by("__take", "__order").alias("__take"))
-    back = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__l{i}") for i, c in enumerate(equal)], F.col(a) == F.col("__a"))
-    return left.rows.join(best, back).select(*names, "__take.*")
+    return hits.groupBy(*keys).agg(F.min_by("__take", "__order").alias("__take"))
+
+
+def _first_in_windows(asked: DataFrame, r: DataFrame, tolerance: float) -> DataFrame:
+    """The same without pairs, which grow with the product of both sides. A window from a - tolerance to a + tolerance is
+    the end of one cell, a whole cell or two, and the beginning of another; so what is asked is put among the cell's values,
+    in order, and takes the running minimum there: upwards (__up 1) and downwards (-1, by the negated values)."""
+    keys, width, at = asked.columns, 0.75 * tolerance, F.col("__a").cast("double")
+    cell = lambda x: F.floor(x / width)
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in keys[:-1]], F.col("__a").isNotNull())
+    place = lambda up, c, x, tag: F.struct(F.lit(up).alias("__up"), c.alias("__cell"), x.alias("__x"), F.lit(tag).alias("__tag") if isinstance(tag, int) else tag.alias("__tag"))
+    asked = _reach(_reach(asked.filter(known), at, tolerance, "__hi"), -at, tolerance, "__lo")
+    first, last = cell(-F.col("__lo")), cell(F.col("__hi"))
+    whole = F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))
+    ends = F.array(place(1, last, F.col("__hi"), F.col("__hi_tag")), place(-1, first, F.col("__lo"), F.col("__lo_tag")))
+    asked = asked.select(*keys, F.explode(F.concat(ends, F.transform(whole, lambda c: place(1, c, F.lit(float("inf")), 2)))).alias("__p"))
+    near = F.col("__near").cast("double")
+    values = r.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in r.columns[: len(keys) - 1]], F.abs(near) < float("inf")))
+    values = values.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(keys[:-1])], F.explode(F.array(place(1, cell(near), near, 1), place(-1, cell(near), 0.0 - near, 1))).alias("__p"), "__order", "__take")
+    both = asked.unionByName(values, allowMissingColumns=True)
+    w = Window.partitionBy(*keys[:-1], "__p.__up", "__p.__cell").orderBy("__p.__x", "__p.__tag").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"__first": F.min("__order").over(w), "__found": F.min_by("__take", "__order").over(w)})
+    return both.filter("__a IS NOT NULL AND __first IS NOT NULL").groupBy(*keys).agg(F.min_by("__found", "__first").alias("__take"))
+
+
+def _reach(df: DataFrame, x: Column, tolerance: float, name: str) -> DataFrame:
+    """Add name, the double next to x + tolerance, and name_tag: 2 if a value y equal to it is reached, that is if y - x as a
+    double is at most the tolerance, else 0. Such are all y up to half of the tolerance's last bit beyond x + tolerance (with
+    y there, if that bit is 0); the three are summed exactly, as a double and what is left."""
+    half = (math.nextafter(tolerance, math.inf) - tolerance) / 2
+    even = half == 0 or tolerance / math.ulp(tolerance) % 2 == 0
+    columns = df.columns
+
+    def add(df: DataFrame, u: Column, v: Column, total: str, left: str) -> DataFrame:
+        df = df.withColumn(total, u + v).withColumn("__v", F.col(total) - u)
+        return df.withColumn(left, (u - (F.col(total) - F.col("__v"))) + (v - F.col("__v")))
+
+    df = add(df.withColumn("__x0", x), F.col("__x0"), F.lit(tolerance), "__s", "__e")
+    df = add(df, F.col("__e"), F.lit(half), "__e1", "__e2")
+    df = add(df, F.col("__s"), F.col("__e1"), name, "__f")
+    rest = F.col("__f") + F.col("__e2")
+    return df.select(*columns, name, F.when((rest >= 0) if even else (rest > 0), 2).otherwise(0).alias(f"{name}_tag"))
 
 
 def _repeated(df: DataFrame, times: str) -> DataFrame:

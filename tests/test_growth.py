@@ -66,6 +66,39 @@ def test_zeros_half_a_microsecond_off_are_rounded_as_in_sql(spark, tmp_path):
     assert got == sorted(con.execute(SQL["find_zeros"]).fetchall())
 
 
+@pytest.mark.parametrize("tolerance", [0.1, 0.30000000000000004, 5.0, 7.0, 500.0, 1e-3])
+def test_tolerance_lookup_against_all_pairs(spark, tolerance):
+    """Values on both ends of the tolerance and a last bit off, far ones, nulls, no numbers; the order is against the values."""
+    rng = np.random.default_rng(5)
+    base = [float(v) for v in np.round(rng.uniform(-3 * tolerance, 3 * tolerance, 30), 4)] + [0.0, -0.0, 1e-17, -1e-17, 1e9 * tolerance, 1e17 * tolerance]
+    ends = [v + k * tolerance for v in base for k in (-1, 1)]
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    ask = [(i % 3 or None, v) for i, v in enumerate(base + ends + odd)]
+    have = [(i % 3 or None, -i, float(v)) for i, v in enumerate(base + [np.nextafter(e, e + s) for e in ends for s in (-1, 0, 1)])] + [(1, 5, v) for v in odd]
+    left = paged(spark.createDataFrame([(i, *r) for i, r in enumerate(ask)], "i int, k int, v double"), (), "i")
+    right = paged(spark.createDataFrame(have, "g int, o int, u double"), (), "o")
+    got = {r["i"]: r["o"] for r in joins.tolerance_lookup(left, right, {"k": "g"}, ("v", "u"), tolerance, ["o"]).collect()}
+    near = lambda k, v: [o for g, o, u in have if k is not None and g == k and u is not None and v is not None and abs(v - u) <= tolerance]
+    assert got == {i: min(found) for i, (k, v) in enumerate(ask) if (found := near(k, v))}
+
+
+def test_tolerance_lookup_makes_no_pairs(spark):
+    """All of 3,000 values within the tolerance of all of 3,000: 9,000,000 pairs."""
+    left = paged(spark.range(3000).selectExpr("id", "id % 2 AS k", "id / 1000 AS v"), (), "id")
+    right = paged(spark.range(3000).selectExpr("id AS o", "id % 2 AS g", "id / 1001 AS u"), (), "o")
+    got = joins.tolerance_lookup(left, right, {"k": "g"}, ("v", "u"), 500.0, ["o"])
+    assert [(r["k"], r["o"]) for r in got.collect()].count((0, 0)) == 1500 == [(r["k"], r["o"]) for r in got.collect()].count((1, 1))
+    steps, made = [got._jdf.queryExecution().executedPlan()], []
+    while steps:
+        p = steps.pop()
+        kind = p.nodeName()
+        if kind == "AdaptiveSparkPlan" or "QueryStage" in kind:
+            steps.append(p.executedPlan() if kind == "AdaptiveSparkPlan" else p.plan())
+        steps += [p.children().apply(i) for i in range(p.children().size())]
+        made += [p.metrics().apply("numOutputRows").value()] if p.metrics().contains("numOutputRows") else []
+    assert made and max(made) < 100_000
+
+
 def test_peaks_with_a_zone_of_several_rows(spark, tmp_path):
     """Peaks of 25,000 rows, so a zone of 5; few values, so that many are equal, and falling runs, where one settles the next."""
     import random
